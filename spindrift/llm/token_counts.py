@@ -13,9 +13,11 @@ rows; further columns are not read.
 
 from __future__ import annotations
 
+import json
+import os
 import unicodedata
 from collections import Counter
-from functools import cache
+from functools import cache, cached_property
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,10 +34,10 @@ class Words:
 
     def __init__(self, path: str):
         import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.path = path
+        with open(path, encoding="utf-8") as f:
+            special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.mark = min((s[:2] for s in special), default="")
         # the tokenizer's own split pattern; below U+0530 Python's Unicode tables and the library's agree on it
@@ -45,6 +47,14 @@ class Words:
         shown = {chr(b): b for b in byte} | {chr(256 + i): b for i, b in enumerate(sorted({*range(256)} - {*byte}))}
         self.bytes_of = lambda piece: bytes(shown[c] for c in piece).decode("utf-8", "surrogateescape")
 
+    @cached_property
+    def tokenizer(self):
+        """The library's own, loaded where it is used; its threads would only hold memory beside Spark's tasks."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def pre_tokens(self, text: str) -> tuple[Counter, int]:
         """Frequencies of the pre-tokens, and the number of special strings."""
         parts, specials = [text], 0
@@ -88,7 +98,7 @@ def frequent(docs: DataFrame, path: str, rows: int, sampled: int = SAMPLED, most
 def count_tokens(docs: DataFrame, path: str, limit: int = LIMIT, sampled: int = SAMPLED, most: int = FREQUENT) -> DataFrame:
     """doc_id, n_bytes, n_tokens, over_limit: a row for each row of docs."""
     spark = docs.sparkSession
-    small_batches(spark)
+    small_batches(spark, 256)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = spark.sparkContext.broadcast(frequent(docs, path, docs.count(), sampled, most))
 
