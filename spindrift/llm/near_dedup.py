@@ -4,9 +4,10 @@ Texts equal word by word form a class and go on as its first document. Each clas
 Further minima, in batches, are compared for each candidate pair: with m of n equal and a uniform prior, the posterior of the similarity is
 Beta(m+1, n-m+1), and the pair is pruned as soon as the probability that it reaches the threshold falls below MISS. Survivors are verified on their full shingle sets.
 
-A bucket's members are first compared with its least member only; verified links give components. Then members of one bucket that are
-still in different components are compared with each other, in blocks of at most BLOCK rows by BLOCK rows inside a task; only survivors leave it. So a
-group of n near copies costs n comparisons, not n squared, and no pair of a bucket that could join two components is passed over. For tables far
+A bucket's members are first compared with its least member only; verified links give components. Buckets that still hold several are taken up again: members
+are compared with PIVOTS others, drawn by hash, that are in another component. At last, members of one bucket in different components are all compared
+with each other, in blocks of at most BLOCK rows by BLOCK rows inside a task; only survivors leave it. So most of a group of n near copies costs a
+number of comparisons in proportion to n, and no pair of a bucket that could join two components is passed over. For tables far
 larger than 10^8 documents, more ROWS and BANDS keep buckets of documents that share only a common passage small.
 
 Defined cases: words are runs of anything but white space, A-Z in lower case; a text of fewer words than a shingle has one shingle, the whole sequence; one without words
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import arrow_map, drop, small_batches, stage
 from .components import components
 
-#: Words of a shingle, similarity in percent, bands, minima of a band, minima to verify with and of a batch, miss probability, rows of a block.
-SHINGLE, PERCENT, BANDS, ROWS, CHECKS, BATCH, MISS, BLOCK = 5, 75, 40, 5, 64, 16, 1e-6, 512
+#: Words of a shingle, similarity in percent, bands, minima of a band, minima to verify with and of a batch, miss probability, further pivots, rows of a block.
+SHINGLE, PERCENT, BANDS, ROWS, CHECKS, BATCH, MISS, PIVOTS, BLOCK = 5, 75, 40, 5, 192, 16, 1e-6, 3, 512
 _hashes: dict[bytes, int] = {}
 _odd = (np.random.default_rng(20).integers(0, 1 << 31, BANDS * ROWS + CHECKS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _mults = np.random.default_rng(21).integers(1, 1 << 62, max(SHINGLE, ROWS) + 1, dtype=np.uint64) | np.uint64(1)
@@ -208,8 +209,8 @@ def crossing(members: DataFrame, percent: int, block: int) -> DataFrame:
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(over, "a long, b long").distinct()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b): those of the pairs whose full shingle sets are as similar as asked for. pairs is a staged table; texts travel compressed."""
+def packed(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, packed): the word sequences of these nodes, compressed before they are shuffled."""
 
     def pack(batch: pa.RecordBatch) -> pa.RecordBatch:
         import zstandard
@@ -217,6 +218,12 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         zip_ = zstandard.ZstdCompressor(level=3).compress
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array([zip_(b" ".join(words(t))) for t in batch.column(1).to_pylist()], pa.binary())], ["node", "packed"])
 
+    return arrow_map(docs, pack, "node long, packed binary").join(nodes.hint("merge"), "node", "left_semi")
+
+
+def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b): those of the pairs whose full shingle sets are as similar as asked for."""
+
     def compare(batch: pa.RecordBatch) -> pa.RecordBatch:
         import zstandard
 
@@ -233,13 +240,11 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int) -> DataFrame:
         at = pa.array(left, pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at)], ["a", "b"])
 
-    nodes = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts, path = stage(arrow_map(docs.join(nodes, "doc_id", "left_semi"), pack, "node long, packed binary"), "texts")
-    own = lambda c: texts.select(F.col("node").alias(c), F.col("packed").alias(f"p{c}"))
-    return arrow_map(pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "pa", "pb"), compare, "a long, b long").distinct(), path
+    own = lambda c: texts.select(F.col("node").alias(c), F.col("packed").alias(f"p{c}")).hint("merge")
+    return arrow_map(pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "pa", "pb"), compare, "a long, b long").distinct()
 
 
-def link(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFrame:
+def link(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -250,30 +255,50 @@ def link(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK) -> DataFra
     firsts, firsts_path = stage(first.select(F.col("s.doc_id").alias("node"), "digest", "s.n", "s.bands", "s.checks"), "firsts")
     keys = firsts.select("node", F.explode("bands").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
-    shared, shared_path = stage(keys.join(least, "key"), "buckets")
-    stars = shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct()
-    left, left_path = stage(pruned(stars, firsts, percent), "survivors")
-    found, texts_path = verified(left, docs, percent)
-    links, links_path = stage(found, "links")
+    shared, shared_path = stage(keys.join(least.hint("merge"), "key"), "buckets")
+    texts, texts_path = stage(packed(docs, shared.select("node").distinct()), "texts")
+
+    def decided(pairs: DataFrame) -> tuple[DataFrame, str]:
+        """Links among pairs (a, b), staged."""
+        left, path = stage(pairs, "survivors")
+        found = stage(verified(left, texts, percent), "links")
+        drop(spark, path)
+        return found
+
+    # every bucket about its least member
+    stars, stars_path = stage(shared.where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    links, links_path = decided(pruned(stars, firsts, percent))
     labels, labels_path = components(links)
-    drop(spark, left_path, texts_path)
 
+    # buckets of several components about members drawn by hash
     label = F.coalesce("component", "node")
-    members = shared.select("key", "node").join(labels, "node", "left").withColumn("component", label)
-    mixed = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
-    open_, open_path = stage(members.join(mixed, "key", "left_semi").join(firsts.select("node", "n", "checks"), "node").select("key", "node", "component", "n", "checks"), "open")
-    more, more_path = stage(crossing(open_, percent, block), "survivors")
-    # pairs that were compared in the first step have been decided
-    new, new_path = stage(more.join(stars, ["a", "b"], "left_anti"), "survivors")
-    drop(spark, open_path, more_path)
-    found, texts_path = verified(new, docs, percent)
-    both, both_path = stage(links.unionByName(found), "links")
-    drop(spark, links_path, labels_path, texts_path, new_path, shared_path)
+
+    def labelled() -> tuple[DataFrame, str]:
+        """Members of the buckets that hold several components: key, node, component."""
+        members = shared.select("key", "node").join(labels, "node", "left").withColumn("component", label)
+        several = members.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+        return stage(members.join(several.hint("merge"), "key", "left_semi").select("key", "node", "component"), "open")
+
+    open_, open_path = labelled()
+    drawn = open_.groupBy("key").agg(*(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "component")).alias(f"s{r}") for r in range(pivots)))
+    drawn = drawn.select("key", F.explode(F.array(*(F.col(f"s{r}") for r in range(pivots)))).alias("s")).select("key", F.col("s.node").alias("pivot"), F.col("s.component").alias("far"))
+    again = open_.join(drawn.hint("merge"), "key").where("component <> far").select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
+    again, again_path = stage(again.join(stars, ["a", "b"], "left_anti"), "stars")
+    more, more_path = decided(pruned(again, firsts, percent))
+    both, both_path = stage(links.unionByName(more), "links")
+    drop(spark, open_path, labels_path, links_path, more_path)
     labels, labels_path = components(both)
+
+    # what is left: all pairs of a bucket that are still in different components, but for those that have been decided
+    open_, open_path = labelled()
+    last = crossing(open_.join(firsts.select("node", "n", "checks").hint("merge"), "node"), percent, block)
+    more, more_path = decided(last.join(stars.unionByName(again), ["a", "b"], "left_anti"))
+    every, every_path = stage(both.unionByName(more), "links")
+    drop(spark, open_path, labels_path, both_path, more_path, stars_path, again_path, texts_path, shared_path)
+    labels, labels_path = components(every)
     classes, _ = stage(firsts.select("node", "digest").join(labels, "node", "left").select("digest", label.alias("component_id")), "classes")
     slim, _ = stage(rows.select("doc_id", "digest", "n"), "documents")
-    drop(spark, both_path, firsts_path, rows_path, labels_path)
-    # rows that share an id are one document, so the least component of any of them holds
+    drop(spark, every_path, firsts_path, rows_path, labels_path)
     out = slim.join(classes.withColumnRenamed("digest", "_digest"), F.col("digest") == F.col("_digest"), "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
