@@ -6,7 +6,8 @@ Beta(m+1, n-m+1), and the pair is pruned as soon as the probability that it reac
 
 A bucket's members are first compared with its least member only; verified links give components. Buckets that still hold several are taken up again: members
 are compared with PIVOTS others, drawn by hash, that are in another component. At last, members of one bucket in different components are all compared
-with each other, in blocks of at most BLOCK rows by BLOCK rows inside a task; only survivors leave it. So most of a group of n near copies costs a
+with each other, in blocks of at most BLOCK rows by BLOCK rows inside a task. There a bitmap of each set, eight bits or more for an element, bounds the
+symmetric difference from below, which rules out nearly all that the posterior leaves, and only survivors leave the task. So most of a group of n near copies costs a
 number of comparisons in proportion to n, and no pair of a bucket that could join two components is passed over. For tables far
 larger than 10^8 documents, more ROWS and BANDS keep buckets of documents that share only a common passage small.
 
@@ -30,7 +31,7 @@ from .common import arrow_map, drop, small_batches, stage
 from .components import components
 
 #: Words of a shingle, similarity in percent, bands, minima of a band, minima to verify with and of a batch, miss probability, further pivots, rows of a block.
-SHINGLE, PERCENT, BANDS, ROWS, CHECKS, BATCH, MISS, PIVOTS, BLOCK = 5, 75, 40, 5, 192, 16, 1e-6, 3, 512
+SHINGLE, PERCENT, BANDS, ROWS, CHECKS, BATCH, MISS, PIVOTS, BLOCK = 5, 75, 40, 5, 128, 16, 1e-6, 3, 512
 _hashes: dict[bytes, int] = {}
 _odd = (np.random.default_rng(20).integers(0, 1 << 31, BANDS * ROWS + CHECKS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _mults = np.random.default_rng(21).integers(1, 1 << 62, max(SHINGLE, ROWS) + 1, dtype=np.uint64) | np.uint64(1)
@@ -87,6 +88,34 @@ def signature(s: np.ndarray) -> tuple[np.ndarray, bytes]:
     return key.view(np.int64), m[BANDS * ROWS :].astype(np.uint16).tobytes()
 
 
+def bitmap(s: np.ndarray) -> bytes:
+    """A bit for each shingle at its hash modulo the size, a power of two of at least eight bits a shingle."""
+    bits = np.zeros(max(256, 1 << (8 * len(s) - 1).bit_length()), bool)
+    bits[(s & np.uint64(len(bits) - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def possible(maps: list[bytes], n: np.ndarray, u: np.ndarray, v: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs of rows (u, v) the bitmaps don't rule out.
+
+    Bits that differ are set by as many different elements of the symmetric difference at least, also after a bitmap is folded to
+    the size of a smaller one, so the intersection is at most (|A| + |B| - differing bits) / 2.
+    """
+    size = np.array([len(m) for m in maps])
+    least, keep = np.minimum(size[u], size[v]), np.zeros(len(u), bool)
+    for width in np.unique(least):
+        at = np.flatnonzero(least == width)
+        rows, inverse = np.unique(np.concatenate([u[at], v[at]]), return_inverse=True)
+        table = np.stack([np.bitwise_or.reduce(np.frombuffer(maps[r], np.uint64).reshape(-1, width // 8), axis=0) for r in rows])
+        x, y = inverse[: len(at)], inverse[len(at) :]
+        step = max(1, 16_000_000 // width)
+        for k in range(0, len(at), step):
+            differ = np.bitwise_count(table[x[k : k + step]] ^ table[y[k : k + step]]).sum(1, dtype=np.int64)
+            both = n[u[at[k : k + step]]] + n[v[at[k : k + step]]]
+            keep[at[k : k + step]] = (100 + percent) * (both - differ) >= 2 * percent * both
+    return np.flatnonzero(keep)
+
+
 def bounds(percent: int = PERCENT, miss: float = MISS) -> list[tuple[int, int]]:
     """(n, least m): after n comparisons a pair with fewer than m equal is pruned.
 
@@ -118,25 +147,25 @@ def _signed(column: pa.Array) -> np.ndarray:
 
 
 def parsed(docs: DataFrame) -> DataFrame:
-    """doc_id, digest of the word sequence (null without words), n, bands, checks."""
+    """doc_id, digest of the word sequence (null without words), n, bands, checks, map."""
 
     def over(batch: pa.RecordBatch) -> pa.RecordBatch:
-        digests, sizes, bands, checks = [], [], [], []
+        digests, sizes, bands, checks, maps = [], [], [], [], []
         for text in batch.column(1).to_pylist():
             found = words(text)
             s = shingles(found)
             sizes.append(len(s))
             if len(s):
                 keys, check = signature(s)
-                digests.append(hashlib.blake2b(b" ".join(found), digest_size=16).digest()), bands.append(keys), checks.append(check)
+                digests.append(hashlib.blake2b(b" ".join(found), digest_size=16).digest()), bands.append(keys), checks.append(check), maps.append(bitmap(s))
             else:
-                digests.append(None), bands.append(None), checks.append(None)
+                digests.append(None), bands.append(None), checks.append(None), maps.append(None)
         return pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(checks, pa.binary())],
-            ["doc_id", "digest", "n", "bands", "checks"],
+            [batch.column(0), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(checks, pa.binary()), pa.array(maps, pa.binary())],
+            ["doc_id", "digest", "n", "bands", "checks", "map"],
         )
 
-    return arrow_map(docs, over, "doc_id long, digest binary, n long, bands array<long>, checks binary")
+    return arrow_map(docs, over, "doc_id long, digest binary, n long, bands array<long>, checks binary, map binary")
 
 
 def pruned(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
@@ -154,7 +183,7 @@ def pruned(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
 def crossing(members: DataFrame, percent: int, block: int) -> DataFrame:
     """Surviving pairs (a, b) of different components within each bucket.
 
-    members: key, node, component, n, checks. A bucket of more than `block` rows is dealt into blocks, and each pair of blocks is a group of its own.
+    members: key, node, component, n, checks, map. A bucket of more than `block` rows is dealt into blocks, and each pair of blocks is a group of its own.
     """
     sizes = members.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("q"))
     own = F.pmod(F.xxhash64("node"), F.col("q")).cast("int")
@@ -162,7 +191,7 @@ def crossing(members: DataFrame, percent: int, block: int) -> DataFrame:
         members.join(sizes, "key")
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("q") - 1)))
-        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "checks")
+        .select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "component", "n", "checks", "map")
     )
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +199,7 @@ def crossing(members: DataFrame, percent: int, block: int) -> DataFrame:
 
         def pairs(t: pa.Table) -> pa.RecordBatch:
             key, i, j, own, node, comp, n = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "node", "component", "n"))
-            s = _signed(t.column("checks").combine_chunks())
+            s, maps = _signed(t.column("checks").combine_chunks()), t.column("map").to_pylist()
             edge = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1]), [True]]))
             xs, ys = [], []
             for a, b in zip(edge, edge[1:]):
@@ -188,6 +217,8 @@ def crossing(members: DataFrame, percent: int, block: int) -> DataFrame:
             for k in range(0, len(x), 50_000):
                 u, v = x[k : k + 50_000], y[k : k + 50_000]
                 left = survives(s[u], s[v], n[u], n[v], percent)
+                u, v = u[left], v[left]
+                left = possible(maps, n, u, v, percent)
                 got.append(np.stack([node[u[left]], node[v[left]]], 1))
             found = np.unique(np.sort(np.concatenate(got), axis=1), axis=0)
             return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], ["a", "b"])
@@ -251,8 +282,8 @@ def link(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, pivots: in
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows, rows_path = stage(parsed(docs), "parsed")
     known = rows.where("digest is not null and doc_id is not null")
-    first = known.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands", "checks")).alias("s"))
-    firsts, firsts_path = stage(first.select(F.col("s.doc_id").alias("node"), "digest", "s.n", "s.bands", "s.checks"), "firsts")
+    first = known.groupBy("digest").agg(F.min(F.struct("doc_id", "n", "bands", "checks", "map")).alias("s"))
+    firsts, firsts_path = stage(first.select(F.col("s.doc_id").alias("node"), "digest", "s.n", "s.bands", "s.checks", "s.map"), "firsts")
     keys = firsts.select("node", F.explode("bands").alias("key"))
     least = keys.groupBy("key").agg(F.min("node").alias("least"), F.max("node").alias("most")).where("least <> most").select("key", "least")
     shared, shared_path = stage(keys.join(least.hint("merge"), "key"), "buckets")
@@ -291,7 +322,7 @@ def link(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, pivots: in
 
     # what is left: all pairs of a bucket that are still in different components, but for those that have been decided
     open_, open_path = labelled()
-    last = crossing(open_.join(firsts.select("node", "n", "checks").hint("merge"), "node"), percent, block)
+    last = crossing(open_.join(firsts.select("node", "n", "checks", "map").hint("merge"), "node"), percent, block)
     more, more_path = decided(last.join(stars.unionByName(again), ["a", "b"], "left_anti"))
     every, every_path = stage(both.unionByName(more), "links")
     drop(spark, open_path, labels_path, both_path, more_path, stars_path, again_path, texts_path, shared_path)
