@@ -1,6 +1,8 @@
-"""The named queries and, where SQL can express them, their oracles."""
+"""The named queries and, where SQL can express them, their oracles. Each query applies an operator to whole tables."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+from . import density_queries, spike_queries, unit_queries
+
+QUERIES: dict = {**spike_queries.QUERIES, **unit_queries.QUERIES, **density_queries.QUERIES}
+ORACLE: dict = {**spike_queries.ORACLE, **unit_queries.ORACLE, **density_queries.ORACLE}
