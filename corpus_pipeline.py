@@ -18,8 +18,9 @@ LEAST_SCORE = 0.3
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known with some certainty stay."""
     net = language_id.train(docs.where(fold_of("doc_id", 4) != 2))
-    found = language_id.identify(docs, net)
-    return found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE)).select(*docs.columns)
+    found = language_id.identify(docs.select(F.struct("*").alias("_row"), "text"), net)
+    kept = found.where((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
+    return kept.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

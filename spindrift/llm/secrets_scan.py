@@ -64,14 +64,16 @@ class Markov:
     @staticmethod
     def _logs(strings: list[str]) -> np.ndarray:
         n = len(ALPHABET)
-        one, two = np.ones((n, n)), np.zeros((n, n, n))
+        none, one, two = np.full(n, 0.5), np.zeros((n, n)), np.zeros((n, n, n))
         for s in strings:
             c = CODE[np.frombuffer(s.encode("ascii", "ignore"), np.uint8)]
             c = c[c >= 0]
+            np.add.at(none, c, 1)
             np.add.at(one, (c[:-1], c[1:]), 1)
             np.add.at(two, (c[:-2], c[1:-1], c[2:]), 1)
-        one /= one.sum(1, keepdims=True)
-        two += 20 * one[None]
+        # each order backs off to the one below, so what ordinary text hardly ever has stays unlikely in contexts it never had
+        one += 5 * none / none.sum()
+        two += 5 * (one / one.sum(1, keepdims=True))[None]
         return np.log(two / two.sum(2, keepdims=True)).astype(np.float32)
 
     def ratios(self, strings: list[str]) -> np.ndarray:
