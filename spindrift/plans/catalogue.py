@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import density_queries, spike_queries, unit_queries
+from . import density_queries, noise_queries, spike_queries, unit_queries
 
-QUERIES: dict = {**spike_queries.QUERIES, **unit_queries.QUERIES, **density_queries.QUERIES}
-ORACLE: dict = {**spike_queries.ORACLE, **unit_queries.ORACLE, **density_queries.ORACLE}
+MODULES = (spike_queries, unit_queries, density_queries, noise_queries)
+QUERIES: dict = {name: f for m in MODULES for name, f in m.QUERIES.items()}
+ORACLE: dict = {name: sql for m in MODULES for name, sql in m.ORACLE.items()}
