@@ -50,13 +50,14 @@ def kmeans(rows: DataFrame, v: str, k: int, seed: int = 0, steps: int = 50, to:
     return model.transform(rows.withColumn("_f", array_to_vector(F.col(v).cast("array<double>")))).drop("_f")
 
 
-def mixture(rows: DataFrame, v: str, dims: int, centres: np.ndarray, noise: float = 1e-3, steps: int = 30, tol: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float, list[float]]:
-    """EM of isotropic components and one uniform noise component: (means, proportions, variance, ELBO by step).
+def mixture(rows: DataFrame, v: str, dims: int, centres: np.ndarray, noise: float = 1e-3, steps: int = 30, tol: float = 1e-4, variance: float = 1.0, proportions: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, float, list[float]]:
+    """EM of isotropic components and one uniform noise component: (means, proportions, variance, ELBO by step), from the given centres, variance and proportions (default: all equal).
 
     The table is read once a step; each task gives its sufficient statistics, one row, and parameters are a unit-level table on the driver.
     """
     ship(rows.sparkSession)
-    mu, pi, var, elbo = centres.astype(float), np.full(len(centres) + 1, 1 / (len(centres) + 1)), 1.0, []
+    mu, var, elbo = centres.astype(float), variance, []
+    pi = np.full(len(mu) + 1, 1 / (len(mu) + 1)) if proportions is None else proportions
     k = len(mu)
     for _ in range(steps):
         state = (mu, pi, var)

@@ -35,3 +35,23 @@ def rand_index(rows: DataFrame, x: str, y: str) -> DataFrame:
     j = s.join(a).join(b).withColumn("t", F.col("total") * (F.col("total") - 1) / 2)
     expected = F.try_divide(F.col("a") * F.col("b"), F.col("t"))
     return j.select(F.try_divide(F.col("t") + 2 * F.col("both") - F.col("a") - F.col("b"), F.col("t")).alias("rand"), F.try_divide(F.col("both") - expected, (F.col("a") + F.col("b")) / 2 - expected).alias("adjusted_rand"))
+
+
+def unit_performance(categories: DataFrame, truth: DataFrame, tested: DataFrame, label: str = "label") -> DataFrame:
+    """accuracy, recall and precision of each matched kind: categories (a_id, b_id, category) with the labels of truth (a_id) and tested (b_id)."""
+    x = categories.join(truth.select("a_id", F.col(label).alias("_la")), "a_id", "left").join(tested.select("b_id", F.col(label).alias("_lb")), "b_id", "left")
+    is_ = lambda c: F.sum(F.when(F.col("category") == c, 1).otherwise(0))
+    by = x.withColumn(label, F.coalesce("_la", "_lb")).groupBy(label).agg(is_("TP").alias("tp"), is_("FN").alias("fn"), is_("FP").alias("fp"))
+    tp = F.col("tp")
+    return by.select(label, "tp", "fn", "fp", F.try_divide(tp, tp + F.col("fn") + F.col("fp")).alias("accuracy"), F.try_divide(tp, tp + F.col("fn")).alias("recall"), F.try_divide(tp, tp + F.col("fp")).alias("precision"))
+
+
+def misalignment(pairs: DataFrame, ta: str = "ta", tb: str = "tb", label: str = "label") -> DataFrame:
+    """(label, rms): root of the mean squared time between matched spikes."""
+    gap = (F.col(tb) - F.col(ta)).cast("double")
+    return pairs.groupBy(label).agg(F.sqrt(F.avg(gap * gap)).alias("rms"))
+
+
+def melted(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
+    """A row for each metric of each row: (ids, metric, value)."""
+    return df.unpivot(ids, [*metrics], "metric", "value")

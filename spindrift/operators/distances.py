@@ -62,3 +62,39 @@ def top_cosine(rows: DataFrame, queries: DataFrame, key: str, k: int, v: str = "
     sim = F.try_divide(dot(F.col(v), F.col("_q")), norm(F.col(v)) * norm(F.col("_q")))
     w = Window.partitionBy("query").orderBy(F.desc("sim"), key)
     return both.select("query", key, F.round(sim, 6).alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def combined(tables: list[tuple[DataFrame, float]]) -> DataFrame:
+    """(i, j, d): the greatest of pair distances (i, j, d) over their thresholds, so 1 is the limit of all; pairs missing from a table are infinitely far in it, hence left out."""
+    out = None
+    for n, (t, threshold) in enumerate(tables):
+        one = t.select("i", "j", (F.col("d") / threshold).alias(f"_d{n}"))
+        out = one if out is None else out.join(one, ["i", "j"])
+    parts = [F.col(f"_d{n}") for n in range(len(tables))]
+    return out.select("i", "j", (F.greatest(*parts) if len(parts) > 1 else parts[0]).alias("d"))
+
+
+def lagged(units: DataFrame, most: int, label: str = "label", v: str = "v") -> DataFrame:
+    """(i, j, lag, dot): for i < j the shift of j's vector by at most `most` samples of the greatest dot product with i's, of equals the shift nearest 0, then the lower one; zeros enter at the edges."""
+    p = pairs(units, label, v).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most))))
+    n = F.size("vi")
+    # vi[s] * vj[s - lag] over the samples both have
+    over = F.greatest(n - F.abs("lag"), F.lit(0))
+    a = F.slice("vi", F.greatest(F.col("lag"), F.lit(0)) + 1, over)
+    b = F.slice("vj", F.greatest(-F.col("lag"), F.lit(0)) + 1, over)
+    best = p.select("i", "j", "lag", dot(a, b).alias("dot")).groupBy("i", "j").agg(F.max(F.struct("dot", (-F.abs("lag")).alias("near"), (-F.col("lag")).alias("low"))).alias("m"))
+    return best.select("i", "j", (-F.col("m.low")).alias("lag"), F.col("m.dot").alias("dot"))
+
+
+def max_z(std_floor: float = 1e-9) -> Column:
+    """The greatest standardised difference |a - b| / (2 min(sa, sb)) of pairs that also carry standard errors si and sj."""
+    err = F.zip_with("si", "sj", lambda x, y: F.greatest(F.least(x, y).cast("double"), F.lit(std_floor)))
+    gap = F.zip_with("vi", "vj", lambda x, y: F.abs(x.cast("double") - y.cast("double")))
+    return F.array_max(F.zip_with(gap, err, lambda g, e: g / (e * 2)))
+
+
+def relabel(spikes: DataFrame, names: DataFrame, t: str = "t", label: str = "label", to: str = "merged") -> DataFrame:
+    """Labels under the names (label, new[, shift]) of their units, times moved by the shift if there is one; units without a name stay."""
+    shift = F.coalesce("shift", F.lit(0)) if "shift" in names.columns else F.lit(0)
+    out = spikes.join(names.withColumnRenamed("new", "_new"), label, "left").withColumn(t, F.col(t) + shift).withColumn(to, F.coalesce("_new", F.col(label)))
+    return out.drop("_new", "shift")
