@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -86,3 +87,69 @@ def subtract_peaks(threshold: float, dedup: int, kernel: list[float], t: str = "
         return pd.DataFrame(sorted(out, key=lambda r: (r[2], r[1])), columns=["chunk", "spike_id", "t", "height"])
 
     return run
+
+
+def peaks_by_chunk(samples: DataFrame, length: int, radius: int, threshold: float, sign: int = -1, t: str = "t", channel: str = "channel", v: str = "v") -> DataFrame:
+    """(t, channel, v): local extrema of each channel, of height v; sign -1 takes troughs, 1 peaks, 0 both. Chunks with margins are searched apart, so no channel is ever in one task."""
+    height = F.abs(F.col(v)) if sign == 0 else F.col(v) * sign
+    cut = with_halo(samples.select(F.col(t).alias("t"), F.col(channel).alias("channel"), height.cast("double").alias("v")), length, radius + 1)
+    return local_maxima(cut, radius, threshold, ["chunk", "channel"], ["t"], "v").where("core").select("t", "channel", "v")
+
+
+def _at_chunks(samples: DataFrame, spikes: DataFrame, fn: Callable, schema: str, length: int, margin: int) -> DataFrame:
+    own = spikes.withColumn("chunk", F.floor(F.col("t") / length))
+    return own.groupBy("chunk").cogroup(with_halo(samples.select("t", "channel", "v"), length, margin).groupBy("chunk")).applyInPandas(fn, schema)
+
+
+def _dense(samples: pd.DataFrame, channels: list[int]) -> tuple[int, np.ndarray]:
+    """First time and the samples as (times, channels), missing ones 0."""
+    first = int(samples["t"].min())
+    x = np.zeros((int(samples["t"].max()) - first + 1, len(channels)))
+    col = samples["channel"].map(pd.Series(range(len(channels)), index=channels))
+    ok = col.notna().to_numpy()
+    x[(samples["t"].to_numpy() - first)[ok], col[ok].astype(int)] = samples["v"].to_numpy(float)[ok]
+    return first, x
+
+
+def _window(x: np.ndarray, start: int, length: int) -> np.ndarray:
+    """length rows from start, zeros beyond the ends."""
+    out = np.zeros((length, x.shape[1]))
+    a, b = max(start, 0), min(start + length, len(x))
+    if a < b:
+        out[a - start : b - start] = x[a:b]
+    return out
+
+
+def grab(samples: DataFrame, spikes: DataFrame, neighbours: dict[int, list[int]], before: int, length: int, chunk: int) -> DataFrame:
+    """(spike_id, t, channel, v, near, amp): each spike's snippet on its channel, and the heights on its neighbours. Spikes and samples meet by chunk, each group of bounded length."""
+    channels = sorted(neighbours)
+    at = {c: k for k, c in enumerate(channels)}
+
+    def run(s: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(s) and len(x):
+            first, dense = _dense(x, channels)
+            for i, t, c in zip(s["spike_id"], s["t"], s["channel"]):
+                w = _window(dense, int(t) - before - first, length)
+                near = neighbours[int(c)]
+                out.append((i, t, c, w[:, at[int(c)]], near, np.ptp(w[:, [at[n] for n in near]], axis=0)))
+        return pd.DataFrame(out, columns=["spike_id", "t", "channel", "v", "near", "amp"])
+
+    return _at_chunks(samples, spikes.select("spike_id", "t", "channel"), run, "spike_id long, t long, channel int, v array<double>, near array<int>, amp array<double>", chunk, length)
+
+
+def templates_of(samples: DataFrame, spikes: DataFrame, channels: list[int], before: int, length: int, chunk: int) -> DataFrame:
+    """(label, channel, v, n): mean snippets of each unit on all channels. A chunk gives one sum for a unit and channel, which are added entry by entry."""
+
+    def run(s: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(s) and len(x):
+            first, dense = _dense(x, channels)
+            for u, g in s.groupby("label"):
+                total = sum(_window(dense, int(t) - before - first, length) for t in g["t"])
+                out += [(int(u), c, len(g), total[:, k]) for k, c in enumerate(channels)]
+        return pd.DataFrame(out, columns=["label", "channel", "n", "v"])
+
+    parts = _at_chunks(samples, spikes.where("label >= 0").select("t", F.col("label").cast("int").alias("label")), run, "label int, channel int, n long, v array<double>", chunk, length)
+    by = parts.select("label", "channel", "n", F.posexplode("v").alias("k", "x")).groupBy("label", "channel", "k").agg((F.sum("x") / F.sum("n")).alias("x"), F.sum("n").alias("n"))
+    return by.groupBy("label", "channel").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "x"))), lambda p: p["x"]).alias("v"), F.max("n").alias("n"))
