@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -55,3 +56,37 @@ def misalignment(pairs: DataFrame, ta: str = "ta", tb: str = "tb", label: str =
 def melted(df: DataFrame, ids: list[str], metrics: list[str]) -> DataFrame:
     """A row for each metric of each row: (ids, metric, value)."""
     return df.unpivot(ids, [*metrics], "metric", "value")
+
+
+def assignment(score: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs (row, column) of the greatest total score, as many as the smaller side has. A table of units, on the driver.
+
+    Rows enter one by one; each finds the cheapest chain of exchanges to a free column under prices that keep all costs at least zero.
+    """
+    if score.shape[0] > score.shape[1]:
+        return sorted((i, j) for j, i in assignment(score.T))
+    cost = -np.asarray(score, float)
+    n, m = cost.shape
+    row_price, col_price, owner = np.zeros(n), np.zeros(m), np.full(m, -1)
+    for new in range(n):
+        gap, came, done = np.full(m, np.inf), np.full(m, -1), np.zeros(m, bool)
+        row, at, reached = new, -1, 0.0
+        while True:
+            better = ~done & (reached + cost[row] - row_price[row] - col_price < gap)
+            gap[better] = (reached + cost[row] - row_price[row] - col_price)[better]
+            came[better] = at
+            at = int(np.where(done, np.inf, gap).argmin())
+            reached = gap[at]
+            if owner[at] < 0:
+                break
+            done[at] = True
+            row = owner[at]
+        row_price[new] += reached
+        for j in np.flatnonzero(done):
+            row_price[owner[j]] += reached - gap[j]
+            col_price[j] -= reached - gap[j]
+        while came[at] >= 0:
+            owner[at] = owner[came[at]]
+            at = int(came[at])
+        owner[at] = new
+    return sorted((int(i), j) for j, i in enumerate(owner.tolist()) if i >= 0)

@@ -55,3 +55,14 @@ def assign_nearest(labelled: DataFrame, others: DataFrame, axes: list[str], key:
     near = within(a, b, [f"{c}_a" for c in axes], [f"{c}_b" for c in axes], radius)
     best = near.groupBy("a").agg(F.min(F.struct("d", "b", "label")).alias("m"))
     return others.select(key).join(best.select(F.col("a").alias(key), F.col("m.label").alias("label")), key, "left").select(key, F.coalesce("label", F.lit(-1)).alias("label"))
+
+
+def trim_borders(points: DataFrame, axes: list[str], key: str, k: int = 5, radius: float = 1.0) -> DataFrame:
+    """points (key, axes, label, density): label -1 where the density isn't above the greatest density of the unit's border points, those with another unit among their k nearest within radius. All units are trimmed, 0 too."""
+    cols = lambda s: [F.col(key).alias(s), F.col("label").alias(f"l{s}"), *(F.col(c).alias(f"{c}_{s}") for c in axes)]
+    live = points.where("label >= 0")
+    w = Window.partitionBy("a").orderBy("d", "b")
+    near = within(live.select(cols("a")), live.select(cols("b")), [f"{c}_a" for c in axes], [f"{c}_b" for c in axes], radius).where("a <> b")
+    border = near.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).where("la <> lb").select(F.col("a").alias(key)).distinct()
+    top = live.join(border, key).groupBy("label").agg(F.max("density").alias("_top"))
+    return points.join(top, "label", "left").withColumn("label", F.when(F.col("density") <= F.col("_top"), F.lit(-1)).otherwise(F.col("label"))).drop("_top")

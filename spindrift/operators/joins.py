@@ -82,3 +82,40 @@ def possible_collisions(spikes: DataFrame, t_radius: int, dedup: int, t: str = "
     near = bucketed_pairs(a, b, t_radius, by).where((F.col("a_id") != F.col("b_id")) & (F.abs(F.col("ta") - F.col("tb")) > dedup) & (F.col("ab") >= F.col("aa")))
     flagged = near.select(F.col("a_id").alias(key)).distinct().withColumn("cc_flag", F.lit(True))
     return spikes.join(flagged, key, "left").withColumn("cc_flag", F.coalesce("cc_flag", F.lit(False)))
+
+
+def greedy_match(a: DataFrame, b: DataFrame, axes_a: list[str], axes_b: list[str], radius: float, step: float, key_a: str = "a_id", key_b: str = "b_id") -> DataFrame:
+    """(key_a, key_b, d): one-to-one pairs within radius, nearest first, where distances count in whole steps and equal ones go by key_a, then key_b.
+
+    Each round takes the pairs that come first for both of their ends and drops all others of these ends; that is the greedy order's own result, with as many rounds as its longest chain of pairs that wait for each other.
+    """
+    from .graph import _cut
+
+    pairs = within(a.select(key_a, *axes_a), b.select(key_b, *axes_b), axes_a, axes_b, radius).select(key_a, key_b, "d", F.floor(F.col("d") / step).alias("_s"))
+    left, out = _cut(pairs), None
+    while not left.isEmpty():
+        first = left
+        for key in (key_a, key_b):
+            first = first.withColumn(f"_r_{key}", F.row_number().over(Window.partitionBy(key).orderBy("_s", key_a, key_b)))
+        taken = _cut(first.where(f"_r_{key_a} = 1 and _r_{key_b} = 1").select(key_a, key_b, "d"))
+        out = taken if out is None else out.unionByName(taken)
+        left = _cut(left.join(taken.select(key_a), key_a, "left_anti").join(taken.select(key_b), key_b, "left_anti"))
+    return pairs.select(key_a, key_b, "d").limit(0) if out is None else out
+
+
+def grid_snap(points: DataFrame, dx: float, dz: float, x: str = "x", z: str = "z", to: str = "label") -> DataFrame:
+    """Number of the nearest point of a grid that is centred in the points' bounding box, row by row from the lowest; halves go up. No join but for the box."""
+    box = points.agg(F.min(x).alias("_x0"), F.max(x).alias("_x1"), F.min(z).alias("_z0"), F.max(z).alias("_z1"))
+    nx, nz = (F.floor((F.col(f"_{c}1") - F.col(f"_{c}0")) / w) for c, w in (("x", dx), ("z", dz)))
+    at = lambda v, c, w, n: F.greatest(F.least(F.floor((F.col(v) - (F.col(f"_{c}0") + F.col(f"_{c}1") - n * w) / 2) / w + 0.5), n), F.lit(0))
+    return points.join(F.broadcast(box)).withColumn(to, at(z, "z", dz, nz) * (nx + 1) + at(x, "x", dx, nx)).drop("_x0", "_x1", "_z0", "_z1")
+
+
+def majority_of_nearest(labelled: DataFrame, others: DataFrame, axes: list[str], key: str, radius: float, k: int = 5) -> DataFrame:
+    """(key, label): the commonest label among the k nearest labelled points within radius, of equals the one that is nearest in sum, then the smaller; -1 where there is none."""
+    a = others.select(F.col(key).alias("a"), *(F.col(c).alias(f"{c}_a") for c in axes))
+    b = labelled.select(F.col(key).alias("b"), "label", *(F.col(c).alias(f"{c}_b") for c in axes))
+    near = nearest(a, b, [f"{c}_a" for c in axes], [f"{c}_b" for c in axes], radius, k, "a", "b")
+    votes = near.groupBy("a", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("s"))
+    best = votes.groupBy("a").agg(F.min(F.struct((-F.col("n")).alias("n"), "s", "label")).alias("m"))
+    return others.select(key).join(best.select(F.col("a").alias(key), F.col("m.label").alias("label")), key, "left").select(key, F.coalesce("label", F.lit(-1)).alias("label"))

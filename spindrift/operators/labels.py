@@ -79,3 +79,31 @@ def unit_mask(units: DataFrame, count: int, snr: float, ptp: float, always_ptp:
     """Units that are large, clear and high enough, or high enough to be kept in any case."""
     ok = ((F.col("n") >= count) & (F.col("snr") >= snr) & (F.col("ptp") >= ptp)) | (F.col("ptp") >= always_ptp)
     return units.withColumn("kept", ok)
+
+
+def permute(spikes: DataFrame, seed: int = 0, label: str = "label", to: str = "permuted") -> DataFrame:
+    """Labels exchanged among the units at random, by the MD5 of label and seed; -1 stays."""
+    units = spikes.where(F.col(label) >= 0).select(label).distinct()
+    by = F.md5(F.concat_ws(":", F.col(label).cast("string"), F.lit(str(seed))).cast("binary"))
+    old = units.withColumn("_k", F.row_number().over(Window.orderBy(label)))
+    new = units.select(F.col(label).alias(to), F.row_number().over(Window.orderBy(by, label)).alias("_k"))
+    return spikes.join(old.join(new, "_k").select(label, to), label, "left").withColumn(to, F.coalesce(to, F.lit(-1)))
+
+
+def collision_rates(flagged: DataFrame, label: str = "label", flag: str = "cc_flag") -> DataFrame:
+    """(label, n, rate): share of a unit's spikes that are flagged."""
+    return flagged.where(F.col(label) >= 0).groupBy(label).agg(F.count(F.lit(1)).alias("n"), F.avg(F.col(flag).cast("double")).alias("rate"))
+
+
+def radial_weights(spikes: DataFrame, neighbours: DataFrame, label: str = "label", channel: str = "channel") -> DataFrame:
+    """(label, channel, weight): spikes of a unit on a channel or its neighbours, over the unit's greatest such number."""
+    own = spikes.where(F.col(label) >= 0).groupBy(label, channel).agg(F.count(F.lit(1)).alias("_n"))
+    spread = own.join(neighbours.select(F.col("channel").alias(channel), "neighbor").distinct(), channel).groupBy(label, F.col("neighbor").alias("_c")).agg(F.sum("_n").alias("_s"))
+    top = spread.groupBy(label).agg(F.max("_s").alias("_top"))
+    return spread.join(top, label).select(label, F.col("_c").alias(channel), (F.col("_s") / F.col("_top")).alias("weight"))
+
+
+def problems(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(column, nulls, nans, infinite) of number columns, in one pass."""
+    counts = [F.struct(F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("nulls"), F.count_if(F.isnan(F.col(c).cast("double"))).alias("nans"), F.count_if(F.abs(F.col(c).cast("double")) == float("inf")).alias("infinite")) for c in columns]
+    return rows.agg(F.array(*counts).alias("a")).select(F.explode("a").alias("s")).select("s.*")

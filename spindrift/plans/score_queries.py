@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import compare, distances, joins, locate, refine, soft
+from ..operators import compare, distances, joins, labels, locate, refine, soft
 from ..sources.tables import event_spikes, table
 from .unit_queries import L, assigned, emb, r6, units
 
@@ -124,3 +124,37 @@ def relabel_units(spark, d):
     s = event_spikes(spark, d)
     names = s.groupBy("label").count().withColumn("new", F.floor((F.row_number().over(Window.orderBy(F.desc("count"), "label")) - 1) / 4).cast("int")).select("label", "new", F.col("new").cast("long").alias("shift"))
     return distances.relabel(s, names).select("spike_id", "t", F.col("merged").cast("int").alias("merged"))
+
+
+@query("""WITH b AS (SELECT min(p_size) AS x0, max(p_size) AS x1, min((p_retailprice - 900) / 4) AS z0, max((p_retailprice - 900) / 4) AS z1 FROM part), n AS (SELECT *, floor((x1 - x0) / 7.0) AS nx, floor((z1 - z0) / 9.0) AS nz FROM b)
+SELECT p_partkey AS id, CAST(greatest(least(floor(((p_retailprice - 900) / 4 - (z0 + z1 - nz * 9.0) / 2) / 9.0 + 0.5), nz), 0) * (nx + 1) + greatest(least(floor((p_size - (x0 + x1 - nx * 7.0) / 2) / 7.0 + 0.5), nx), 0) AS BIGINT) AS label FROM part, n""")
+def grid_snap(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_size").cast("double").alias("x"), ((F.col("p_retailprice") - 900) / 4).alias("z"))
+    return joins.grid_snap(p, 7.0, 9.0).select("id", F.col("label").cast("long").alias("label"))
+
+
+@query(f"WITH {S}, c AS (SELECT label, channel, count(*) AS n FROM s GROUP BY 1, 2), r AS (SELECT DISTINCT channel FROM s), k AS (SELECT a.channel, b.channel AS neighbor FROM r a JOIN r b ON abs(length(a.channel) - length(b.channel)) <= 1), w AS (SELECT label, neighbor AS channel, sum(n) AS n FROM c JOIN k USING (channel) GROUP BY 1, 2) SELECT label, channel, round(n / max(n) OVER (PARTITION BY label), 6) AS weight FROM w")
+def radial_weights(spark, d):
+    s = event_spikes(spark, d)
+    kinds = s.select("channel").distinct()
+    near = kinds.join(kinds.withColumnRenamed("channel", "neighbor"), F.abs(F.length("channel") - F.length("neighbor")) <= 1)
+    return labels.radial_weights(s, near).select("label", "channel", r6(F.col("weight")).alias("weight"))
+
+
+@query(f"""WITH {S} SELECT label, count(*) AS n, round(avg(CASE WHEN EXISTS (SELECT 1 FROM s b WHERE b.label = s.label AND b.spike_id <> s.spike_id AND abs(b.t - s.t) <= 400000 AND abs(b.t - s.t) > 10000 AND b.amplitude >= s.amplitude) THEN 1.0 ELSE 0.0 END), 6) AS rate FROM s GROUP BY label""")
+def collision_rates(spark, d):
+    flagged = joins.possible_collisions(event_spikes(spark, d), 400_000, 10_000, by=["label"])
+    return labels.collision_rates(flagged).select("label", "n", r6(F.col("rate")).alias("rate"))
+
+
+@query("SELECT 'l_tax' AS \"column\", count(*) FILTER (l_tax IS NULL) AS nulls, count(*) FILTER (isnan(l_tax)) AS nans, count(*) FILTER (isinf(l_tax)) AS infinite FROM lineitem UNION ALL SELECT 'l_quantity', count(*) FILTER (l_quantity IS NULL), count(*) FILTER (isnan(l_quantity)), count(*) FILTER (isinf(l_quantity)) FROM lineitem")
+def number_problems(spark, d):
+    return labels.problems(table(spark, d, "lineitem"), ["l_tax", "l_quantity"])
+
+
+@query()
+def greedy_time_match(spark, d):
+    s = event_spikes(spark, d)
+    a = s.where("channel = 'click'").select(F.col("spike_id").alias("a_id"), F.col("t").cast("double").alias("ta"))
+    b = s.where("channel = 'purchase'").select(F.col("spike_id").alias("b_id"), F.col("t").cast("double").alias("tb"))
+    return joins.greedy_match(a, b, ["ta"], ["tb"], 100_000.0, 1000.0).select("a_id", "b_id", "d")
