@@ -193,6 +193,17 @@ def firing_corr(spark, d):
     return trains.rate_correlations(event_spikes(spark, d).where("label < 40"), 24 * SECOND).select("i", "j", r6(F.col("corr")).alias("corr"))
 
 
+#: All units and all pairs; firing_corr is held to units below 40 by its SQL.
+@query(f"""WITH {S}, c AS (SELECT label, t // 24000000 AS b, sqrt(count(*)) AS r FROM s GROUP BY 1, 2),
+n AS (SELECT CAST(max(t) // 24000000 - min(t) // 24000000 + 1 AS DOUBLE) AS bins FROM s),
+o AS (SELECT label, sum(r) AS s1, sum(r * r) AS q FROM c GROUP BY label),
+p AS (SELECT x.label AS i, y.label AS j, sum(x.r * y.r) AS p FROM c x JOIN c y ON x.b = y.b AND x.label < y.label GROUP BY 1, 2)
+SELECT a.label AS i, e.label AS j, round((bins * coalesce(p, 0) - a.s1 * e.s1) / nullif(sqrt((bins * a.q - a.s1 * a.s1) * (bins * e.q - e.s1 * e.s1)), 0), 6) AS corr
+FROM o a JOIN o e ON a.label < e.label LEFT JOIN p ON p.i = a.label AND p.j = e.label, n""")
+def firing_corr_all(spark, d):
+    return trains.rate_correlations(event_spikes(spark, d), 24 * SECOND, disjoint=True).select("i", "j", r6(F.col("corr")).alias("corr"))
+
+
 @query(f"""WITH {S}, a AS (SELECT spike_id AS a_id, t AS ta FROM s WHERE channel = 'purchase'), b AS (SELECT spike_id AS b_id, t AS tb, label FROM s WHERE channel = 'click'),
 p AS (SELECT a_id, b_id, label, abs(tb - ta) AS dt, row_number() OVER (PARTITION BY a_id ORDER BY abs(tb - ta), b_id) AS r FROM a JOIN b ON abs(tb - ta) <= 1000000)
 SELECT a.a_id, p.dt, p.b_id, p.label FROM a LEFT JOIN p ON p.a_id = a.a_id AND r = 1""")

@@ -174,3 +174,22 @@ def test_streaming_suppression(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r.t.second, r.v) for r in spark.table("peaks").collect() if r.channel == "a") == [(1, 5.0), (7, 6.0)]
+
+
+def test_rate_correlations_of_all_pairs(spark):
+    """Every pair of units, also of high ids and without a common bin, as on a dense grid."""
+    counts = {3: [4, 1, 0, 0, 0, 2], 7: [0, 0, 9, 1, 0, 0], 55: [1, 0, 4, 0, 0, 0], 900: [0, 0, 0, 0, 16, 0]}
+    rows = [(u, b * 10 + k % 10) for u, c in counts.items() for b, n in enumerate(c) for k in range(n)]
+    got = trains.rate_correlations(spark.createDataFrame(rows, "label long, t long"), 10, disjoint=True).collect()
+    units, want = sorted(counts), np.corrcoef([np.sqrt(counts[u]) for u in sorted(counts)])
+    assert len(got) == 6
+    for i, j, corr in got:
+        assert abs(corr - want[units.index(i), units.index(j)]) < 1e-9
+
+
+def test_firing_corr_has_all_units(spark):
+    from spindrift.plans import catalogue
+
+    d = "/root/testdata/sf0.01"
+    n = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().count()
+    assert n > 40 and catalogue.QUERIES["firing_corr_all"](spark, d).count() == n * (n - 1) // 2
