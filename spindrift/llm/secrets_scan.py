@@ -2,7 +2,8 @@
 
 Two second-order Markov models over character classes of credentials, one of random strings and one of ordinary identifiers, are trained from labelled samples:
 random strings are the values the base patterns found in a bounded sample of documents, with as many drawn at random from the usual
-alphabets; ordinary ones are the other words of those documents. A run of credential characters whose log-likelihood ratio
+alphabets; ordinary ones are the other words of those documents. A first model learns no word that is long enough to be judged; of the long ones, the second
+and last also learns those that the first takes for ordinary, so a secret in the sample isn't learnt as ordinary and can't hide itself. A run of credential characters whose log-likelihood ratio
 favours the random model by MARGIN nats a character is a further span, `markov`, unless a base span covers part of it.
 
 Defined cases: a null or empty text has no spans and the digest of the empty string; offsets are code points, ends exclusive; texts are scanned whole, matches of a kind do not
@@ -112,11 +113,18 @@ def train(docs: DataFrame, rows: int | None = None, sampled: int = SAMPLED, stri
             ordinary.update(re.findall(r"[A-Za-z0-9+/_=-]{6,}", text[at:a]))
             at = max(at, b)
         ordinary.update(re.findall(r"[A-Za-z0-9+/_=-]{6,}", text[at:]))
-    names = sorted(ordinary)
-    ids = [f"{a}_{b}" for a, b in zip(names[::3], names[1::3])] + [a + b.capitalize() for a, b in zip(names[1::3], names[2::3])]
     r = np.random.default_rng(12)
     pick = lambda x: [x[i] for i in r.permutation(len(x))[: 4 * strings]]
-    return Markov(sorted(set(random))[:strings] + drawn(strings), pick(names) + pick(ids) + ["the_ordinary_identifier"])
+    random = sorted(set(random))[:strings] + drawn(strings)
+
+    def model(names: list[str]) -> Markov:
+        ids = [f"{a}_{b}" for a, b in zip(names[::3], names[1::3])] + [a + b.capitalize() for a, b in zip(names[1::3], names[2::3])]
+        return Markov(random, pick(names) + pick(ids) + ["the_ordinary_identifier"])
+
+    names = sorted(ordinary)
+    judged = [w for w in names if CREDENTIAL.fullmatch(w)]
+    marked = {w for w, x in zip(judged, model(sorted(set(names) - set(judged))).ratios(judged)) if x >= MARGIN}
+    return model([w for w in names if w not in marked])
 
 
 def scan(texts: list[str | None], model: Markov, margin: float = MARGIN) -> list[list[tuple[int, str, int]]]:

@@ -234,6 +234,18 @@ def test_secrets():
     assert secrets_scan.base("ſecret=abcdefghijklmnop") == []
 
 
+def test_secrets_of_the_sample(spark):
+    """Strings that no base pattern covers are found though their own documents are learnt from."""
+    r = random.Random(8)
+    words = ["".join(r.choice(["the", "on", "er", "ing", "ha", "ti", "for", "lich", "ment"]) for _ in range(r.randint(2, 8))) for _ in range(3000)]
+    kinds = ("0123456789ABCDEF", secrets_scan.ALPHABET[:62], secrets_scan.ALPHABET[26:62])
+    planted = ["".join(r.choice(kinds[i % 3]) for _ in range(40)) for i in range(150)]
+    texts = [f"{' '.join(r.sample(words, 20))} {planted[i]} {' '.join(r.sample(words, 20))}" if i < 150 else " ".join(r.sample(words, 40)) for i in range(300)]
+    model = secrets_scan.train(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    found = [[t[a:b] for a, k, b in s if k == "markov"] for t, s in zip(texts, secrets_scan.scan(texts, model))]
+    assert sum(planted[i] in found[i] for i in range(150)) >= 148 and sum(map(len, found[150:])) == 0
+
+
 def test_toxicity_restores():
     r = random.Random(6)
     texts = [" ".join(r.choice(WORDS) for _ in range(40)) + (" you " + r.choice(["idiot", "moron"]) if i % 2 else "") for i in range(400)]
