@@ -2,7 +2,9 @@
 
 Every run of GRAM code points has a hash, every window of WIDTH hashes selects its least one, the rightmost of equals, and a hash selected by several
 windows is kept once with its position. Any passage of GRAM + WIDTH - 1 or more code points that two texts share is therefore selected
-at least once in both. A text with fewer windows than one has a single window over what it has; one shorter than GRAM is hashed as a whole.
+at least once in both. Short texts have narrower windows, whose hashes contain those of wider ones, so this holds between short and long texts too; and
+of the three quarters that an edit leaves at least one hash stays, whatever the length. Where these are shorter than a gram, all runs of
+SHORT code points are hashed as well, or alone if the whole text is; a text shorter than SHORT is hashed as a whole.
 
 Neighbours by doc_id are found without a total order in one task: ranges of ids, whose bounds come from an approximate quantile, are dealt to tasks and sorted
 there, and the first document of each range is sent to the range before as well. Texts travel compressed.
@@ -24,8 +26,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Code points of a gram, hashes of a window, documents of a range.
-GRAM, WIDTH, RANGE = 24, 64, 4096
+#: Code points of a gram, hashes of a window, code points of a short text's gram, documents of a range.
+GRAM, WIDTH, SHORT, RANGE = 8, 16, 3, 4096
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -77,6 +79,21 @@ def winnow(text: str, gram: int = GRAM, width: int = WIDTH) -> tuple[np.ndarray,
     return kept >> np.uint64(32), (np.uint64(0xFFFFFFFF) - (kept & np.uint64(0xFFFFFFFF))).astype(np.int64)
 
 
+def fingerprint(text: str, gram: int = GRAM, width: int = WIDTH) -> tuple[np.ndarray, np.ndarray]:
+    """As winnow, with windows and grams that suit the text's length."""
+    n = len(text)
+    left = n - n // 4
+    if n < gram:
+        return winnow(text, SHORT, 1)
+    hashes, positions = winnow(text, gram, max(1, min(width, (n - gram + 1) // 4, left - gram + 1)))
+    if left < gram:
+        more, at = winnow(text, SHORT, 1)
+        hashes, positions = np.concatenate([hashes, more]), np.concatenate([positions, at])
+        order = np.argsort(positions, kind="stable")
+        hashes, positions = hashes[order], positions[order]
+    return hashes, positions
+
+
 def written(hashes: np.ndarray, positions: np.ndarray) -> str:
     """hash@position, the hash in eight hexadecimal digits, space by space."""
     return " ".join([f"{h:08x}@{p}" for h, p in zip(hashes.tolist(), positions.tolist())])
@@ -147,7 +164,7 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, width: int = WIDTH,
                 if mark and (held is None or held[0] != part):
                     continue  # the range has no document, or its last one has met the next already
                 text = unpack(packed).decode("utf-8", "surrogatepass")
-                hashes, positions = winnow(text, gram, width)
+                hashes, positions = fingerprint(text, gram, width)
                 if held is not None:
                     out.append(_row(held, text, hashes, gram, width))
                 held = None if mark else (part, doc_id, text, hashes, positions)
@@ -166,7 +183,7 @@ def edited(text: str, following: str) -> str:
 def _row(held: tuple, following: str, next_hashes: np.ndarray, gram: int, width: int) -> tuple:
     _, doc_id, text, hashes, positions = held
     new = edited(text, following)
-    new_hashes, new_positions = winnow(new, gram, width)
+    new_hashes, new_positions = fingerprint(new, gram, width)
     return (
         doc_id,
         len(text),

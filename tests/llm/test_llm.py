@@ -222,6 +222,16 @@ def test_fingerprints(spark, sf, docs):
     assert set(x.tolist()) & set(y.tolist()) and fingerprints.likeness(x[:0], y[:0]) == 1.0 and fingerprints.likeness(x, y[:0]) == 0.0
 
 
+def test_fingerprints_of_short_texts(spark):
+    """The three quarters that an edit leaves are recognised in texts of any length."""
+    r = random.Random(4)
+    texts = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in [*range(200), *range(0, 200, 7)]]
+    order = r.sample(range(len(texts)), len(texts))
+    got = fingerprints.fingerprint_documents(spark.createDataFrame([(i, texts[k]) for i, k in enumerate(order)], "doc_id long, text string")).toPandas()
+    assert len(got) == len(texts) and got.near_edited[got.n_chars > 0].min() > 0
+    assert got.near_edited[got.n_chars >= 50].median() > 0.35 and got.near_next.median() < 0.05
+
+
 def test_secrets():
     r = random.Random(5)
     rand = secrets_scan.drawn(200, seed=99)
