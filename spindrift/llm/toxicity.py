@@ -5,6 +5,7 @@ lattice: each run of one character may be any of the letters it can stand for, o
 the path that is likeliest under a trigram model of characters and the channel's costs. A token without such signs is a
 lattice of one path and stands for itself. Letters spaced out one by one are joined into one lattice with a possible word break after
 each. Decoded words, their first letters and the other tokens are the features of a sparse logistic regression, learnt on a bounded sample.
+The trigrams are counted over all documents that may be learnt from, with or without a label.
 
 Defined cases: a null text counts as empty and gets the model's score of no words; texts are read whole; null labels are not learnt from; with no
 labels at all every score is 0; repeated rows and null ids are scored row by row; an empty table gives no rows; further columns are not read.
@@ -16,6 +17,7 @@ import math
 import re
 import zlib
 from collections import Counter
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +27,7 @@ from pyspark.sql import functions as F
 from .common import arrow_map, fold_of, sample_by_class, small_batches
 
 #: Labelled documents of a class, hashed features, features with a weight, tokens a worker keeps.
-PER_CLASS, DIMS, CHOSEN, KEPT = 2500, 1 << 20, 4096, 400_000
+PER_CLASS, DIMS, CHOSEN, KEPT = 5000, 1 << 20, 4096, 400_000
 #: What digits and signs can stand for.
 LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "€": "e"}
 EDGES = ".,;:!?\"'()[]{}<>*#%&$|=~^-_/\\`"
@@ -41,13 +43,25 @@ class Characters:
     """Interpolated trigrams of characters; '#' stands for a word's edge."""
 
     def __init__(self, words: Counter):
-        self.tri, self.bi, self.uni = Counter(), Counter(), Counter()
+        tri: Counter = Counter()
         for word, n in words.items():
             w, n = "##" + word + "#", math.sqrt(n)
             for a, b, c in zip(w, w[1:], w[2:]):
-                self.tri[a + b + c] += n
-                self.bi[b + c] += n
-                self.uni[c] += n
+                tri[a + b + c] += n
+        self.take(tri)
+
+    @classmethod
+    def of(cls, trigrams: dict[str, float]) -> Characters:
+        """From weights of trigrams that were summed elsewhere."""
+        out = cls(Counter())
+        out.take(Counter(trigrams))
+        return out
+
+    def take(self, tri: Counter) -> None:
+        self.tri, self.bi, self.uni = tri, Counter(), Counter()
+        for k, n in tri.items():
+            self.bi[k[1:]] += n
+            self.uni[k[2]] += n
         self.heads, self.firsts = Counter(), Counter()
         for k, n in self.tri.items():
             self.heads[k[:2]] += n
@@ -134,16 +148,46 @@ def tokens(text: str) -> set[str]:
     return found
 
 
+def plain_words(text: str) -> list[str]:
+    """Tokens of letters only, without their edges, that show no sign of the channel; each distinct token once."""
+    return [c for w in tokens(text) if w[0] != "\n" and not ODD.search(w) and (c := w.strip(EDGES)).isalpha()]
+
+
+def trigrams(docs: DataFrame) -> dict[str, float]:
+    """Of the words that two or more rows of docs have (copies count too): sums of the roots of their counts by trigram. Only this table reaches the driver."""
+    small_batches(docs.sparkSession)
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def table() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+
+        held: Counter = Counter()
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.update(plain_words(text))
+            if len(held) > KEPT:
+                yield table()
+                held.clear()
+        yield table()
+
+    counted = docs.select(F.col("text").cast("string").alias("text")).where(F.col("text").isNotNull()).mapInArrow(words, "word string, n long")
+    often = counted.groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").select(F.concat(F.lit("##"), "word", F.lit("#")).alias("w"), F.sqrt("n").alias("x"))
+    each = often.select("x", F.explode(F.expr("transform(sequence(1, length(w) - 2), i -> substring(w, i, 3))")).alias("k"))
+    # the sums are rounded, so their order doesn't matter
+    return {r[0]: r[1] for r in each.groupBy("k").agg(F.round(F.sum("x"), 6)).collect()}
+
+
 class Model:
     """Character model, weights of the features, and what each worker has already decoded."""
 
-    def __init__(self, texts: list[str], labels: np.ndarray):
-        # texts are read twice and only columns are kept, so the driver holds no text's tokens but one's
-        plain: Counter = Counter()
-        for text in texts:
-            plain.update(c for w in tokens(text) if w[0] != "\n" and not ODD.search(w) and (c := w.strip(EDGES)).isalpha())
-        self.chars = Characters(Counter({w: n for w, n in plain.items() if n > 1}))
-        del plain
+    def __init__(self, texts: list[str], labels: np.ndarray, chars: Characters | None = None):
+        # texts are read one by one and only columns are kept, so the driver holds no text's tokens but one's
+        if chars is None:
+            plain: Counter = Counter()
+            for text in texts:
+                plain.update(plain_words(text))
+            chars = Characters(Counter({w: n for w, n in plain.items() if n > 1}))
+        self.chars = chars
         known: dict[str, tuple] = {}
         rows = []
         for text in texts:
@@ -203,12 +247,12 @@ class Model:
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = PER_CLASS) -> Model | None:
-    """docs: what may be learnt from; labels: doc_id and label."""
+    """docs: what may be learnt from, in whole for the character model and by a sample for the regression; labels: doc_id and label."""
     known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     chosen = sample_by_class(known, "_label", per_class, "_id")
     got = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", F.coalesce("text", F.lit("")).alias("text")).toPandas()
     got = got.sort_values(["doc_id", "text"]).drop_duplicates("text")
-    return Model(got["text"].tolist(), got["_label"].to_numpy()) if len(got) else None
+    return Model(got["text"].tolist(), got["_label"].to_numpy(), Characters.of(trigrams(docs))) if len(got) else None
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

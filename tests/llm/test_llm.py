@@ -267,6 +267,17 @@ def test_toxicity_restores():
     assert toxicity.restored("he11o", m.chars) and toxicity.restored("plain", m.chars) == ["plain"]
 
 
+def test_characters_of_all_documents(spark):
+    """Words outside the labelled sample inform the decoding, and the counts are those of all documents."""
+    texts = ["the plain word here", "the other word, idiot"] * 3 + ["zyzzyva quokka", "Quokka zyzzyva,", "once only"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(6)], "doc_id long, toxic int")
+    chars = toxicity.train(docs, labels).chars
+    want = toxicity.Characters(collections.Counter({"the": 6, "plain": 3, "word": 6, "here": 3, "other": 3, "idiot": 3, "zyzzyva": 2, "quokka": 2}))
+    assert chars.tri["kka"] > 0 and chars.tri["onc"] == 0 and set(chars.tri) == set(want.tri)
+    assert all(abs(chars.tri[k] - n) < 1e-5 for k, n in want.tri.items()) and abs(chars.total - want.total) < 1e-3
+
+
 def test_network_gradients():
     net = language_id.Network(["a", "b", "c"], hidden=3)
     net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
