@@ -256,6 +256,18 @@ def test_secrets_of_the_sample(spark):
     assert sum(planted[i] in found[i] for i in range(150)) >= 148 and sum(map(len, found[150:])) == 0
 
 
+def test_secrets_short_and_beside_base_spans():
+    r = random.Random(9)
+    words = WORDS + [a + b for a in WORDS for b in WORDS]
+    model = secrets_scan.Markov(secrets_scan.drawn(2000), words)
+    short = ["".join(r.choice(secrets_scan.ALPHABET[:62]) for _ in range(12 + i % 8)) for i in range(200)]
+    got = secrets_scan.scan(short, model)
+    assert sum(g == [(0, "markov", len(t))] for t, g in zip(short, got)) >= 170
+    assert sum(map(bool, secrets_scan.scan([w for w in words if len(w) >= 12], model))) == 0
+    tail = "Zq7XkP2vWm9RtY4LcB8n"
+    assert secrets_scan.scan([tail + "0123456789abcdef" + tail], model) == [[(0, "markov", 20), (20, "hex", 36), (36, "markov", 56)]]
+
+
 def test_toxicity_restores():
     r = random.Random(6)
     texts = [" ".join(r.choice(WORDS) for _ in range(40)) + (" you " + r.choice(["idiot", "moron"]) if i % 2 else "") for i in range(400)]
