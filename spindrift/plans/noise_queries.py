@@ -141,3 +141,17 @@ def simulated(spark: SparkSession, seconds: int = 2, units: int = 4, channels: i
 def simulate_and_match(spark, d):
     x, _, shapes = simulated(spark)
     return matching.match(x, shapes, list(range(len(shapes))), 7.0, 8, 500)
+
+
+def mean_templates(spark: SparkSession, d: str) -> tuple[np.ndarray, list[int]]:
+    """(labels, 16, 4) means of the labelled snippets, and the labels."""
+    means = templates.mean(table(spark, d, "embeddings").where("label IS NOT NULL"), "embedding").groupBy("label").agg(F.sort_array(F.collect_list(F.struct("sample", "mean"))).alias("m")).orderBy("label").collect()
+    shapes = np.array([[x["mean"] for x in r["m"]] for r in means], float).reshape(len(means), 4, 16)
+    return shapes.transpose(0, 2, 1), [int(r["label"]) for r in means]
+
+
+@query()
+def match_embeddings(spark, d):
+    """All snippets as one recording, searched for the labels' mean templates; the threshold is half their median norm."""
+    shapes, units = mean_templates(spark, d)
+    return matching.match(samples(spark, d), shapes, units, float(np.median(np.sqrt((shapes**2).sum((1, 2))))) / 2, 8, 8000)

@@ -142,3 +142,20 @@ def test_speed_limit(spark):
     m = spark.createDataFrame([(0, 0.0), (1, 1.0), (2, 9.0), (3, 9.5)], "t_bin int, disp double")
     assert [r.disp for r in motion.speed_limit(m, 2.0).orderBy("t_bin").collect()] == [0.0, 1.0, None, 9.5]
     assert motion.speed_limit(m, 2.0).agg(F.count("disp")).first()[0] == 3
+
+
+def test_matching_of_a_whole_table(spark):
+    """The query searches every snippet of the table: as one pursuit over the whole recording."""
+    d = "/root/testdata/sf0.001"
+    shapes, units = noise_queries.mean_templates(spark, d)
+    rows = spark.read.parquet(f"{d}/embeddings.parquet").select("vec_id", "embedding").collect()
+    x = np.zeros(((max(r.vec_id for r in rows) + 1) * 16, 4))
+    for r in rows:
+        x[r.vec_id * 16 : r.vec_id * 16 + 16] = np.array(r.embedding, float).reshape(4, 16).T
+    bound = float(np.median(np.sqrt((shapes**2).sum((1, 2))))) / 2
+    padded = np.pad(x, ((32, 32), (0, 0)))
+    want = {(t - 32, u) for t, u, _, _ in matching.pursuit(shapes, units, bound, 8)(padded) if 32 <= t < len(x) + 32}
+    got = {(r.t, r.unit) for r in noise_queries.QUERIES["match_embeddings"](spark, d).collect()}
+    assert len(want) > 10 and max(t for t, _ in got) > 0.9 * len(x)
+    # chunks end within the recording, so a few spikes near an end may differ
+    assert len(want & got) >= 0.97 * max(len(want), len(got))
