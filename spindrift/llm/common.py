@@ -2,46 +2,20 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
+from ..staging import clear, drop, shared_dir, stage  # noqa: F401
 
 #: What counts as white space in every contract: the space and U+0009 to U+000D.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir of the session, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Cuts the lineage: df as a Parquet table in the shared folder, and its path."""
-    path = f"{shared_dir(df.sparkSession)}/spindrift-{name}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path), path
-
-
-def drop(spark: SparkSession, *paths: str) -> None:
-    """Removes staged tables that no later plan reads."""
-    jvm = spark.sparkContext._jvm
-    for path in paths:
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+#: Labelled texts of more characters are not learnt from, so that a sample is bounded in bytes too; every text is still judged in whole.
+LEARNT = 100_000
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -57,23 +31,29 @@ def fold_of(column: str, folds: int) -> Column:
     return F.pmod(F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")), F.lit(folds))
 
 
-def sample_by_class(rows: DataFrame, label: str, per_class: int, key: str = "doc_id") -> DataFrame:
+def sample_by_class(rows: DataFrame, label: str, per_class: int, *key: str) -> DataFrame:
     """At most per_class rows of each class, chosen by the hash of their key: a bounded sample to fit models on.
 
     A first threshold on the hash leaves about twice as many rows as are wanted, so that the window
-    over a class never holds more than a bounded number of rows, however many the class has.
+    over a class never holds more than a bounded number of rows, however many the class has. Classes are measured by their distinct
+    hashes, and rows that share a hash count as one: repeated or null keys neither empty the sample nor swell it.
     """
-    sizes = rows.groupBy(label).count().withColumnRenamed(label, "_class")
-    h = F.xxhash64(F.col(key), F.lit("sample"))
+    rows = rows.withColumn("_h", F.xxhash64(*key, F.lit("sample")))
+    sizes = rows.groupBy(label).agg(F.approx_count_distinct("_h", 0.02).alias("_sizes")).withColumnRenamed(label, "_class")
     kept = (
-        rows.withColumn("_h", h)
-        .join(F.broadcast(sizes), F.col(label) == F.col("_class"))
-        .where(F.pmod(F.col("_h"), F.lit(1 << 20)) < F.lit((1 << 20) * 2.0 * per_class) / F.col("count") + F.lit(64))
+        rows.join(F.broadcast(sizes), F.col(label) == F.col("_class"))
+        .where(F.pmod(F.col("_h"), F.lit(1 << 20)) < F.lit((1 << 20) * 2.0 * per_class) / F.col("_sizes") + F.lit(64))
+        .dropDuplicates([label, "_h"])
     )
-    from pyspark.sql import Window
+    w = Window.partitionBy(label).orderBy("_h")
+    return kept.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_class).drop("_h", "_rank", "_class", "_sizes")
+
 
-    w = Window.partitionBy(label).orderBy("_h", key)
-    return kept.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_class).drop("_h", "_rank", "_class", "count")
+def sample_of(docs: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
+    """doc_id, _label and text of the documents whose id was chosen (_id, _label), none of more than LEARNT characters; at most `most` rows, by hash, if ids repeat."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    found = docs.select("doc_id", text.alias("text")).where(F.length("text") <= LEARNT).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
+    return found.select("doc_id", "_label", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(most)
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
