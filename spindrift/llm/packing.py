@@ -1,14 +1,13 @@
 """Packing documents into fixed windows by Karmarkar-Karp multiway differencing.
 
-Each document is encoded and closed by id 0, whole windows are cut from its front, and what remains is cut into
-even pieces of at most `longest` ids. The pieces of a block of documents (consecutive rows of a partition, a bounded
-number) are dealt to as few windows as could hold them: every piece starts as a partial partition of its own,
-and the two partial partitions with the greatest spread are merged with opposing order, the fullest part of one onto the
-emptiest of the other, until one is left. If some part exceeds the window, the window count rises and the block is dealt again.
+Each document is encoded, closed by id 0 and cut into pieces of `longest` ids, the last one what is left. Pieces are gathered in blocks of `block` (consecutive in a partition; a long document's
+pieces may lie in several blocks, so a block's memory is bounded whatever the texts) and every piece of a block goes through the differencing: it starts as a partial
+partition of its own, and the two partial partitions with the greatest spread are merged with opposing order, the fullest part of one onto the
+emptiest of the other, until one is left. There are as many parts as windows that could hold the block; if some part exceeds the window, the window count rises and the block is dealt again.
 There is no shuffle: a block is a part of one task, and a task that is run again gives the same rows.
 
 Defined cases: a null or empty text is the one id 0; null ids and repeated rows are packed like others, row by row; a text of any
-length is cut as said; an empty table gives no rows; further columns are not read. A sequence's id holds its partition's number in the
+length is cut as said, runs of white space of any length included; an empty table gives no rows; further columns are not read. A sequence's id holds its partition's number in the
 bits above 40, so ids are unique but have gaps; which documents share a window depends on how the table is split.
 """
 
@@ -16,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections.abc import Iterator
 from functools import cache
@@ -24,10 +24,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import small_batches
 
-WINDOW, LONGEST, BLOCK, END = 1024, 256, 512, 0
+#: Ids of a window and, at most, of a piece, pieces of a block, the id that closes a document.
+WINDOW, LONGEST, BLOCK, END = 1024, 256, 2048, 0
+#: White space as the split pattern has it. Longer runs than its backtracking can take are encoded by themselves.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{10000,}")
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -48,44 +52,51 @@ def encoder(path: str):
 
 
 def ids_of(text: str | None, path: str, end: int = END) -> np.ndarray:
-    ids = encoder(path).encode_to_numpy(text, allowed_special="all") if text else np.zeros(0, np.uint32)
-    return np.append(ids.astype("<u4"), np.array([end], "<u4"))
-
-
-def cuts(n: int, window: int = WINDOW, longest: int = LONGEST) -> list[tuple[int, int]]:
-    """(start, length) of the pieces of n ids: whole windows first, then even pieces of at most `longest`."""
-    whole = n // window
-    out = [(i * window, window) for i in range(whole)]
-    rest = n - whole * window
-    if rest:
-        parts = -(-rest // longest)
-        edges = [whole * window + rest * i // parts for i in range(parts + 1)]
-        out += [(a, b - a) for a, b in zip(edges, edges[1:])]
-    return out
+    """The ids of a text and the one that closes it."""
+    enc, parts = encoder(path), []
+    if text and BLANKS.search(text):
+        for part in re.split("(" + "|".join(map(re.escape, sorted(enc.special_tokens_set))) + ")", text) if enc.special_tokens_set else [text]:
+            at = 0
+            for run in BLANKS.finditer(part):
+                # the last blank of a run belongs to what follows it, if anything does
+                stop = run.end() - (run.end() < len(part))
+                parts += [enc.encode_to_numpy(part[at : run.start()], allowed_special="all"), enc._encode_single_piece(part[run.start() : stop])]
+                at = stop
+            parts.append(enc.encode_to_numpy(part[at:], allowed_special="all"))
+    elif text:
+        parts.append(enc.encode_to_numpy(text, allowed_special="all"))
+    return np.concatenate([np.asarray(p, "<u4") for p in [*parts, [end]]])
+
+
+def cuts(n: int, longest: int = LONGEST) -> list[tuple[int, int]]:
+    """(start, length) of the pieces of n ids: `longest` each, the last one what is left."""
+    return [(a, min(longest, n - a)) for a in range(0, n, longest)]
 
 
 def differencing(sizes: list[int], parts: int) -> list[list[int]]:
-    """Karmarkar-Karp: the indices of sizes, in `parts` groups of near-equal sums."""
-    heap = []
-    for i, size in enumerate(sizes):
-        sums, nodes = np.zeros(parts, np.int64), np.full(parts, -1, np.int64)
-        sums[0], nodes[0] = size, i
-        heap.append((-size, i, sums, nodes))
+    """Karmarkar-Karp: the indices of sizes, in `parts` groups of near-equal sums.
+
+    A partial partition is kept as its non-empty parts only, fullest first, so merges are short until few partitions are left.
+    """
+    heap = [(-size, i, np.array([size]), np.array([i])) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     children: list[tuple[int, int]] = []
-    n = len(sizes)
-    stamp = n
+    n = stamp = len(sizes)
     while len(heap) > 1:
         _, _, a, x = heapq.heappop(heap)
         _, _, b, y = heapq.heappop(heap)
-        sums, y = a + b[::-1], y[::-1]
-        nodes = np.maximum(x, y)
-        for i in np.flatnonzero((x >= 0) & (y >= 0)):
-            nodes[i] = n + len(children)
-            children.append((int(x[i]), int(y[i])))
+        k, low = min(parts, len(a) + len(b)), min(parts, len(a) + len(b)) - len(b)
+        sums, nodes = np.zeros(k, np.int64), np.full(k, -1, np.int64)
+        sums[: len(a)], nodes[: len(a)] = a, x
+        sums[low:] += b[::-1]
+        for i, own in zip(range(low, len(a)), y[::-1].tolist()):
+            children.append((int(nodes[i]), own))
+        nodes[low:] = y[::-1]
+        if low < len(a):
+            nodes[low : len(a)] = np.arange(n + len(children) - (len(a) - low), n + len(children))
         order = np.argsort(-sums, kind="stable")
         sums, nodes = sums[order], nodes[order]
-        heapq.heappush(heap, (int(sums[-1] - sums[0]), stamp, sums, nodes))
+        heapq.heappush(heap, (int((sums[-1] if k == parts else 0) - sums[0]), stamp, sums, nodes))
         stamp += 1
     groups = []
     for node in heap[0][3] if heap else ():
@@ -112,50 +123,38 @@ def windows(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
         parts += 1 + parts // 200
 
 
-def _block(docs: list[tuple[int | None, str | None]], path: str, first: int, window: int, longest: int) -> tuple[list[tuple], int]:
-    rows, loose = [], []
-    for doc_id, text in docs:
-        ids = ids_of(text, path)
-        raw = ids.tobytes()
-        for start, length in cuts(len(ids), window, longest):
-            row = [doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), len(ids), -1, 0]
-            if length == window:
-                row[5], first = first, first + 1
-                rows.append(row)
-            else:
-                loose.append(row)
-    for group in windows([r[2] for r in loose], window):
+def _dealt(pieces: list[list], first: int, window: int) -> int:
+    """Gives each piece of a block its sequence and offset; the next free sequence."""
+    for group in windows([p[2] for p in pieces], window):
         at = 0
         for i in sorted(group):
-            loose[i][5], loose[i][6] = first, at
-            at += loose[i][2]
+            pieces[i][5:] = first, at
+            at += pieces[i][2]
         first += 1
-    return rows + loose, first
+    return first
 
 
 def pack(docs: DataFrame, path: str, window: int = WINDOW, longest: int = LONGEST, block: int = BLOCK) -> DataFrame:
     """A row for each piece of each document: where it was cut, and where it lies."""
-    small_batches(docs.sparkSession, block)
+    small_batches(docs.sparkSession, 512)
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         first = TaskContext.get().partitionId() << 40
         names = [f.split()[0] for f in SCHEMA.split(", ")]
-        held: list = []
-
-        def emit(part: list, first: int) -> tuple[pa.RecordBatch, int]:
-            rows, first = _block(part, path, first, window, longest)
-            return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows)], names), first
-
+        held: list[list] = []
         for batch in batches:
-            held += zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())
-            while len(held) >= block:
-                out, first = emit(held[:block], first)
-                held = held[block:]
-                yield out
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                ids = ids_of(text, path)
+                raw = memoryview(ids).cast("B")
+                for start, length in cuts(len(ids), longest):
+                    held.append([doc_id, start, length, zlib.crc32(raw[4 * start : 4 * (start + length)]), len(ids), -1, 0])
+                    if len(held) == block:
+                        first = _dealt(held, first, window)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], names)
+                        held = []
         if held:
-            yield emit(held, first)[0]
-
-    from pyspark.sql import functions as F
+            _dealt(held, first, window)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*held)], names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(over, SCHEMA)
 
