@@ -39,7 +39,7 @@ class Words:
         with open(path, encoding="utf-8") as f:
             special = [t["content"] for t in json.load(f)["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
-        self.mark = min((s[:2] for s in special), default="")
+        self.marks = sorted({s[:2] for s in special})
         # the tokenizer's own split pattern; below U+0530 Python's Unicode tables and the library's agree on it
         self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
         self.rare = regex.compile(r"[^\x00-ԯ]|Σ")
@@ -55,10 +55,19 @@ class Words:
 
         return Tokenizer.from_file(self.path)
 
+    @cached_property
+    def model(self):
+        """The same model for pre-tokens: bytes as the library shows them, without a normaliser, a split or special strings."""
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        out = Tokenizer(self.tokenizer.model)
+        out.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        return out
+
     def pre_tokens(self, text: str) -> tuple[Counter, int]:
         """Frequencies of the pre-tokens, and the number of special strings."""
         parts, specials = [text], 0
-        if self.special and self.mark in text and (specials := len(self.special.findall(text))):
+        if self.special and any(m in text for m in self.marks) and (specials := len(self.special.findall(text))):
             parts = self.special.split(text)
         found: Counter = Counter()
         for part in parts:
@@ -70,8 +79,8 @@ class Words:
         return found, specials
 
     def pieces(self, tokens: list[str]) -> list[int]:
-        """How many pieces each pre-token has, by the library; a pre-token is a fixed point of normalisation and splitting."""
-        return [len(e) for e in self.tokenizer.encode_batch_fast(tokens, add_special_tokens=False)]
+        """How many pieces the model makes of each pre-token, which is taken as it is."""
+        return [len(e) for e in self.model.encode_batch_fast(tokens, add_special_tokens=False)]
 
 
 @cache
