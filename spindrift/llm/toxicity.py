@@ -1,9 +1,9 @@
 """Toxicity behind a noisy channel: disguised words are decoded to plain ones, then the restored text is scored.
 
-The channel turns letters into look-alike digits and signs, repeats them, and spaces words out. A token that shows any of this is a
+The channel turns letters into look-alike digits and signs, repeats them, and spaces words out. A token is a
 lattice: each run of one character may be any of the letters it can stand for, once or twice, or nothing. Viterbi decoding finds
-the path that is likeliest under a trigram model of characters and the channel's costs. A token without such signs is a
-lattice of one path and stands for itself. Letters spaced out one by one are joined into one lattice with a possible word break after
+the path that is likeliest under a trigram model of characters and the channel's costs, over all states and without a beam. A token that has neither a doubled letter nor a sign of the channel is a
+lattice of one path and stands for itself; a doubled letter is enough to be decoded. Time is in proportion to a token's length. Letters spaced out one by one are joined into one lattice with a possible word break after
 each. Decoded words, their first letters and the other tokens are the features of a sparse logistic regression, learnt on a bounded sample.
 The trigrams are counted over all documents that may be learnt from, with or without a label.
 
@@ -18,13 +18,14 @@ import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold_of, sample_by_class, small_batches
+from .common import arrow_map, fold_of, sample_by_class, sample_of, small_batches
 
 #: Labelled documents of a class, hashed features, features with a weight, tokens a worker keeps.
 PER_CLASS, DIMS, CHOSEN, KEPT = 5000, 1 << 20, 4096, 400_000
@@ -33,8 +34,10 @@ LOOKS = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g",
 EDGES = ".,;:!?\"'()[]{}<>*#%&$|=~^-_/\\`"
 SWAP, BREAK, DROP, ONE_OF_TWO = -math.log(0.3), 8.0, 14.0, 2.0
 _sign = "".join(map(re.escape, LOOKS))
-#: A letter beside a look-alike, or any letter three times or more.
-ODD = re.compile(rf"[^\W\d_][{_sign}]|[{_sign}][^\W\d_]|([^\W\d_])\1\1|[^\W\d_][*._\-]+[^\W\d_][*._\-]")
+#: A letter beside a look-alike, or letters parted by signs.
+_beside = rf"[^\W\d_][{_sign}]|[{_sign}][^\W\d_]|[^\W\d_][*._\-]+[^\W\d_][*._\-]"
+#: What is decoded: any of these, or a letter twice or more; and what the character model isn't learnt from: any of these, or a letter three times or more.
+ODD, DISGUISED = re.compile(_beside + r"|([^\W\d_])\1"), re.compile(_beside + r"|([^\W\d_])\1\1")
 #: Three or more single characters parted by one separator each.
 SPACED = re.compile(rf"(?<![^\s])(?:[^\W_][ ._\-*]|[{_sign}][ ._\-*]){{2,}}(?:[^\W_]|[{_sign}])(?![^\s.,;:!?])")
 
@@ -79,33 +82,50 @@ class Characters:
         return found
 
 
-def lattice(token: str, breaks: bool) -> list[list[tuple[str, float]]]:
+def lattice(token: str, breaks: bool) -> Iterator[tuple[tuple[str, float], ...]]:
     """For each run of one character, what it may stand for and at what cost; '#' is a break between words."""
-    out = []
     for run in re.finditer(r"(.)\1*", token, re.S):
-        c, n = run[1], len(run[0])
-        letters = [(c, 0.0)] if c.isalpha() else []
-        letters += [(x, SWAP) for x in LOOKS.get(c, "")]
-        arcs = []
-        for x, cost in letters:
-            if n == 1:
-                arcs.append((x, cost))
-            else:
-                arcs += [(x + x, cost), (x, cost + (ONE_OF_TWO if n == 2 and x == c else 0.0))]
-        if not c.isalpha():
-            arcs += [("#", BREAK if c in LOOKS else 0.5), ("", DROP if c in LOOKS else 1.0)]
-        if breaks:
-            arcs += [(x + "#", cost + 0.5) for x, cost in arcs if x and x != "#"]
-        out.append(arcs)
-    return out
-
-
-def decode(token: str, chars: Characters, breaks: bool = False, beam: int = 24) -> list[str]:
-    """Viterbi over the lattice with the last two characters as state: the likeliest words."""
-    paths = {"##": (0.0, "")}
-    for arcs in lattice(token, breaks):
-        new: dict[str, tuple[float, str]] = {}
-        for state, (cost, text) in paths.items():
+        yield _arcs(run[1], min(run.end() - run.start(), 3), breaks)
+
+
+@lru_cache(65536)
+def _arcs(c: str, n: int, breaks: bool) -> tuple[tuple[str, float], ...]:
+    letters = [(c, 0.0)] if c.isalpha() else []
+    letters += [(x, SWAP) for x in LOOKS.get(c, "")]
+    arcs = []
+    for x, cost in letters:
+        if n == 1:
+            arcs.append((x, cost))
+        else:
+            arcs += [(x + x, cost), (x, cost + (ONE_OF_TWO if n == 2 and x == c else 0.0))]
+    if not c.isalpha():
+        arcs += [("#", BREAK if c in LOOKS else 0.5), ("", DROP if c in LOOKS else 1.0)]
+    if breaks:
+        arcs += [(x + "#", cost + 0.5) for x, cost in arcs if x and x != "#"]
+    return tuple(arcs)
+
+
+def _chain(last: list | None, stop: list | None) -> list[list]:
+    """The nodes after `stop` up to `last`, in reading order."""
+    out = []
+    while last is not stop:
+        out.append(last)
+        last = last[0]
+    return out[::-1]
+
+
+def decode(token: str, chars: Characters, breaks: bool = False, flush: int = 4096) -> list[str]:
+    """Viterbi over the lattice with the last two characters as state: the likeliest words. Exact: no state is dropped.
+
+    A state's path is a chain of nodes [node before, piece], so a step copies nothing; up to where all states' chains have met they are written out and freed.
+    """
+    root: list | None = None
+    paths: dict[str, tuple[float, list | None]] = {"##": (0.0, None)}
+    done: list[str] = []
+    due = flush
+    for step, arcs in enumerate(lattice(token, breaks), 1):
+        new: dict[str, tuple[float, list | None]] = {}
+        for state, (cost, node) in paths.items():
             for piece, own in arcs:
                 s, total = state, cost + own
                 for c in piece:
@@ -114,10 +134,20 @@ def decode(token: str, chars: Characters, breaks: bool = False, beam: int = 24)
                     total += chars.cost(s, c)
                     s = "##" if c == "#" else s[1] + c
                 if s not in new or total < new[s][0]:
-                    new[s] = (total, text + piece)
-        paths = dict(sorted(new.items(), key=lambda x: x[1][0])[:beam])
+                    new[s] = (total, [node, piece])
+        paths = new
+        if step >= due:
+            chains = [_chain(node, root) for _, node in paths.values()]
+            shared = 0
+            while shared < min(map(len, chains)) and all(c[shared] is chains[0][shared] for c in chains):
+                shared += 1
+            if shared:
+                done += [node[1] for node in chains[0][:shared]]
+                root = chains[0][shared - 1]
+                root[0] = None
+            due = step + max(flush, len(chains[0]) - shared)
     best = min(paths.items(), key=lambda x: x[1][0] + chars.cost(x[0], "#") if x[0] != "##" else x[1][0])
-    return [w for w in best[1][1].split("#") if w]
+    return [w for w in "".join(done + [node[1] for node in _chain(best[1][1], root)]).split("#") if w]
 
 
 def restored(token: str, chars: Characters) -> list[str]:
@@ -150,7 +180,7 @@ def tokens(text: str) -> set[str]:
 
 def plain_words(text: str) -> list[str]:
     """Tokens of letters only, without their edges, that show no sign of the channel; each distinct token once."""
-    return [c for w in tokens(text) if w[0] != "\n" and not ODD.search(w) and (c := w.strip(EDGES)).isalpha()]
+    return [c for w in tokens(text) if w[0] != "\n" and not DISGUISED.search(w) and (c := w.strip(EDGES)).isalpha()]
 
 
 def trigrams(docs: DataFrame) -> dict[str, float]:
@@ -250,7 +280,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     """docs: what may be learnt from, in whole for the character model and by a sample for the regression; labels: doc_id and label."""
     known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     chosen = sample_by_class(known, "_label", per_class, "_id")
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", F.coalesce("text", F.lit("")).alias("text")).toPandas()
+    got = sample_of(docs, chosen, 2 * per_class).toPandas()
     got = got.sort_values(["doc_id", "text"]).drop_duplicates("text")
     return Model(got["text"].tolist(), got["_label"].to_numpy(), Characters.of(trigrams(docs))) if len(got) else None
 
