@@ -4,7 +4,8 @@ Two second-order Markov models over character classes of credentials, one of ran
 random strings are the values the base patterns found in a bounded sample of documents, with as many drawn at random from the usual
 alphabets; ordinary ones are the other words of those documents. A first model learns no word that is long enough to be judged; of the long ones, the second
 and last also learns those that the first takes for ordinary, so a secret in the sample isn't learnt as ordinary and can't hide itself. A run of credential characters whose log-likelihood ratio
-favours the random model by MARGIN nats a character, and by TOTAL nats in all if it has less than LONG characters, is a further span, `markov`. Where base spans cover a part of it, what lies outside them is judged.
+favours the random model by a margin of nats a character, and by TOTAL nats in all if it has less than LONG characters, is a further span, `markov`. Where base spans cover a part of it, what lies outside them is judged.
+The margin is set on labelled strings held out from a fit (every fifth by hash): where recall less 20 times the false alarms' share is greatest, the middle of all such margins. The model keeps recall and false alarms of those strings in `held_out`.
 
 Defined cases: a null or empty text has no spans and the digest of the empty string; offsets are code points, ends exclusive; texts are scanned whole, matches of a kind do not
 overlap and a match that fails its length is dropped with the text it used up; repeated rows and null ids are scanned row by row; an empty table gives no
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, small_batches
+from .common import LEARNT, arrow_map, small_batches
 
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -37,7 +38,7 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: What the models judge.
 CREDENTIAL = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 
-#: Documents in the sample, strings of each kind, nats a character in favour of the random model.
+#: Documents in the sample, strings of each kind, nats a character in favour of the random model where none was set on held-out strings.
 SAMPLED, STRINGS, MARGIN = 2000, 4000, 0.6
 #: Shorter runs than LONG say less, so their whole ratio has a bound too; an alphabet in order (16 letters, 23.4 nats in the tests) stays below it.
 LONG, TOTAL = 20, 24.0
@@ -63,6 +64,17 @@ class Markov:
 
     def __init__(self, random: list[str], ordinary: list[str]):
         self.pairs = self._logs(random) - self._logs(ordinary)
+        #: The margin, and recall and share of false alarms among strings that weren't learnt from.
+        self.margin, self.held_out = MARGIN, (0.0, 0.0)
+
+    def set_margin(self, random: list[str], ordinary: list[str], steps: np.ndarray = np.arange(0.2, 2.0, 0.05)) -> None:
+        """From labelled strings that weren't learnt from."""
+        hit = np.array([np.mean(marked(random, self, m)) for m in steps])
+        false = np.array([np.mean(marked(ordinary, self, m)) for m in steps])
+        gain = hit - 20 * false
+        best = np.flatnonzero(gain >= gain.max() - 1e-9)
+        k = best[len(best) // 2]
+        self.margin, self.held_out = float(steps[k]), (float(hit[k]), float(false[k]))
 
     @staticmethod
     def _logs(strings: list[str]) -> np.ndarray:
@@ -93,8 +105,9 @@ class Markov:
         return np.add.reduceat(r, starts) / np.maximum(sizes - 2, 1)
 
 
-def marked(strings: list[str], model: Markov, margin: float = MARGIN, total: float = TOTAL) -> list[bool]:
+def marked(strings: list[str], model: Markov, margin: float | None = None, total: float = TOTAL) -> list[bool]:
     """Whether each string of credential characters looks random."""
+    margin = model.margin if margin is None else margin
     return [r >= margin and (len(s) >= LONG or r * (len(s) - 2) >= total) for s, r in zip(strings, model.ratios(strings).tolist())]
 
 
@@ -118,8 +131,9 @@ def drawn(n: int, seed: int = 11) -> list[str]:
 def train(docs: DataFrame, rows: int | None = None, sampled: int = SAMPLED, strings: int = STRINGS) -> Markov:
     """From a bounded sample of documents: what the base patterns mark, and the other words."""
     rows = docs.count() if rows is None else rows
-    part = docs.where(F.col("text").isNotNull() & (F.pmod(F.xxhash64("doc_id", F.lit("secrets")), F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sampled / max(rows, 1))) + 1)))
-    texts = sorted(r[0] for r in part.select(F.col("text").cast("string")).limit(2 * sampled).collect())
+    text, key = F.col("text").cast("string"), F.xxhash64("doc_id", "text", F.lit("secrets"))
+    part = docs.where(F.col("text").isNotNull() & (F.length("text") <= LEARNT) & (F.pmod(key, F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sampled / max(rows, 1))) + 1)))
+    texts = sorted(r[0] for r in part.select(text.alias("t"), key.alias("h")).orderBy("h", "t").limit(2 * sampled).select("t").collect())
     random, ordinary = [], Counter()
     for text in texts:
         at = 0
@@ -130,21 +144,32 @@ def train(docs: DataFrame, rows: int | None = None, sampled: int = SAMPLED, stri
             ordinary.update(re.findall(r"[A-Za-z0-9+/_=-]{6,}", text[at:a]))
             at = max(at, b)
         ordinary.update(re.findall(r"[A-Za-z0-9+/_=-]{6,}", text[at:]))
-    r = np.random.default_rng(12)
-    pick = lambda x: [x[i] for i in r.permutation(len(x))[: 4 * strings]]
-    random = sorted(set(random), key=lambda x: hashlib.blake2b(x.encode(), digest_size=8).digest())[:strings] + drawn(strings)
+    order = lambda x: hashlib.blake2b(x.encode(), digest_size=8).digest()
+    random = sorted(set(random), key=order)[:strings] + drawn(strings)
 
-    def model(names: list[str]) -> Markov:
+    def ordinary_of(names: list[str]) -> list[str]:
+        """Names, identifiers made of them and both in capitals, at most 4 * strings of each."""
+        r = np.random.default_rng(12)
+        pick = lambda x: [x[i] for i in r.permutation(len(x))[: 4 * strings]]
         ids = [f"{a}_{b}" for a, b in zip(names[::3], names[1::3])] + [a + b.capitalize() for a, b in zip(names[1::3], names[2::3])]
-        return Markov(random, pick(names) + pick(ids) + ["the_ordinary_identifier"])
+        # names of constants and shouted words
+        loud = [w.upper() for w in names if w.isalpha()] + [i.upper() for i in ids]
+        return pick(names) + pick(ids) + pick(loud) + ["the_ordinary_identifier"]
 
     names = sorted(ordinary)
     judged = [w for w in names if CREDENTIAL.fullmatch(w)]
-    random_looking = {w for w, x in zip(judged, marked(judged, model(sorted(set(names) - set(judged))))) if x}
-    return model([w for w in names if w not in random_looking])
-
-
-def scan(texts: list[str | None], model: Markov, margin: float = MARGIN) -> list[list[tuple[int, str, int]]]:
+    random_looking = {w for w, x in zip(judged, marked(judged, Markov(random, ordinary_of(sorted(set(names) - set(judged)))))) if x}
+    plain = ordinary_of([w for w in names if w not in random_looking])
+    model, held = Markov(random, plain), lambda x: order(x)[0] % 5 == 0
+    trial = Markov([x for x in random if not held(x)], [x for x in plain if not held(x)])
+    apart = [x for x in plain if held(x) and CREDENTIAL.fullmatch(x)]
+    if apart:
+        trial.set_margin([x for x in random if held(x)], apart)
+        model.margin, model.held_out = trial.margin, trial.held_out
+    return model
+
+
+def scan(texts: list[str | None], model: Markov, margin: float | None = None) -> list[list[tuple[int, str, int]]]:
     """All spans of each text: the base ones, and those the models add."""
     found = [base(t) if t else [] for t in texts]
     where, strings = [], []
