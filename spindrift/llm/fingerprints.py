@@ -7,7 +7,8 @@ of the three quarters that an edit leaves at least one hash stays, whatever the
 SHORT code points are hashed as well, or alone if the whole text is; a text shorter than SHORT is hashed as a whole.
 
 Neighbours by doc_id are found without a total order in one task: ranges of ids, whose bounds come from an approximate quantile, are dealt to tasks and sorted
-there, and the first document of each range is sent to the range before as well. Texts travel compressed.
+there, and the first document of each range is sent to the range before as well. Texts travel compressed. There is a task for each range of about RANGE documents. Above RANGE * RANGES
+documents (268 million) the ranges are larger instead of more; a range is sorted with spill and read as a stream, so memory doesn't grow with it. All rows that share one id lie in one range.
 
 Defined cases: a null text counts as empty; the fingerprint of an empty text is the empty string, and two empty fingerprints are alike to 1, an empty and a full one to 0;
 rows with equal ids follow each other in order of their text's digest; null ids come first; with one row, the next document is itself; an empty table
@@ -26,8 +27,8 @@ from pyspark.sql import functions as F
 
 from .common import small_batches
 
-#: Code points of a gram, hashes of a window, code points of a short text's gram, documents of a range.
-GRAM, WIDTH, SHORT, RANGE = 8, 16, 3, 4096
+#: Code points of a gram, hashes of a window, code points of a short text's gram, documents of a range, most ranges.
+GRAM, WIDTH, SHORT, RANGE, RANGES = 8, 16, 3, 4096, 65536
 BASE = np.uint64(0x9E3779B97F4A7C15)
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
@@ -108,8 +109,8 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def ranged(docs: DataFrame, span: int = RANGE, most: int = 16384) -> DataFrame:
-    """(part, mark, doc_id, digest, packed): documents by ranges of ids; mark 1: the first document after the range.
+def ranged(docs: DataFrame, span: int = RANGE, most: int = RANGES) -> tuple[DataFrame, int]:
+    """(part, mark, doc_id, digest, packed): documents by ranges of ids, and the number of ranges; mark 1: the first document after the range.
 
     The bounds are ids that occur, so the document after a range is known before any is moved: it has the next bound as its id.
     """
@@ -142,7 +143,7 @@ def ranged(docs: DataFrame, span: int = RANGE, most: int = 16384) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)] if rows else [pa.array([], k) for k in kinds], ["part", "mark", "doc_id", "digest", "packed"])
 
-    return docs.mapInArrow(deal, "part long, mark int, doc_id long, digest binary, packed binary")
+    return docs.mapInArrow(deal, "part long, mark int, doc_id long, digest binary, packed binary"), len(bounds) + 1
 
 
 def fingerprint_documents(docs: DataFrame, gram: int = GRAM, width: int = WIDTH, span: int = RANGE) -> DataFrame:
@@ -170,7 +171,8 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, width: int = WIDTH,
                 held = None if mark else (part, doc_id, text, hashes, positions)
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names)
 
-    dealt = ranged(docs, span).repartition(F.col("part")).sortWithinPartitions("part", "mark", F.asc_nulls_first("doc_id"), "digest")
+    rows, parts = ranged(docs, span)
+    dealt = rows.repartition(parts, "part").sortWithinPartitions("part", "mark", F.asc_nulls_first("doc_id"), "digest")
     return dealt.mapInArrow(pairs, SCHEMA)
 
 
