@@ -8,8 +8,10 @@ A bucket's members are first compared with its least member only; verified links
 are compared with PIVOTS others, drawn by hash, that are in another component. At last, members of one bucket in different components are all compared
 with each other, in blocks of at most BLOCK rows by BLOCK rows inside a task. There a bitmap of each set, eight bits or more for an element, bounds the
 symmetric difference from below, which rules out nearly all that the posterior leaves, and only survivors leave the task. So most of a group of n near copies costs a
-number of comparisons in proportion to n, and no pair of a bucket that could join two components is passed over. For tables far
-larger than 10^8 documents, more ROWS and BANDS keep buckets of documents that share only a common passage small.
+number of comparisons in proportion to n, and no pair of a bucket that could join two components is passed over. Within a block only pairs whose set sizes allow the similarity are made.
+A bucket of more than FINE blocks, which is one of documents that share only a common passage, is first divided: its members are compared where one of
+the 32 runs of four minima to verify with agrees too. That misses a link at the threshold with probability 5e-6, and a passage that makes up a fifth of its documents leaves 0.16 % of a bucket together
+a run, so the pairs shrink some ten-thousandfold; they still grow with the square of that share. For tables far larger than 10^9 documents raise ROWS and BANDS.
 
 Defined cases: words are runs of anything but white space, A-Z in lower case; a text of fewer words than a shingle has one shingle, the whole sequence; one without words
 (or null) has none and is linked with nothing; rows that share a doc_id count as one document; a null doc_id is linked with nothing, its component_id is null and it
@@ -27,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from .common import arrow_map, drop, small_batches, stage
-from .components import components
 
-#: Words of a shingle, similarity in percent, bands, minima of a band, minima to verify with and of a batch, miss probability, further pivots, rows of a block.
-SHINGLE, PERCENT, BANDS, ROWS, CHECKS, BATCH, MISS, PIVOTS, BLOCK = 5, 75, 40, 5, 128, 16, 1e-6, 3, 512
+#: Words of a shingle, similarity in percent, bands, minima of a band, minima to verify with and of a batch, miss probability, further pivots, rows of a block, blocks of a bucket that isn't divided, minima of a run that divides.
+SHINGLE, PERCENT, BANDS, ROWS, CHECKS, BATCH, MISS, PIVOTS, BLOCK, FINE, RUN = 5, 75, 40, 5, 128, 16, 1e-6, 3, 512, 32, 4
 _hashes: dict[bytes, int] = {}
 _odd = (np.random.default_rng(20).integers(0, 1 << 31, BANDS * ROWS + CHECKS, dtype=np.uint32) << np.uint32(1)) | np.uint32(1)
 _mults = np.random.default_rng(21).integers(1, 1 << 62, max(SHINGLE, ROWS) + 1, dtype=np.uint64) | np.uint64(1)
@@ -180,6 +182,15 @@ def pruned(pairs: DataFrame, firsts: DataFrame, percent: int) -> DataFrame:
     return arrow_map(pairs.join(own("a"), "a").join(own("b"), "b").select("a", "b", "na", "nb", "sa", "sb"), over, "a long, b long")
 
 
+def divided(members: DataFrame, block: int, fine: int) -> DataFrame:
+    """members with buckets of more than `fine` blocks divided by the runs of minima of their members."""
+    large = members.groupBy("key").count().where(F.col("count") > block * fine).select("key")
+    runs = F.expr(f"explode(transform(sequence(0, {CHECKS // RUN - 1}), i -> xxhash64(key, i, substring(checks, {2 * RUN} * i + 1, {2 * RUN}))))")
+    finer = members.join(large, "key", "left_semi").withColumn("key", runs)
+    several = finer.groupBy("key").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("key")
+    return members.join(large, "key", "left_anti").unionByName(finer.join(several.hint("merge"), "key", "left_semi"))
+
+
 def crossing(members: DataFrame, percent: int, block: int) -> DataFrame:
     """Surviving pairs (a, b) of different components within each bucket.
 
@@ -206,8 +217,10 @@ def crossing(members: DataFrame, percent: int, block: int) -> DataFrame:
                 if b - a < 2:
                     continue
                 within = i[a] == j[a]
+                # in order of size: what is too large for a row is too large for all before it
+                ends = a + np.searchsorted(n[a:b], n[a:b] * 100 // percent, side="right")
                 for at in range(a, b):
-                    to = np.arange(at + 1, b)
+                    to = np.arange(at + 1, ends[at - a])
                     to = to[(comp[to] != comp[at]) & (within | (own[to] != own[at]))]
                     if len(to):
                         xs.append(np.full(len(to), at))
@@ -237,7 +250,7 @@ def crossing(members: DataFrame, percent: int, block: int) -> DataFrame:
         if held:
             yield pairs(pa.Table.from_batches(held))
 
-    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "node").mapInArrow(over, "a long, b long").distinct()
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "n", "node").mapInArrow(over, "a long, b long").distinct()
 
 
 def packed(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -275,7 +288,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return arrow_map(pairs.join(own("b"), "b").join(own("a"), "a").select("a", "b", "pa", "pb"), compare, "a long, b long").distinct()
 
 
-def link(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, pivots: int = PIVOTS) -> DataFrame:
+def link(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, pivots: int = PIVOTS, fine: int = FINE) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: a row for each row of docs."""
     spark = docs.sparkSession
     small_batches(spark)
@@ -322,10 +335,10 @@ def link(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, pivots: in
 
     # what is left: all pairs of a bucket that are still in different components, but for those that have been decided
     open_, open_path = labelled()
-    last = crossing(open_.join(firsts.select("node", "n", "checks", "map").hint("merge"), "node"), percent, block)
-    more, more_path = decided(last.join(stars.unionByName(again), ["a", "b"], "left_anti"))
+    members, members_path = stage(divided(open_.join(firsts.select("node", "n", "checks", "map").hint("merge"), "node"), block, fine), "members")
+    more, more_path = decided(crossing(members, percent, block).join(stars.unionByName(again), ["a", "b"], "left_anti"))
     every, every_path = stage(both.unionByName(more), "links")
-    drop(spark, open_path, labels_path, both_path, more_path, stars_path, again_path, texts_path, shared_path)
+    drop(spark, open_path, members_path, labels_path, both_path, more_path, stars_path, again_path, texts_path, shared_path)
     labels, labels_path = components(every)
     classes, _ = stage(firsts.select("node", "digest").join(labels, "node", "left").select("digest", label.alias("component_id")), "classes")
     slim, _ = stage(rows.select("doc_id", "digest", "n"), "documents")
