@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, fold_of, sample_by_class, small_batches
+from .common import arrow_map, fold_of, sample_by_class, sample_of, small_batches
 
 #: Labelled documents of a class, hashed columns, latent dimensions, neighbours that vote, terms a worker keeps.
 PER_CLASS, DIMS, RANK, NEAREST, KEPT = 1500, 4096, 32, 15, 300_000
@@ -96,7 +96,10 @@ class Neighbours:
             known = np.linalg.norm(x, axis=1) > 1e-6
             cos = unit(x) @ self.vectors.T
             k = min(nearest, cos.shape[1])
-            top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
+            # what lies above the k-th similarity, and of those equal to it the first
+            least = np.partition(cos, cos.shape[1] - k, axis=1)[:, cos.shape[1] - k, None]
+            rank = np.where(cos > least, 2, np.where(cos == least, 1, 0)).astype(np.int8)
+            top = np.argsort(-rank, axis=1, kind="stable")[:, :k]
             w = np.take_along_axis(cos, top, 1).clip(1e-3) ** 8
             got = (w * self.labels[top]).sum(1) / w.sum(1)
             out[i : i + block][known] = got[known]
@@ -107,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     """docs: what may be learnt from; labels: doc_id and label."""
     known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     chosen = sample_by_class(known, "_label", per_class, "_id")
-    got = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "_label", F.coalesce("text", F.lit("")).alias("text")).toPandas()
+    got = sample_of(docs, chosen, 2 * per_class).toPandas()
     got = got.sort_values(["doc_id", "text"]).drop_duplicates("text")
     return Neighbours(got["text"].tolist(), got["_label"].to_numpy()) if len(got) else None
 
