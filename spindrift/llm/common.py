@@ -49,11 +49,11 @@ def sample_by_class(rows: DataFrame, label: str, per_class: int, *key: str) -> D
     return kept.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= per_class).drop("_h", "_rank", "_class", "_sizes")
 
 
-def sample_of(docs: DataFrame, chosen: DataFrame, most: int) -> DataFrame:
-    """doc_id, _label and text of the documents whose id was chosen (_id, _label), none of more than LEARNT characters; at most `most` rows, by hash, if ids repeat."""
+def sample_of(docs: DataFrame, chosen: DataFrame) -> DataFrame:
+    """doc_id, _label and text of the documents whose id was chosen (_id, _label), none of more than LEARNT characters; of rows that share an id the least text."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     found = docs.select("doc_id", text.alias("text")).where(F.length("text") <= LEARNT).join(F.broadcast(chosen), F.col("doc_id") == F.col("_id"))
-    return found.select("doc_id", "_label", "text").orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(most)
+    return found.groupBy("doc_id", "_label").agg(F.min("text").alias("text"))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:

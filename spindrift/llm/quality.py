@@ -110,7 +110,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", per_class:
     """docs: what may be learnt from; labels: doc_id and label."""
     known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     chosen = sample_by_class(known, "_label", per_class, "_id")
-    got = sample_of(docs, chosen, 2 * per_class).toPandas()
+    got = sample_of(docs, chosen).toPandas()
     got = got.sort_values(["doc_id", "text"]).drop_duplicates("text")
     return Neighbours(got["text"].tolist(), got["_label"].to_numpy()) if len(got) else None
 

@@ -3,7 +3,7 @@
 The channel turns letters into look-alike digits and signs, repeats them, and spaces words out. A token is a
 lattice: each run of one character may be any of the letters it can stand for, once or twice, or nothing. Viterbi decoding finds
 the path that is likeliest under a trigram model of characters and the channel's costs, over all states and without a beam. A token that has neither a doubled letter nor a sign of the channel is a
-lattice of one path and stands for itself; a doubled letter is enough to be decoded. Time is in proportion to a token's length. Letters spaced out one by one are joined into one lattice with a possible word break after
+lattice of one path and stands for itself; a doubled letter is enough to be decoded where the token is less likely, a character, than the model's words are on average. Time is in proportion to a token's length. Letters spaced out one by one are joined into one lattice with a possible word break after
 each. Decoded words, their first letters and the other tokens are the features of a sparse logistic regression, learnt on a bounded sample.
 The trigrams are counted over all documents that may be learnt from, with or without a label.
 
@@ -36,8 +36,8 @@ SWAP, BREAK, DROP, ONE_OF_TWO = -math.log(0.3), 8.0, 14.0, 2.0
 _sign = "".join(map(re.escape, LOOKS))
 #: A letter beside a look-alike, or letters parted by signs.
 _beside = rf"[^\W\d_][{_sign}]|[{_sign}][^\W\d_]|[^\W\d_][*._\-]+[^\W\d_][*._\-]"
-#: What is decoded: any of these, or a letter twice or more; and what the character model isn't learnt from: any of these, or a letter three times or more.
-ODD, DISGUISED = re.compile(_beside + r"|([^\W\d_])\1"), re.compile(_beside + r"|([^\W\d_])\1\1")
+#: Signs of the channel: any of these, or a letter three times or more.
+DISGUISED, DOUBLED = re.compile(_beside + r"|([^\W\d_])\1\1"), re.compile(r"([^\W\d_])\1")
 #: Three or more single characters parted by one separator each.
 SPACED = re.compile(rf"(?<![^\s])(?:[^\W_][ ._\-*]|[{_sign}][ ._\-*]){{2,}}(?:[^\W_]|[{_sign}])(?![^\s.,;:!?])")
 
@@ -71,6 +71,8 @@ class Characters:
         for k, n in self.bi.items():
             self.firsts[k[0]] += n
         self.total, self.known = sum(self.uni.values()) + 100.0, {}
+        #: What a character of the words learnt from costs on average.
+        self.usual = sum(n * self.cost(k[:2], k[2]) for k, n in tri.items()) / max(sum(tri.values()), 1e-9)
 
     def cost(self, context: str, c: str) -> float:
         key = context + c
@@ -82,6 +84,16 @@ class Characters:
         return found
 
 
+def odd(token: str, chars: Characters) -> bool:
+    """Whether a token is worth decoding: it shows signs of the channel, or has a doubled letter and is no likely word."""
+    if DISGUISED.search(token):
+        return True
+    if not DOUBLED.search(token):
+        return False
+    w = "##" + token.strip(EDGES) + "#"
+    return sum(map(chars.cost, map("".join, zip(w, w[1:])), w[2:])) > chars.usual * (len(w) - 2)
+
+
 def lattice(token: str, breaks: bool) -> Iterator[tuple[tuple[str, float], ...]]:
     """For each run of one character, what it may stand for and at what cost; '#' is a break between words."""
     for run in re.finditer(r"(.)\1*", token, re.S):
@@ -153,11 +165,11 @@ def decode(token: str, chars: Characters, breaks: bool = False, flush: int = 409
 def restored(token: str, chars: Characters) -> list[str]:
     """The plain words that a lower-case token stands for."""
     core = token.strip(EDGES)
-    if not ODD.search(token):
+    if not odd(token, chars):
         return [core] if core else []
     # signs at the edges that come once or twice may be letters; longer runs are ornament
     trimmed = re.sub(r"^([^\w\s])\1{2,}|([^\w\s])\2{2,}$", "", token).strip(".,;:?\"'()[]{}<>")
-    return (decode(trimmed, chars) if ODD.search(trimmed) else [core]) if core else []
+    return (decode(trimmed, chars) if odd(trimmed, chars) else [core]) if core else []
 
 
 def features(words: list[str]) -> list[int]:
@@ -178,9 +190,21 @@ def tokens(text: str) -> set[str]:
     return found
 
 
+_plain: dict[str, str] = {}
+
+
 def plain_words(text: str) -> list[str]:
     """Tokens of letters only, without their edges, that show no sign of the channel; each distinct token once."""
-    return [c for w in tokens(text) if w[0] != "\n" and not DISGUISED.search(w) and (c := w.strip(EDGES)).isalpha()]
+    if len(_plain) > KEPT:
+        _plain.clear()
+    out = []
+    for w in set(text.lower().split()):
+        if (c := _plain.get(w)) is None:
+            c = w.strip(EDGES)
+            c = _plain[w] = c if c.isalpha() and not DISGUISED.search(w) else ""
+        if c:
+            out.append(c)
+    return out
 
 
 def trigrams(docs: DataFrame) -> dict[str, float]:
@@ -280,7 +304,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: i
     """docs: what may be learnt from, in whole for the character model and by a sample for the regression; labels: doc_id and label."""
     known = labels.where(F.col(label).isNotNull()).select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("_label"))
     chosen = sample_by_class(known, "_label", per_class, "_id")
-    got = sample_of(docs, chosen, 2 * per_class).toPandas()
+    got = sample_of(docs, chosen).toPandas()
     got = got.sort_values(["doc_id", "text"]).drop_duplicates("text")
     return Model(got["text"].tolist(), got["_label"].to_numpy(), Characters.of(trigrams(docs))) if len(got) else None
 
