@@ -172,7 +172,7 @@ def fingerprint_documents(docs: DataFrame, gram: int = GRAM, width: int = WIDTH,
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)] if out else [pa.array([], k) for k in kinds], names)
 
     rows, parts = ranged(docs, span)
-    dealt = rows.repartition(parts, "part").sortWithinPartitions("part", "mark", F.asc_nulls_first("doc_id"), "digest")
+    dealt = rows.repartitionById(parts, F.col("part").cast("int")).sortWithinPartitions("part", "mark", F.asc_nulls_first("doc_id"), "digest")
     return dealt.mapInArrow(pairs, SCHEMA)
 
 
