@@ -31,8 +31,9 @@ def signed_log1p(x: Column, scale: float = 1.0) -> Column:
     return F.signum(x) * F.log1p(F.abs(x) * scale)
 
 
-def signed_sqrt(x: Column) -> Column:
-    return F.signum(x) * F.sqrt(F.abs(x))
+def signed_sqrt(x: Column, scale: float = 1.0) -> Column:
+    """sign(x) * (sqrt(1 + |x| * scale) - 1)."""
+    return F.signum(x) * (F.sqrt(F.abs(x) * scale + 1) - 1)
 
 
 def convexity(v: Column) -> Column:

@@ -96,23 +96,28 @@ def mixture(rows: DataFrame, v: str, dims: int, centres: np.ndarray, noise: floa
 
 
 def linkage(distances: DataFrame, threshold: float, method: str = "complete", i: str = "i", j: str = "j", d: str = "d") -> dict[int, int]:
-    """Groups of units by agglomeration up to threshold; a unit-level table, so it runs on the driver. Units without any pair below the threshold stay alone."""
-    got = distances.where(F.col(d) <= threshold).select(i, j, d).toPandas()
-    groups = {u: {u} for u in {*got[i], *got[j]}}
-    dist = {(min(a, b), max(a, b)): x for a, b, x in got.itertuples(index=False)}
-    where = {u: u for u in groups}
-
-    def between(x: set, y: set) -> float:
-        ds = [dist.get((min(a, b), max(a, b)), float("inf")) for a in x for b in y]
-        return {"complete": max, "single": min, "average": lambda z: sum(z) / len(z)}[method](ds)
-
-    while True:
-        best = min(((between(groups[a], groups[b]), a, b) for a in groups for b in groups if a < b), default=None)
-        if best is None or best[0] > threshold:
+    """Groups of units by agglomeration up to threshold; a unit-level table, so it runs on the driver. A pair that isn't given counts as infinitely far; units without any
+    pair up to threshold are left out. Only single linkage may leave out pairs beyond the threshold: the mean and the greatest distance of groups need them all."""
+    got = (distances.where(F.col(d) <= threshold) if method == "single" else distances).select(i, j, d).toPandas()
+    units = sorted({*got[i], *got[j]})
+    at, n = {u: k for k, u in enumerate(units)}, len(units)
+    x = np.full((n, n), np.inf)
+    for a, b, v in got.itertuples(index=False):
+        x[at[a], at[b]] = x[at[b], at[a]] = v
+    np.fill_diagonal(x, np.inf)
+    near = x.min(1, initial=np.inf) <= threshold
+    size, group = np.ones(n), np.arange(n)
+    while n > 1:
+        a, b = sorted(divmod(int(x.argmin()), n))
+        if not x[a, b] <= threshold:
             break
-        _, a, b = best
-        groups[a] |= groups.pop(b)
-    for g, members in groups.items():
-        for u in members:
-            where[u] = min(members)
-    return where
+        # the distances of the merged group from those of its halves
+        if method == "average":
+            new = (x[a] * size[a] + x[b] * size[b]) / (size[a] + size[b])
+        else:
+            new = (np.maximum if method == "complete" else np.minimum)(x[a], x[b])
+        x[a], x[:, a] = new, new
+        x[b], x[:, b], x[a, a] = np.inf, np.inf, np.inf
+        size[a] += size[b]
+        group[group == b] = a
+    return {u: units[group[k]] for u, k in at.items() if near[k]}

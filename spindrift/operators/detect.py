@@ -12,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions.arrays import convexity as convexity_of
 
 
+#: Radii in a chunk of time that is searched by itself.
+CHUNK = 256
+
+
 def local_maxima(samples: DataFrame, radius: int, threshold: float, by: list[str], order: list[str], value: str = "v") -> DataFrame:
     """Samples above threshold (strictly) that no sample within radius rows exceeds; of equal ones the first; the first and last sample never."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -22,20 +26,22 @@ def local_maxima(samples: DataFrame, radius: int, threshold: float, by: list[str
 
 
 def suppress(peaks: DataFrame, radius: int, t: str = "t", value: str = "v", by: list[str] = [], key: str = "spike_id") -> DataFrame:  # noqa: B006
-    """Peaks that no peak within radius of time exceeds; of equal ones the earlier, then the smaller key. One window by range, no self-join."""
-    w = Window.partitionBy(*by).orderBy(t).rangeBetween(-radius, radius)
+    """Peaks that no peak within radius of time exceeds; of equal ones the earlier, then the smaller key. One window by range, no self-join; chunks with margins are
+    searched apart, so the table, or one of its groups, is never in one task."""
+    peaks = with_halo(peaks, CHUNK * max(1, int(radius)), radius, t)
+    w = Window.partitionBy(*by, "chunk").orderBy(t).rangeBetween(-radius, radius)
     best = F.max(F.struct(F.col(value), (-F.col(t)).alias("t"), (-F.col(key)).alias("k"))).over(w)
-    return peaks.withColumn("_best", best).where((F.col("_best")[value] == F.col(value)) & (F.col("_best.t") == -F.col(t)) & (F.col("_best.k") == -F.col(key))).drop("_best")
+    return peaks.withColumn("_best", best).where((F.col("_best")[value] == F.col(value)) & (F.col("_best.t") == -F.col(t)) & (F.col("_best.k") == -F.col(key)) & F.col("core")).drop("_best", "chunk", "core")
 
 
 def detect_and_deduplicate(peaks: DataFrame, neighbours: DataFrame, radius: int, t: str = "t", channel: str = "channel", value: str = "v") -> DataFrame:
     """Suppression over time and neighbouring channels: a peak stays unless a neighbour's peak within radius is higher, or equal and of an earlier
     channel, or of the same channel and earlier. neighbours (channel, neighbor) is a small bridge table; each peak visits its neighbours' channels and one window decides."""
-    spread = peaks.join(F.broadcast(neighbours), channel).withColumn("_own", F.col(channel) == F.col("neighbor"))
-    w = Window.partitionBy("neighbor").orderBy(t).rangeBetween(-radius, radius)
+    spread = with_halo(peaks, CHUNK * max(1, int(radius)), radius, t).join(F.broadcast(neighbours), channel).withColumn("_own", F.col(channel) == F.col("neighbor"))
+    w = Window.partitionBy("neighbor", "chunk").orderBy(t).rangeBetween(-radius, radius)
     best = F.max(F.struct(F.col(value).alias("v"), (-F.col(channel)).alias("c"), (-F.col(t)).alias("t"))).over(w)
-    seen = spread.withColumn("_best", best).where("_own")
-    return seen.where((F.col("_best.v") == F.col(value)) & (F.col("_best.c") == -F.col(channel)) & (F.col("_best.t") == -F.col(t))).drop("_best", "_own", "neighbor")
+    seen = spread.withColumn("_best", best).where("_own and core")
+    return seen.where((F.col("_best.v") == F.col(value)) & (F.col("_best.c") == -F.col(channel)) & (F.col("_best.t") == -F.col(t))).drop("_best", "_own", "neighbor", "chunk", "core")
 
 
 def convexity(samples: DataFrame, radius: int, by: list[str], order: list[str], value: str = "v") -> DataFrame:
@@ -64,24 +70,24 @@ def peel(samples: DataFrame, length: int, margin: int, fn: Callable[[pd.DataFram
     return with_halo(samples, length, margin, t).groupBy("chunk").applyInPandas(fn, schema)
 
 
-def subtract_peaks(threshold: float, dedup: int, kernel: list[float], t: str = "t", v: str = "v", steps: int = 100) -> Callable[[pd.DataFrame], pd.DataFrame]:
+def subtract_peaks(threshold: float, dedup: int, kernel: list[float], t: str = "t", v: str = "v") -> Callable[[pd.DataFrame], pd.DataFrame]:
     """A peeling function: take the highest sample, subtract the scaled kernel about it, repeat until none exceeds threshold; peaks of the margins are not returned."""
     half = len(kernel) // 2
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([t, "spike_id"]).reset_index(drop=True)
         x, times, core = pdf[v].to_numpy(float).copy(), pdf[t].to_numpy(), pdf["core"].to_numpy()
-        free, out = [True] * len(x), []
-        for _ in range(steps):
-            best = max((i for i in range(len(x)) if free[i]), key=lambda i: (x[i], -i), default=None)
-            if best is None or x[best] <= threshold:
+        barred, out, shape = np.zeros(len(x), bool), [], np.asarray(kernel, float)
+        # each step bars a sample at least, so this ends
+        while len(x):
+            free = np.where(barred, -np.inf, x)
+            best = int(free.argmax())
+            if not free[best] > threshold:
                 break
             height = x[best]
-            for k, share in enumerate(kernel):
-                if 0 <= (i := best + k - half) < len(x):
-                    x[i] -= height * share
-            for i in range(max(0, best - dedup), min(len(x), best + dedup + 1)):
-                free[i] = False
+            a, b = max(0, best - half), min(len(x), best - half + len(shape))
+            x[a:b] -= height * shape[a - best + half : b - best + half]
+            barred[max(0, best - dedup) : best + dedup + 1] = True
             if core[best]:
                 out.append((int(pdf["chunk"].iloc[0]), int(pdf["spike_id"].iloc[best]), int(times[best]), float(height)))
         return pd.DataFrame(sorted(out, key=lambda r: (r[2], r[1])), columns=["chunk", "spike_id", "t", "height"])

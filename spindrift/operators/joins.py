@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import stage
+
 
 def as_of(left: DataFrame, right: DataFrame, by: list[str], lt: str, rt: str, values: list[str], key: str) -> DataFrame:
     """The last right row at or before each left row's time. Both sides are stacked and one window carries values forward: no join, one shuffle on the key."""
@@ -89,17 +91,15 @@ def greedy_match(a: DataFrame, b: DataFrame, axes_a: list[str], axes_b: list[str
 
     Each round takes the pairs that come first for both of their ends and drops all others of these ends; that is the greedy order's own result, with as many rounds as its longest chain of pairs that wait for each other.
     """
-    from .graph import _cut
-
     pairs = within(a.select(key_a, *axes_a), b.select(key_b, *axes_b), axes_a, axes_b, radius).select(key_a, key_b, "d", F.floor(F.col("d") / step).alias("_s"))
-    left, out = _cut(pairs), None
+    left, out = stage(pairs, "pairs")[0], None
     while not left.isEmpty():
         first = left
         for key in (key_a, key_b):
             first = first.withColumn(f"_r_{key}", F.row_number().over(Window.partitionBy(key).orderBy("_s", key_a, key_b)))
-        taken = _cut(first.where(f"_r_{key_a} = 1 and _r_{key_b} = 1").select(key_a, key_b, "d"))
+        taken, _ = stage(first.where(f"_r_{key_a} = 1 and _r_{key_b} = 1").select(key_a, key_b, "d"), "taken")
         out = taken if out is None else out.unionByName(taken)
-        left = _cut(left.join(taken.select(key_a), key_a, "left_anti").join(taken.select(key_b), key_b, "left_anti"))
+        left, _ = stage(left.join(taken.select(key_a), key_a, "left_anti").join(taken.select(key_b), key_b, "left_anti"), "pairs")
     return pairs.select(key_a, key_b, "d").limit(0) if out is None else out
 
 

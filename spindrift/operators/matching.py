@@ -14,7 +14,7 @@ from .detect import with_halo
 SCHEMA = "chunk long, t long, unit int, objective double, scaling double"
 
 
-def pursuit(templates: np.ndarray, units: list[int], threshold: float, trough: int, refractory: int = 10, scale_sd: float = 0.0, boundary: float = 0.5, steps: int = 1000) -> Callable[[np.ndarray], list[tuple[int, int, float, float]]]:
+def pursuit(templates: np.ndarray, units: list[int], threshold: float, trough: int, refractory: int = 10, scale_sd: float = 0.0, boundary: float = 0.5) -> Callable[[np.ndarray], list[tuple[int, int, float, float]]]:
     """A function of a trace (times, channels) that gives (time, unit, objective, scaling) of each template found.
 
     templates is (units, length, channels). A template's objective at a time is the drop of the residual's square when it is subtracted, twice the product
@@ -45,7 +45,8 @@ def pursuit(templates: np.ndarray, units: list[int], threshold: float, trough: i
         conv = products(x)
         n = conv.shape[1]
         barred, found = np.zeros((k, n), bool), []
-        for _ in range(steps):
+        # each step bars a time at least, so this ends
+        while True:
             obj, scales = score(conv)
             obj[barred] = -np.inf
             best = obj.argmax(0)

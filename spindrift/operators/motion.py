@@ -32,9 +32,10 @@ def uncorrect(spikes: DataFrame, motion: DataFrame, t: str, z_reg: str, bin_: fl
     return spikes.withColumn("_k", F.floor(F.col(t) / bin_)).join(m, "_k", "left").withColumn(to, F.col(z_reg) + F.coalesce("disp", F.lit(0.0))).drop("_k")
 
 
-def pitch_shift(displacement: Column, pitch: float) -> Column:
-    """Whole pitches in a displacement, halves to even."""
-    return F.bround(displacement / pitch, 0).cast("long")
+def pitch_shift(displacement: Column, pitch: float, mode: str = "round") -> Column:
+    """Whole pitches by which the probe has moved: it moves by -displacement. mode "round" takes the nearest number, halves to even; "floor" drops the fraction, towards 0."""
+    moved = -displacement / pitch
+    return F.bround(moved, 0).cast("long") if mode == "round" else moved.cast("long")
 
 
 def registered_geometry(channels: DataFrame, pitch: float, up: int, down: int) -> DataFrame:

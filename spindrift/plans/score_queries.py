@@ -103,7 +103,7 @@ def channel_parents(spark, d):
 def point_sources(spark, d):
     v = F.transform("v", lambda x: F.abs(x))
     grid = F.sequence(F.lit(0), F.lit(63))
-    rows = emb(spark, d).select("vec_id", F.slice(v, 1, 16).alias("amp"), F.transform(F.slice(grid, 1, 16), lambda k: (k % 4) * 16.0).alias("xs"), F.transform(F.slice(grid, 1, 16), lambda k: F.floor(k / 4) * 20.0).alias("zs"))
+    rows = emb(spark, d).select("vec_id", v.alias("amp"), F.transform(grid, lambda k: (k % 4) * 16.0).alias("xs"), F.transform(grid, lambda k: F.floor(k / 4) * 20.0).alias("zs"))
     return locate.localize(rows, "vec_id")
 
 

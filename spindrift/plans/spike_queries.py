@@ -183,25 +183,15 @@ def correlogram(spark, d):
     return trains.correlogram(event_spikes(spark, d), 60 * SECOND, 50)
 
 
-@query(f"""WITH {S}, c AS (SELECT label, t // 24000000 AS b, sqrt(count(*)) AS r FROM s WHERE label < 40 GROUP BY 1, 2),
-n AS (SELECT CAST(max(t) // 24000000 - min(t) // 24000000 + 1 AS DOUBLE) AS bins FROM s WHERE label < 40),
-o AS (SELECT label, sum(r) AS s1, sum(r * r) AS q FROM c GROUP BY label),
-p AS (SELECT x.label AS i, y.label AS j, sum(x.r * y.r) AS p FROM c x JOIN c y ON x.b = y.b AND x.label < y.label GROUP BY 1, 2)
-SELECT i, j, round((bins * p - a.s1 * e.s1) / nullif(sqrt((bins * a.q - a.s1 * a.s1) * (bins * e.q - e.s1 * e.s1)), 0), 6) AS corr
-FROM p JOIN o a ON a.label = i JOIN o e ON e.label = j, n""")
-def firing_corr(spark, d):
-    return trains.rate_correlations(event_spikes(spark, d).where("label < 40"), 24 * SECOND).select("i", "j", r6(F.col("corr")).alias("corr"))
-
-
-#: All units and all pairs; firing_corr is held to units below 40 by its SQL.
 @query(f"""WITH {S}, c AS (SELECT label, t // 24000000 AS b, sqrt(count(*)) AS r FROM s GROUP BY 1, 2),
 n AS (SELECT CAST(max(t) // 24000000 - min(t) // 24000000 + 1 AS DOUBLE) AS bins FROM s),
 o AS (SELECT label, sum(r) AS s1, sum(r * r) AS q FROM c GROUP BY label),
 p AS (SELECT x.label AS i, y.label AS j, sum(x.r * y.r) AS p FROM c x JOIN c y ON x.b = y.b AND x.label < y.label GROUP BY 1, 2)
 SELECT a.label AS i, e.label AS j, round((bins * coalesce(p, 0) - a.s1 * e.s1) / nullif(sqrt((bins * a.q - a.s1 * a.s1) * (bins * e.q - e.s1 * e.s1)), 0), 6) AS corr
 FROM o a JOIN o e ON a.label < e.label LEFT JOIN p ON p.i = a.label AND p.j = e.label, n""")
-def firing_corr_all(spark, d):
-    return trains.rate_correlations(event_spikes(spark, d), 24 * SECOND, disjoint=True).select("i", "j", r6(F.col("corr")).alias("corr"))
+def firing_corr(spark, d):
+    """All pairs of units, those without a common bin too."""
+    return trains.rate_correlations(event_spikes(spark, d), 24 * SECOND).select("i", "j", r6(F.col("corr")).alias("corr"))
 
 
 @query(f"""WITH {S}, a AS (SELECT spike_id AS a_id, t AS ta FROM s WHERE channel = 'purchase'), b AS (SELECT spike_id AS b_id, t AS tb, label FROM s WHERE channel = 'click'),
@@ -235,15 +225,15 @@ def depth_reorder(spark, d):
     return labels.reorder_by_depth(event_spikes(spark, d), "amplitude").select("spike_id", F.col("by_depth").cast("long").alias("by_depth"))
 
 
-@query(f"WITH {S} SELECT spike_id, round(sign(amplitude - 25) * ln(1 + abs(amplitude - 25) * 2), 6) AS slog, round(sign(amplitude - 25) * sqrt(abs(amplitude - 25)), 6) AS sroot FROM s")
+@query(f"WITH {S} SELECT spike_id, round(sign(amplitude - 25) * ln(1 + abs(amplitude - 25) * 2), 6) AS slog, round(sign(amplitude - 25) * (sqrt(1 + abs(amplitude - 25) * 3) - 1), 6) AS sroot FROM s")
 def signed_transforms(spark, d):
     x = F.col("amplitude") - 25
-    return event_spikes(spark, d).select("spike_id", r6(signed_log1p(x, 2.0)).alias("slog"), r6(signed_sqrt(x)).alias("sroot"))
+    return event_spikes(spark, d).select("spike_id", r6(signed_log1p(x, 2.0)).alias("slog"), r6(signed_sqrt(x, 3.0)).alias("sroot"))
 
 
-@query(f"WITH {S} SELECT spike_id, CAST(round_even(amplitude / 4, 0) AS BIGINT) AS shift FROM s")
+@query(f"WITH {S} SELECT spike_id, CAST(round_even(-amplitude / 4, 0) AS BIGINT) AS shift, CAST(trunc(-amplitude / 4) AS BIGINT) AS whole FROM s")
 def pitch_shifts(spark, d):
-    return event_spikes(spark, d).select("spike_id", motion.pitch_shift(F.col("amplitude"), 4.0).alias("shift"))
+    return event_spikes(spark, d).select("spike_id", motion.pitch_shift(F.col("amplitude"), 4.0).alias("shift"), motion.pitch_shift(F.col("amplitude"), 4.0, "floor").alias("whole"))
 
 
 @query(f"""WITH {S}, m AS (SELECT t // 24000000 AS k, avg(amplitude) AS disp FROM s GROUP BY 1)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 
 from pyspark.sql import DataFrame, SparkSession
@@ -52,20 +53,48 @@ def with_ids(spikes: DataFrame, order: list[str], to: str = "spike_id") -> DataF
 
 
 def read_binary_traces(spark: SparkSession, path: str, channels: int, samples: int = 30_000, dtype: str = "int16") -> DataFrame:
-    """Flat time-major binary recordings as traces (chunk_id, channel, t0, v): one record per chunk, split by Spark's fixed-length record reader."""
-    width = {"int16": ("h", 2), "int32": ("i", 4), "float32": ("f", 4)}[dtype]
-    record = channels * samples * width[1]
-
-    def chunks(part):
+    """Flat time-major binary recordings (one file) as traces (chunk_id, channel, t0, v), chunks of `samples` and a shorter last one; split by Spark's fixed-length record reader.
+
+    Its records must divide the file, so they are as many samples as divide both a chunk and the recording. Records of a chunk that lie in one task are put together there; only chunks
+    that tasks share are put together by a shuffle.
+    """
+    width = {"int16": 2, "int32": 4, "float32": 4}[dtype]
+    kind = "<f4" if dtype == "float32" else f"<i{width}"
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    size = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
+    total, odd = divmod(size, channels * width)
+    if odd:
+        raise ValueError(f"{path} ends within a sample of {channels} channels")
+    if not total:
+        return spark.createDataFrame([], TRACES)
+    step = math.gcd(total, samples)
+
+    def pieces(part):
         import numpy as np
 
-        for index, raw in part:
-            x = np.frombuffer(raw, dtype=f"<{width[0]}{width[1]}" if width[0] == "f" else f"<i{width[1]}").reshape(-1, channels)
-            for c in range(channels):
-                yield int(index), c, int(index) * samples, [float(v) for v in x[:, c]]
-
-    rdd = spark.sparkContext.binaryRecords(path, record).zipWithIndex().map(lambda r: (r[1], r[0]))
-    return spark.createDataFrame(rdd.mapPartitions(chunks), TRACES)
+        def rows(at, raws):
+            x = np.frombuffer(b"".join(raws), dtype=kind).reshape(-1, channels).T.astype(np.float32)
+            return [(at // samples, c, at, v.tolist()) for c, v in enumerate(x)]
+
+        first, last, held = 0, -1, []
+        for raw, index in part:
+            at = index * step
+            if held and (at // samples != last // samples):
+                yield from rows(first, held)
+                held = []
+            if not held:
+                first = at
+            held.append(raw)
+            last = at
+        if held:
+            yield from rows(first, held)
+
+    rdd = spark.sparkContext.binaryRecords(path, channels * width * step).zipWithIndex()
+    got = spark.createDataFrame(rdd.mapPartitions(pieces), TRACES)
+    if step == samples:
+        return got
+    parts = got.groupBy("chunk_id", "channel").agg(F.sort_array(F.collect_list(F.struct("t0", "v"))).alias("p"))
+    return parts.select("chunk_id", "channel", F.col("p")[0]["t0"].alias("t0"), F.flatten(F.transform("p", lambda x: x["v"])).alias("v"))
 
 
 def explode_traces(traces: DataFrame) -> DataFrame:

@@ -180,7 +180,7 @@ def test_rate_correlations_of_all_pairs(spark):
     """Every pair of units, also of high ids and without a common bin, as on a dense grid."""
     counts = {3: [4, 1, 0, 0, 0, 2], 7: [0, 0, 9, 1, 0, 0], 55: [1, 0, 4, 0, 0, 0], 900: [0, 0, 0, 0, 16, 0]}
     rows = [(u, b * 10 + k % 10) for u, c in counts.items() for b, n in enumerate(c) for k in range(n)]
-    got = trains.rate_correlations(spark.createDataFrame(rows, "label long, t long"), 10, disjoint=True).collect()
+    got = trains.rate_correlations(spark.createDataFrame(rows, "label long, t long"), 10).collect()
     units, want = sorted(counts), np.corrcoef([np.sqrt(counts[u]) for u in sorted(counts)])
     assert len(got) == 6
     for i, j, corr in got:
@@ -193,3 +193,41 @@ def test_firing_corr_has_all_units(spark):
     d = "/root/testdata/sf0.01"
     n = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().count()
     assert n > 40 and catalogue.QUERIES["firing_corr_all"](spark, d).count() == n * (n - 1) // 2
+
+
+def test_faults_mended(spark, tmp_path):
+    """Cases that gave wrong results once."""
+    import pandas as pd
+    from spindrift.operators import detect
+    from spindrift.sources import tables
+
+    # the mean of a group's distances counts pairs beyond the threshold
+    three = spark.createDataFrame([(0, 1, 0.05), (1, 2, 0.05), (0, 2, 0.2)], "i int, j int, d double")
+    assert cluster.linkage(three, 0.15, "average") == {0: 0, 1: 0, 2: 0} and len(set(cluster.linkage(three, 0.15).values())) == 2
+    # two units that never share a bin are correlated negatively
+    rows = spark.createDataFrame([(k % 2, 10 * k) for k in range(20)], "label long, t long")
+    got = trains.rate_correlations(rows, 10).collect()
+    assert len(got) == 1 and abs(got[0]["corr"] + 1) < 1e-9
+    # recordings that aren't whole numbers of chunks
+    for n in (7, 10, 23):
+        x = np.arange(n * 3, dtype="<i2").reshape(n, 3)
+        x.tofile(tmp_path / f"r{n}.bin")
+        got = tables.read_binary_traces(spark, str(tmp_path / f"r{n}.bin"), 3, 5).orderBy("chunk_id", "channel").collect()
+        assert [(r.chunk_id, r.channel, r.t0, r.v) for r in got] == [(k, c, 5 * k, x[5 * k : 5 * k + 5, c].astype(float).tolist()) for k in range(-(-n // 5)) for c in range(3)]
+    # every peak of a chunk is taken
+    pdf = pd.DataFrame({"chunk": 0, "spike_id": range(600), "t": range(600), "v": [100.0 if i % 4 == 0 else 0.0 for i in range(600)], "core": True})
+    assert len(detect.subtract_peaks(50.0, 1, [1.0])(pdf)) == 150
+
+
+def test_suppression_by_chunks(spark):
+    """Chunks with margins decide as one window over the whole table would."""
+    import random
+
+    from spindrift.operators import detect
+
+    r = random.Random(3)
+    rows = [(i, r.randrange(4000), float(r.randrange(50)), r.randrange(3)) for i in range(600)]
+    df = spark.createDataFrame(rows, "spike_id long, t long, v double, channel int")
+    beats = lambda a, b: (a[2], -a[1], -a[0]) > (b[2], -b[1], -b[0])
+    want = {a[0] for a in rows if not any(abs(a[1] - b[1]) <= 5 and beats(b, a) for b in rows)}
+    assert {x.spike_id for x in detect.suppress(df, 5).collect()} == want
