@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -66,3 +68,33 @@ def trim_borders(points: DataFrame, axes: list[str], key: str, k: int = 5, radiu
     border = near.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= k).where("la <> lb").select(F.col("a").alias(key)).distinct()
     top = live.join(border, key).groupBy("label").agg(F.max("density").alias("_top"))
     return points.join(top, "label", "left").withColumn("label", F.when(F.col("density") <= F.col("_top"), F.lit(-1)).otherwise(F.col("label"))).drop("_top")
+
+
+def nearest_density(points: DataFrame, axes: list[str], key: str, k: int, radius: float, sigma: float | None = None) -> DataFrame:
+    """(key, density) from the k nearest points within radius, itself the first: their number over the greatest distance to the power of the dimension, or a Gaussian's sum over all of them (a point's own is 1). A point without others has density 0, or 1."""
+    near = _self(points, axes, key, radius).where(F.col("a") != F.col("b"))
+    rank = F.row_number().over(Window.partitionBy("a").orderBy("d", "b"))
+    by = near.withColumn("_r", rank).where(F.col("_r") < k).groupBy("a")
+    if sigma is None:
+        value = F.try_divide((F.count(F.lit(1)) + 1).cast("double"), F.pow(F.max("d"), F.lit(float(len(axes)))))
+    else:
+        value = F.sum(F.exp(-(F.col("d") ** 2) / sigma**2)) + 1.0
+    return points.select(F.col(key).alias("a")).join(by.agg(value.alias("density")), "a", "left").select(F.col("a").alias(key), F.coalesce("density", F.lit(0.0 if sigma is None else 1.0)).alias("density"))
+
+
+def binned_density(points: DataFrame, axes: list[str], step: float, sigma: float, reach: float = 3.0) -> DataFrame:
+    """Bins (one whole number an axis) and their density: a histogram smoothed by a Gaussian along each axis in turn. Work follows from bins, not from pairs of points, so a crowded place costs no more."""
+    bins = points.groupBy(*(F.floor(F.col(c) / step).cast("long").alias(c) for c in axes)).agg(F.count(F.lit(1)).cast("double").alias("density"))
+    span = int(reach * sigma / step)
+    weights = [math.exp(-((i * step) ** 2) / (2 * sigma**2)) for i in range(-span, span + 1)]
+    kernel = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(w / sum(weights)).alias("w")) for i, w in zip(range(-span, span + 1), weights)))
+    for c in axes:
+        moved = bins.withColumn("_k", F.explode(kernel)).withColumn(c, F.col(c) + F.col("_k.i")).withColumn("density", F.col("density") * F.col("_k.w"))
+        bins = moved.groupBy(*axes).agg(F.sum("density").alias("density"))
+    return bins
+
+
+def binned_density_ratio(points: DataFrame, axes: list[str], step: float, sigma: float, regional: float) -> DataFrame:
+    """Each bin's density over that of its wider region."""
+    near, far = binned_density(points, axes, step, sigma), binned_density(points, axes, step, regional).withColumnRenamed("density", "_wide")
+    return near.join(far, axes).withColumn("density", F.try_divide("density", "_wide")).drop("_wide")

@@ -192,7 +192,7 @@ def test_firing_corr_has_all_units(spark):
 
     d = "/root/testdata/sf0.01"
     n = spark.read.parquet(f"{d}/events.parquet").select("user_id").distinct().count()
-    assert n > 40 and catalogue.QUERIES["firing_corr_all"](spark, d).count() == n * (n - 1) // 2
+    assert n > 40 and catalogue.QUERIES["firing_corr"](spark, d).count() == n * (n - 1) // 2
 
 
 def test_faults_mended(spark, tmp_path):
