@@ -33,7 +33,7 @@ class EmbeddedNoise:
             raise ValueError(f"no kind {kind!r}")
         by_rank = np.einsum("nrc,nsc->rs", gap, gap) / (n * channels)
         # channels after the ranks' covariance is taken out, of mean variance 1
-        white = np.linalg.solve(np.linalg.cholesky(by_rank), gap)
+        white = np.linalg.inv(np.linalg.cholesky(by_rank)) @ gap
         by_channel = np.einsum("nrc,nrd->cd", white, white) / (n * rank)
         return cls(mean, kind, (by_rank, (1 - shrinkage) * by_channel + shrinkage * np.eye(channels)))
 
@@ -54,7 +54,7 @@ class EmbeddedNoise:
         """Features (rows, rank, channels) of those channels, with the identity as covariance."""
         at = np.arange(self.mean.shape[1]) if channels is None else np.asarray(channels)
         flat = (x - self.mean[:, at]).reshape(len(x), -1)
-        return np.linalg.solve(np.linalg.cholesky(self.covariance(at)), flat.T).T.reshape(x.shape)
+        return (flat @ np.linalg.inv(np.linalg.cholesky(self.covariance(at))).T).reshape(x.shape)
 
     def log_likelihood(self, x: np.ndarray, channels: np.ndarray | None = None) -> np.ndarray:
         at = np.arange(self.mean.shape[1]) if channels is None else np.asarray(channels)
