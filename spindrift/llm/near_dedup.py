@@ -335,10 +335,10 @@ def link(docs: DataFrame, percent: int = PERCENT, block: int = BLOCK, pivots: in
 
     # what is left: all pairs of a bucket that are still in different components, but for those that have been decided
     open_, open_path = labelled()
-    members, members_path = stage(divided(open_.join(firsts.select("node", "n", "checks", "map").hint("merge"), "node"), block, fine), "members")
+    members = divided(open_.join(firsts.select("node", "n", "checks", "map").hint("merge"), "node"), block, fine)
     more, more_path = decided(crossing(members, percent, block).join(stars.unionByName(again), ["a", "b"], "left_anti"))
     every, every_path = stage(both.unionByName(more), "links")
-    drop(spark, open_path, members_path, labels_path, both_path, more_path, stars_path, again_path, texts_path, shared_path)
+    drop(spark, open_path, labels_path, both_path, more_path, stars_path, again_path, texts_path, shared_path)
     labels, labels_path = components(every)
     classes, _ = stage(firsts.select("node", "digest").join(labels, "node", "left").select("digest", label.alias("component_id")), "classes")
     slim, _ = stage(rows.select("doc_id", "digest", "n"), "documents")
