@@ -84,3 +84,18 @@ def combined_moments(parts: DataFrame) -> DataFrame:
     total = parts.groupBy("unit", "sample").agg(F.sum("n").alias("_n"), (F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
     about = parts.join(total, ["unit", "sample"]).groupBy("unit", "sample")
     return about.agg(F.max("_n").alias("n"), F.max("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * (F.col("mean") - F.col("_mean")) ** 2).alias("m2"))
+
+
+def explore_pool(allowed: DataFrame, search: DataFrame) -> DataFrame:
+    """(unit, neighborhood, candidate): for each unit in a neighbourhood it's allowed in, the units allowed there too that its search set (i, j), itself included, doesn't hold."""
+    both = allowed.join(allowed.withColumnRenamed("unit", "candidate"), "neighborhood").where("unit <> candidate")
+    return both.join(search.select(F.col("i").alias("unit"), F.col("j").alias("candidate")), ["unit", "candidate"], "left_anti").select("unit", "neighborhood", "candidate")
+
+
+def first_candidates(rows: DataFrame, allowed: DataFrame, n: int, seed: int = 0, key: str = "spike_id", label: str = "label", neighborhood: str = "neighborhood") -> DataFrame:
+    """(key, cand): the label and n - 1 other units allowed in the neighbourhood, drawn without replacement, -1 where there are too few. Draws follow from key, unit and seed."""
+    lists = by_neighborhood(allowed).select(F.col("neighborhood").alias(neighborhood), "units")
+    drawn = F.array_sort(F.transform(F.array_except(F.coalesce("units", F.array().cast("array<long>")), F.array(F.col(label).cast("long"))), lambda u: F.struct(F.xxhash64(key, u, F.lit(seed)).alias("h"), u.alias("u"))))
+    some = F.slice(F.transform(drawn, lambda p: p["u"]), 1, n - 1) if n > 1 else F.array().cast("array<long>")
+    padded = F.slice(F.concat(F.array(F.col(label).cast("long")), some, F.array_repeat(F.lit(-1).cast("long"), n)), 1, n)
+    return rows.join(F.broadcast(lists), neighborhood, "left").select(key, padded.alias("cand"))
