@@ -74,11 +74,14 @@ def solved_shifts(pairs: list[tuple[int, int, float, float]], units: int, own: n
         rhs[j] += w * lag
         rhs[i] -= w * lag
         group[group == group[j]] = group[i]
-    shift = np.linalg.pinv(lap) @ rhs
+    shift, out = np.linalg.pinv(lap) @ rhs, np.zeros(units, int)
     for g in np.unique(group):
-        at = group == g
+        at = np.flatnonzero(group == g)
         shift[at] += np.average(own[at] - shift[at], weights=np.maximum(weight[at], 1e-300))
-    return np.rint(shift).astype(int)
+        # rounded about the heaviest unit, so that whole lags stay whole whatever the mean is
+        first = shift[at[weight[at].argmax()]]
+        out[at] = np.rint(shift[at] - first) + np.rint(first)
+    return out
 
 
 def basis_of(rows: DataFrame, rank: int, v: str = "v", centred: bool = False) -> np.ndarray:
