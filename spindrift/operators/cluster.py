@@ -79,13 +79,16 @@ def mixture(rows: DataFrame, v: str, dims: int, centres: np.ndarray, noise: floa
                 q += float((r[:, :k] * (x * x).sum(1)[:, None]).sum())
                 ll += float(lse.sum())
                 m += len(x)
-            yield pd.DataFrame({"n": [n.tolist()], "s": [s.ravel().tolist()], "q": [q], "ll": [ll], "m": [m]})
+            sums = np.concatenate([n, s.ravel(), [q, ll, m]])
+            yield pd.DataFrame({"i": range(len(sums)), "x": sums})
 
-        stats = rows.select(v).mapInPandas(part, "n array<double>, s array<double>, q double, ll double, m long")
         # entry by entry, so partial sums meet in the executors and not on the driver
-        n = stats.select(F.posexplode("n").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy()
-        s = stats.select(F.posexplode("s").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x")).orderBy("i").toPandas()["x"].to_numpy().reshape(k, dims)
-        q, ll, m = stats.agg(F.sum("q"), F.sum("ll"), F.sum("m")).first()
+        got = rows.select(v).mapInPandas(part, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toPandas()
+        flat = np.zeros(k + 1 + k * dims + 3)
+        flat[got["i"]] = got["x"]
+        n, s, (q, ll, m) = flat[: k + 1], flat[k + 1 : -3].reshape(k, dims), flat[-3:]
+        if not m:
+            break
         pi = np.maximum(n / m, 1e-12)
         mu = s / np.maximum(n[:k, None], 1e-12)
         var = max(float((q - (n[:k, None] * mu * mu).sum()) / (dims * max(n[:k].sum(), 1e-12))), 1e-9)

@@ -55,13 +55,21 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, key: str, v: str = "
     return best.select(key, F.col("_best.centroid").alias("centroid"), F.sqrt("_best.d2").alias("d"))
 
 
-def top_cosine(rows: DataFrame, queries: DataFrame, key: str, k: int, v: str = "v") -> DataFrame:
-    """The k rows most like each query, itself left out. A bounded set of queries is broadcast; each task keeps its own best before the shuffle."""
+def top_cosine(rows: DataFrame, queries: DataFrame, key: str, k: int, v: str = "v", block_bytes: int = 64 << 20) -> DataFrame:
+    """The k rows most like each query, itself left out. Queries are dealt by hash over blocks of about block_bytes, whose number follows from their count and length; each block is
+    broadcast against all rows, and each task keeps its own best before the shuffle."""
     q = queries.select(F.col(key).alias("query"), F.col(v).alias("_q"))
-    both = rows.join(F.broadcast(q), F.col(key) != F.col("query"))
+    n, width = q.agg(F.count(F.lit(1)), F.max(F.size("_q"))).first()
+    blocks = max(1, -(-n * (8 * max(width or 0, 0) + 64) // block_bytes))
     sim = F.try_divide(dot(F.col(v), F.col("_q")), norm(F.col(v)) * norm(F.col("_q")))
     w = Window.partitionBy("query").orderBy(F.desc("sim"), key)
-    return both.select("query", key, F.round(sim, 6).alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    out = None
+    for b in range(blocks):
+        some = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
+        both = rows.join(F.broadcast(some), F.col(key) != F.col("query"))
+        best = both.select("query", key, F.round(sim, 6).alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        out = best if out is None else out.unionByName(best)
+    return out
 
 
 def combined(tables: list[tuple[DataFrame, float]]) -> DataFrame:

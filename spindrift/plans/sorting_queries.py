@@ -72,12 +72,12 @@ def scattered_sums(spark, d):
 
 
 @query(f"""WITH {S}, g AS (SELECT label, t - lag(t) OVER (PARTITION BY label ORDER BY t, spike_id) AS gap FROM s), v AS (SELECT label, coalesce(avg(CASE WHEN gap < 1000000 THEN 1.0 WHEN gap IS NOT NULL THEN 0.0 END), 0.0) AS viol_rate FROM g GROUP BY label)
-SELECT label, count(*) AS n, round(any_value(viol_rate), 6) AS viol_rate, round(avg(amplitude), 6) AS amplitude, CASE WHEN max(t) > min(t) THEN round(count(*) / ((max(t) - min(t)) / 1e6), 6) END AS rate_hz FROM s JOIN v USING (label) GROUP BY label""")
+SELECT label, count(*) AS n, round(any_value(viol_rate), 6) AS viol_rate, round(avg(amplitude), 9) AS amplitude, CASE WHEN max(t) > min(t) THEN round(count(*) / ((max(t) - min(t)) / 1e6), 6) END AS rate_hz FROM s JOIN v USING (label) GROUP BY label""")
 def unit_summary(spark, d):
     s = event_spikes(spark, d)
     means = s.groupBy("label").agg(F.avg("amplitude").alias("amplitude"))
     got = sortings.summary(trains.unit_firing_rates(s), trains.violations(s, SECOND), means)
-    return got.select("label", "n", r6("viol_rate").alias("viol_rate"), r6("amplitude").alias("amplitude"), r6("rate_hz").alias("rate_hz"))
+    return got.select("label", "n", r6("viol_rate").alias("viol_rate"), F.round("amplitude", 9).alias("amplitude"), r6("rate_hz").alias("rate_hz"))
 
 
 @query("SELECT n_nationkey AS candidate, min(n_regionkey) AS label FROM nation JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")

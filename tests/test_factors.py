@@ -118,3 +118,21 @@ def test_cases(spark):
     same, seen = factors.fit(rows.where("false"), m)
     assert same is m and np.isnan(seen[0])
     assert factors.unit_distances(m, "cosine")[0, 2] == pytest.approx(2) and factors.unit_distances(m)[0, 0] == pytest.approx(0, abs=1e-6)
+
+
+def test_blocks_of_queries_agree(spark):
+    from spindrift.operators import distances
+
+    x = np.random.default_rng(7).normal(size=(60, 5))
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    one = distances.top_cosine(rows, rows.where("id % 5 = 0"), "id", 3)
+    many = distances.top_cosine(rows, rows.where("id % 5 = 0"), "id", 3, block_bytes=300)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, many.collect())) and one.count() == 36
+    assert distances.top_cosine(rows, rows.where("false"), "id", 3).count() == 0
+
+
+def test_mixture_of_nothing(spark):
+    from spindrift.operators import cluster
+
+    mu, _, _, elbo = cluster.mixture(spark.createDataFrame([], "v array<double>"), "v", 2, np.zeros((2, 2)))
+    assert elbo == [] and mu.shape == (2, 2)
