@@ -7,6 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..staging import drop, stage
 from .graph import connected_components
 from .joins import within
 
@@ -26,7 +27,10 @@ def inliers(points: DataFrame, axes: list[str], key: str, k: int = 10, radius: f
 def density_ratio(points: DataFrame, axes: list[str], key: str, sigma: float, regional: float | None, reach: float = 3.0) -> DataFrame:
     """Gaussian density at sigma over that at the regional sigma, both cut at reach regional sigmas."""
     radius = reach * (regional or sigma)
-    p = _self(points, axes, key, radius)
+    return _ratio(_self(points, axes, key, radius), key, sigma, regional)
+
+
+def _ratio(p: DataFrame, key: str, sigma: float, regional: float | None) -> DataFrame:
     g = lambda s: F.sum(F.exp(-F.col("d") * F.col("d") / (2 * s * s)))
     density = g(sigma) / g(regional) if regional else g(sigma)
     return p.groupBy(F.col("a").alias(key)).agg(density.alias("density"))
@@ -34,8 +38,12 @@ def density_ratio(points: DataFrame, axes: list[str], key: str, sigma: float, re
 
 def higher_neighbour(points: DataFrame, density: DataFrame, axes: list[str], key: str, k: int = 20, radius: float = 5.0) -> DataFrame:
     """nhdn: among the k nearest within radius the nearest of strictly higher density, null where there is none."""
+    return _higher(_self(points, axes, key, radius), points, density, key, k)
+
+
+def _higher(pairs: DataFrame, points: DataFrame, density: DataFrame, key: str, k: int) -> DataFrame:
     w = Window.partitionBy("a").orderBy("d", "b")
-    near = _self(points, axes, key, radius).where("a <> b").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near = pairs.where("a <> b").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
     da, db = density.select(F.col(key).alias("a"), F.col("density").alias("da")), density.select(F.col(key).alias("b"), F.col("density").alias("db"))
     best = near.join(da, "a").join(db, "b").where("db > da").groupBy("a").agg(F.min(F.struct("d", "b")).alias("m"))
     return points.select(key).join(best.select(F.col("a").alias(key), F.col("m.b").alias("nhdn")), key, "left")
@@ -43,9 +51,14 @@ def higher_neighbour(points: DataFrame, density: DataFrame, axes: list[str], key
 
 def density_peaks(points: DataFrame, axes: list[str], key: str, sigma: float, regional: float | None = None, k: int = 20, radius: float = 5.0, min_size: int = 1) -> DataFrame:
     """label: the least key of the tree of higher-density neighbours, -1 in trees below min_size."""
-    d = density_ratio(points, axes, key, sigma, regional)
-    edges = higher_neighbour(points, d, axes, key, k, radius).where("nhdn is not null").select(F.col(key).alias("a"), F.col("nhdn").alias("b"))
+    wide = 3.0 * (regional or sigma)
+    # pairs are made once, for the densities and for the neighbours
+    pairs, path = stage(_self(points, axes, key, max(wide, radius)), "pairs")
+    d, found_at = stage(_ratio(pairs.where(F.col("d") <= wide), key, sigma, regional), "densities")
+    edges = _higher(pairs.where(F.col("d") <= radius), points, d, key, k).where("nhdn is not null").select(F.col(key).alias("a"), F.col("nhdn").alias("b"))
     found = connected_components(points.select(F.col(key).alias("node")), edges)
+    # the components' own links are staged by now
+    drop(points.sparkSession, path, found_at)
     sizes = found.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     return found.join(sizes, "component").select(F.col("node").alias(key), F.when(F.col("n") >= min_size, F.col("component")).otherwise(F.lit(-1)).alias("label"))
 
