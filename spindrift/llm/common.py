@@ -65,3 +65,10 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | Non
                 yield out
 
     return df.mapInArrow(over, schema)
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned crc32 of a text's UTF-8 bytes, which has no function there."""
+    byte = f"list_transform(range(0, strlen({text})), lambda j: CAST('0x' || substr(hex(encode({text})), CAST(2 * j + 1 AS BIGINT), 2) AS BIGINT))"
+    shifted = "list_reduce(list_concat([xor(c, b)], range(0, 8)), lambda y, j: xor(y >> 1, 3988292384 * (y & 1)))"
+    return f"xor(list_reduce(list_concat([4294967295], {byte}), lambda c, b: {shifted}), 4294967295)"

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, fingerprints, language_id, mixing, near_dedup, packing, quality, secrets_scan, token_counts, toxicity
+from . import bpe, exact_dedup, fingerprints, language_id, merkle, mixing, near_dedup, packing, quality, resampling, secrets_scan, token_counts, toxicity
 
 QUERIES = {
     "op1_mixing": mixing.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_token_counts": token_counts.op8,
     "op9_packing": packing.op9,
     "op10_quality": quality.op10,
+    "op11_merkle_manifest": merkle.op11,
+    "op12_resampling": resampling.op12,
+    "op13_bpe": bpe.op13,
 }
 
-ORACLE_SQL = {"op1_mixing": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL}
+ORACLE_SQL = {"op1_mixing": mixing.SQL, "op4_exact_dedup": exact_dedup.SQL, "op11_merkle_manifest": merkle.SQL, "op12_resampling": resampling.SQL}
