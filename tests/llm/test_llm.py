@@ -49,6 +49,8 @@ def sf(spark, tmp_path_factory):
         df.write.parquet(f"{d}/documents.parquet")
         labels = [(i, None if i == 4 else i % 2, i % 2, 1) for i in range(50)] if kind == "odd" else []
         spark.createDataFrame(labels, "doc_id long, quality int, toxic int, text int").write.parquet(f"{d}/labels.parquet")
+        target = [(0, rows[3][1] + " ÉTÉ Zebra", 1), (1, None, 2), (2, "", 3)] if kind == "odd" else []
+        spark.createDataFrame(target, "item_id long, text string, score int").write.parquet(f"{d}/benchmark.parquet")
         out[kind] = d
     return out
 
@@ -75,7 +77,8 @@ def test_a_row_for_each_row(spark, sf, docs, name):
 def test_against_sql(spark, sf, name, kind):
     d = sf["odd"] if kind == "odd" else "/root/testdata/sf0.001"
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from '{d}/documents.parquet{'/*.parquet' if kind == 'odd' else ''}'")
+    for table in ("documents", "benchmark"):
+        con.execute(f"create view {table} as select * from '{d}/{table}.parquet{'/*.parquet' if kind == 'odd' else ''}'")
     want, got = con.execute(queries.ORACLE_SQL[name]).df(), queries.QUERIES[name](spark, d).toPandas()
     form = lambda df: sorted(repr(tuple(None if pd.isna(x) else round(float(x), 9) if not isinstance(x, str) else x for x in r)) for r in df[sorted(df.columns)].itertuples(index=False))
     assert sorted(want.columns) == sorted(got.columns) and form(want) == form(got)
@@ -155,6 +158,7 @@ def test_very_long_texts(spark, tmp_path, name):
     rows = [(i, t, "en", "s", 0) for i, t in enumerate(BIG)] + [(20 + i, f"a plain text number {i} of some words", "xx", "s", 0) for i in range(8)]
     spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(i, i % 2, i % 2) for i in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([(0, "plain words of some text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     got = queries.QUERIES[name](spark, str(tmp_path)).select("doc_id").distinct().collect()
     assert {r.doc_id for r in got} == {r[0] for r in rows}
 
