@@ -61,26 +61,27 @@ def united(first: DataFrame, second: DataFrame, unit: str = "unit") -> DataFrame
     return first.unionByName(second.join(F.broadcast(shift)).withColumn(unit, F.col(unit) + F.col("_o")).drop("_o"))
 
 
-def _pairs(templates: DataFrame, weights: DataFrame) -> DataFrame:
-    """Pairs of units sample by sample, with the lesser of both channels' weights (unit, channel, w)."""
-    t = templates.join(weights, ["unit", "channel"])
-    a = t.select(F.col("unit").alias("i"), "channel", "sample", F.col("v").alias("a"), F.col("w").alias("wa"))
-    b = t.select(F.col("unit").alias("j"), "channel", "sample", F.col("v").alias("b"), F.col("w").alias("wb"))
-    return a.join(b, ["channel", "sample"]).where("i < j").withColumn("w", F.least("wa", "wb"))
-
-
-def weighted_distance(templates: DataFrame, weights: DataFrame, least_iou: float = 0.0, kind: str = "normeuc") -> DataFrame:
-    """(i, j, d): between units, weighted by the lesser of their channels' weights. normeuc: root mean square of the difference over the geometric mean of the root mean squares; normsup: greatest
-    weighted difference over the lesser of the greatest weighted values. Pairs whose channels overlap too little (sum of lesser over greater weights) are left out, that is infinitely far."""
-    far = _pairs(templates, weights)
-    w, gap = F.col("w"), F.col("a") - F.col("b")
+def weighted_distance(templates: DataFrame, weights: DataFrame, least_iou: float = 0.75, kind: str = "normeuc") -> DataFrame:
+    """(i, j, d): between units, by channel weights (unit, channel, w), each unit's divided by its greatest; a pair's are the lesser of both.
+
+    normeuc: root mean square of the difference over the geometric mean of the root mean squares; normsup: greatest weighted difference over the lesser of the greatest weighted values. Pairs whose channels overlap
+    too little (sum of lesser over sum of greater weights, a channel that only one unit has counting for it) are left out, that is infinitely far.
+    """
+    top = weights.groupBy("unit").agg(F.max("w").alias("_top"))
+    scaled = weights.join(top, "unit").select("unit", "channel", (F.col("w") / F.col("_top")).alias("w"))
+    sums = scaled.groupBy("unit").agg(F.sum("w").alias("s"))
+    side = lambda df, i, *cols: df.select(F.col("unit").alias(i), *(F.col(c).alias(f"{c}{i}") if c in "wsv" else F.col(c) for c in cols))
+    common = side(scaled, "i", "channel", "w").join(side(scaled, "j", "channel", "w"), "channel").where("i < j").groupBy("i", "j").agg(F.sum(F.least("wi", "wj")).alias("_both"))
+    any_ = F.col("si") + F.col("sj") - F.col("_both")
+    near = common.join(side(sums, "i", "s"), "i").join(side(sums, "j", "s"), "j").where(F.col("_both") >= least_iou * any_).select("i", "j")
+    t = templates.join(scaled, ["unit", "channel"])
+    both = side(t, "i", "channel", "sample", "v", "w").join(near, "i").join(side(t, "j", "channel", "sample", "v", "w"), ["j", "channel", "sample"])
+    w, a, b = F.least("wi", "wj"), F.col("vi"), F.col("vj")
     if kind == "normeuc":
-        total = F.sum("w")
-        d = F.sqrt(F.sum(w * gap * gap) / total) / F.sqrt(F.sqrt(F.sum(w * F.col("a") ** 2) / total) * F.sqrt(F.sum(w * F.col("b") ** 2) / total))
+        d = F.sqrt(F.sum(w * (a - b) ** 2)) / F.pow(F.sum(w * a * a) * F.sum(w * b * b), F.lit(0.25))
     else:
-        d = F.max(w * F.abs(gap)) / F.least(F.max(w * F.abs("a")), F.max(w * F.abs("b")))
-    by = far.groupBy("i", "j").agg(d.alias("d"), F.sum(F.least("wa", "wb")).alias("_both"), F.sum(F.greatest("wa", "wb")).alias("_any"))
-    return by.where(F.col("_both") >= least_iou * F.col("_any")).select("i", "j", "d")
+        d = F.max(w * F.abs(a - b)) / F.least(F.max(w * F.abs(a)), F.max(w * F.abs(b)))
+    return both.groupBy("i", "j").agg(d.alias("d"))
 
 
 def mean_median_difference(mean: DataFrame, median: DataFrame) -> DataFrame:

@@ -8,23 +8,33 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..session import ship
 from . import cluster, density, joins
+from .sums import summed
 
 
 def seeds(rows: DataFrame, v: str, k: int, seed: int = 0, key: str = "spike_id", least: float = 0.0) -> np.ndarray:
     """k-means++: each next centre is drawn with a probability in proportion to the squared distance from those before, by the greatest of weighted keys that follow from a row's id and the seed;
     one row a round reaches the driver. It ends early where all rows are within `least` of a centre."""
+    ship(rows.sparkSession)
     x = rows.select(key, F.col(v).cast("array<double>").alias("_v"))
     unit = lambda n: (F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(n)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
-    first = x.orderBy(unit(0), key).limit(1).collect()
-    centres = [np.array(r["_v"]) for r in first]
+    centres = [np.array(r["_v"]) for r in x.orderBy(unit(0), key).limit(1).collect()]
     while centres and len(centres) < k:
-        every = [square_to(c) for c in centres]
-        d2 = F.least(*every) if len(every) > 1 else every[0]
+
+        def reach(batches, now=np.stack(centres)):
+            for pdf in batches:
+                if len(pdf):
+                    v = np.stack(pdf["_v"].to_numpy()).astype(float)
+                    d2 = np.full(len(v), np.inf)
+                    for c in now:
+                        d2 = np.minimum(d2, ((v - c) ** 2).sum(1))
+                    yield pdf.assign(_d=d2)
+
         # of exponential variables with these rates the least is a draw in proportion to them
-        far = x.withColumn("_d", d2).where(F.col("_d") > max(least, 0.0) ** 2)
+        far = x.mapInPandas(reach, StructType([*x.schema.fields, StructField("_d", DoubleType())])).where(F.col("_d") > max(least, 0.0) ** 2)
         got = far.orderBy(-F.log(unit(len(centres))) / F.col("_d"), key).limit(1).collect()
         if not got:
             break
@@ -32,14 +42,8 @@ def seeds(rows: DataFrame, v: str, k: int, seed: int = 0, key: str = "spike_id",
     return np.stack(centres) if centres else np.zeros((0, 0))
 
 
-def square_to(centre: np.ndarray):
-    from ..functions.arrays import square
-
-    return square(F.zip_with("_v", F.array(*(F.lit(float(c)) for c in centre)), lambda a, b: a - b))
-
-
 def lloyd(rows: DataFrame, v: str, centres: np.ndarray, steps: int = 20, tol: float = 1e-6) -> tuple[np.ndarray, float]:
-    """k-means from given centres: (centres, mean squared distance). One action a step; a task gives one row of sums and counts. An empty cluster keeps its centre."""
+    """k-means from given centres: (centres, mean squared distance). One action a step, sums and counts are added up in the executors. An empty cluster keeps its centre."""
     ship(rows.sparkSession)
     k, dims = centres.shape
     last = np.inf
@@ -56,10 +60,12 @@ def lloyd(rows: DataFrame, v: str, centres: np.ndarray, steps: int = 20, tol: fl
                     n += np.bincount(at, minlength=k)
                     np.add.at(s, at, x)
                     e += float(d2[np.arange(len(x)), at].sum())
-            yield pd.DataFrame({"n": [n.tolist()], "s": [s.ravel().tolist()], "e": [e]})
+            return np.concatenate([n, s.ravel(), [e]])
 
-        got = rows.select(v).mapInPandas(part, "n array<double>, s array<double>, e double").toPandas()
-        n, s, e = np.sum(np.stack(got["n"]), 0), np.sum(np.stack(got["s"]), 0).reshape(k, dims), float(got["e"].sum())
+        flat = summed(rows.select(v), part)
+        if not len(flat):
+            break
+        n, s, e = flat[:k], flat[k:-1].reshape(k, dims), float(flat[-1])
         centres = np.where(n[:, None] > 0, s / np.maximum(n, 1)[:, None], centres)
         mean = e / max(n.sum(), 1)
         if last - mean <= tol * max(mean, 1e-30):
@@ -100,14 +106,15 @@ def truncated_mixture(rows: DataFrame, v: str, centres: np.ndarray, near: int =
                 r /= total
                 n, s, q = n + r.sum(0), s + r.T @ x, q + float((r * d2).sum())
                 ll, m = ll + float((top + np.log(total)).sum()), m + len(x)
-            yield pd.DataFrame({"n": [n.tolist()], "s": [s.ravel().tolist()], "q": [q], "ll": [ll], "m": [m]})
+            return np.concatenate([n, s.ravel(), [q, ll, m]])
 
-        got = rows.select(v).mapInPandas(part, "n array<double>, s array<double>, q double, ll double, m long").toPandas()
-        n, s = np.sum(np.stack(got["n"]), 0), np.sum(np.stack(got["s"]), 0).reshape(k, dims)
-        m, ll = max(int(got["m"].sum()), 1), float(got["ll"].sum())
+        flat = summed(rows.select(v), part)
+        if not len(flat):
+            break
+        n, s, q, ll, m = flat[:k], flat[k:-3].reshape(k, dims), flat[-3], flat[-2], max(flat[-1], 1.0)
         new = np.where(n[:, None] > 1e-9, s / np.maximum(n, 1e-9)[:, None], mu)
         # squares about the old means, less what the means moved
-        var = max((float(got["q"].sum()) - float((n * ((new - mu) ** 2).sum(1)).sum())) / (dims * m), 1e-12)
+        var = max((q - float((n * ((new - mu) ** 2).sum(1)).sum())) / (dims * m), 1e-12)
         mu, pi = new, n / m
         if ll / m - last <= tol:
             break

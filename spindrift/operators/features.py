@@ -6,16 +6,16 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, signed_log1p
 from ..session import ship
+from .sums import summed
 
 
 def moments(rows: DataFrame, v: str = "v") -> tuple[int, np.ndarray, np.ndarray]:
-    """Rows, mean and covariance of arrays: each task adds up its own sums and products, and one row a task comes back. Rows with a null or a value that isn't finite are left out."""
+    """Rows, mean and covariance of arrays: sums and products are added up in the executors. Rows with a null or a value that isn't finite are left out."""
     ship(rows.sparkSession)
 
     def part(batches):
@@ -27,16 +27,15 @@ def moments(rows: DataFrame, v: str = "v") -> tuple[int, np.ndarray, np.ndarray]
             x = x[np.isfinite(x).all(1)]
             s, q = (x.sum(0), x.T @ x) if s is None else (s + x.sum(0), q + x.T @ x)
             n += len(x)
-        if n:
-            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "q": [q.ravel().tolist()]})
+        return np.concatenate([s, q.ravel(), [n]]) if n else None
 
-    got = rows.where(F.col(v).isNotNull()).select(F.col(v).cast("array<double>").alias(v)).mapInPandas(part, "n long, s array<double>, q array<double>").toPandas().sort_values("n")
-    if not len(got):
+    flat = summed(rows.where(F.col(v).isNotNull()).select(F.col(v).cast("array<double>").alias(v)), part)
+    if not len(flat):
         return 0, np.zeros(0), np.zeros((0, 0))
-    n = int(got["n"].sum())
-    mean = np.sum(np.stack(got["s"].to_numpy()), axis=0) / n
-    k = len(mean)
-    return n, mean, np.sum(np.stack(got["q"].to_numpy()), axis=0).reshape(k, k) / n - np.outer(mean, mean)
+    n, k = int(flat[-1]), int((np.sqrt(4 * len(flat) - 3) - 1) / 2)
+    mean = flat[:k] / n
+    return n, mean, flat[k:-1].reshape(k, k) / n - np.outer(mean, mean)
+
 
 
 @dataclass

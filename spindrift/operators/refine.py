@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..session import ship
 from .cluster import mixture
@@ -33,6 +34,23 @@ class Model:
         return np.concatenate([own, np.full((len(x), 1), np.log(max(self.proportions[-1], 1e-300) * self.noise))], 1)
 
 
+def assigned(rows: DataFrame, v: str, m: Model, *keep: str) -> DataFrame:
+    """The columns `keep`, label (the likeliest of a model's components, -1 for the noise) and r, its responsibility: proportions, variance and noise included; of equal ones the first."""
+    ship(rows.sparkSession)
+    kept = rows.select(*keep, F.col(v).cast("array<double>").alias("_v"))
+
+    def over(batches):
+        for pdf in batches:
+            if len(pdf):
+                ll = m.log_likelihoods(np.stack(pdf["_v"].to_numpy()).astype(float))
+                at = ll.argmax(1)
+                top = ll[np.arange(len(ll)), at]
+                r = 1 / np.exp(ll - top[:, None]).sum(1)
+                yield pdf[list(keep)].assign(label=np.where(at == ll.shape[1] - 1, -1, at), r=r)
+
+    return kept.mapInPandas(over, StructType([*rows.select(*keep).schema.fields, StructField("label", LongType()), StructField("r", DoubleType())]))
+
+
 def merged(m: Model, group: list[int]) -> Model:
     """The units of group as one, of their total proportion and mean; it takes the place of the first."""
     w = m.proportions[group]

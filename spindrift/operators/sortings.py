@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -75,10 +76,10 @@ def keep_units(spikes: DataFrame, units: DataFrame, label: str = "label", to: st
 
 
 def perturb(spikes: DataFrame, neighbours: DataFrame, thinning: float = 0.0, jitter: int = 0, seed: int = 0, key: str = "spike_id") -> DataFrame:
-    """Each spike is lost with a probability, all are moved in time by `jitter`, and each goes to a channel drawn among its channel's neighbours (channel, slot, neighbor). Draws follow from the id and the seed."""
+    """Each spike is lost with a probability, all are moved in time by one number drawn from -jitter to jitter, and each goes to a channel drawn among its channel's neighbours (channel, slot, neighbor). Draws follow from the id and the seed."""
     unit = lambda what: F.pmod(F.xxhash64(F.col(key), F.lit(seed), F.lit(what)), F.lit(1 << 30)) / float(1 << 30)
     sizes = neighbours.groupBy("channel").agg(F.count(F.lit(1)).alias("_n"))
-    kept = spikes.where(unit("thin") >= thinning).withColumn("t", F.col("t") + jitter).join(F.broadcast(sizes), "channel")
+    kept = spikes.where(unit("thin") >= thinning).withColumn("t", F.col("t") + random.Random(seed).randint(-jitter, jitter)).join(F.broadcast(sizes), "channel")
     drawn = kept.withColumn("slot", F.floor(unit("move") * F.col("_n")).cast("int")).drop("_n")
     return drawn.join(F.broadcast(neighbours.withColumn("slot", F.col("slot").cast("int"))), ["channel", "slot"]).drop("slot", "channel").withColumnRenamed("neighbor", "channel")
 

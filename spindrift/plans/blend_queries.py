@@ -78,18 +78,26 @@ def landed_channels(spark, d):
     return channels.shifted_channels(rows, ch, reg, 20.0).select("vec_id", F.col("reg_channel").cast("long").alias("reg_channel"))
 
 
-@query(f"""WITH {T}, w AS (SELECT unit, channel, least(snr, 2.0) / 2.0 AS w FROM snr), t AS (SELECT raw.*, w FROM raw JOIN w USING (unit, channel)), p AS (SELECT a.unit AS i, b.unit AS j, a.v AS a, b.v AS b, least(a.w, b.w) AS w FROM t a JOIN t b ON a.channel = b.channel AND a.s = b.s AND a.unit < b.unit)
-SELECT i, j, round(sqrt(sum(w * (a - b) * (a - b)) / sum(w)) / sqrt(sqrt(sum(w * a * a) / sum(w)) * sqrt(sum(w * b * b) / sum(w))), 6) AS d FROM p GROUP BY 1, 2""")
+#: Weights over each unit's greatest, overlaps over all channels that either unit has, and the values of the pairs that overlap enough.
+W = T + """, w AS (SELECT unit, channel, least(snr, 2.0) / max(least(snr, 2.0)) OVER (PARTITION BY unit) AS w FROM snr), u AS (SELECT DISTINCT unit FROM w), c AS (SELECT DISTINCT channel FROM w),
+full_w AS (SELECT u.unit, c.channel, coalesce(w, 0) AS w FROM u CROSS JOIN c LEFT JOIN w ON w.unit = u.unit AND w.channel = c.channel),
+o AS (SELECT a.unit AS i, b.unit AS j FROM full_w a JOIN full_w b ON a.channel = b.channel AND a.unit < b.unit GROUP BY 1, 2 HAVING sum(least(a.w, b.w)) / sum(greatest(a.w, b.w)) >= 0.75),
+p AS (SELECT o.i, o.j, a.v AS a, b.v AS b, least(wa.w, wb.w) AS w FROM o JOIN raw a ON a.unit = o.i JOIN raw b ON b.unit = o.j AND a.channel = b.channel AND a.s = b.s
+JOIN w wa ON wa.unit = o.i AND wa.channel = a.channel JOIN w wb ON wb.unit = o.j AND wb.channel = a.channel)"""
+
+
+def weights(spark, d):
+    return ratios(spark, d).select("unit", "channel", F.least("snr", F.lit(2.0)).alias("w"))
+
+
+@query(f"WITH {W} SELECT i, j, round(sqrt(avg(w * (a - b) * (a - b)) / sqrt(avg(w * a * a)) / sqrt(avg(w * b * b))), 6) AS d FROM p GROUP BY 1, 2")
 def weighted_normeuc(spark, d):
-    w = ratios(spark, d).select("unit", "channel", (F.least("snr", F.lit(2.0)) / 2.0).alias("w"))
-    return blend.weighted_distance(raw(spark, d), w).select("i", "j", r6("d").alias("d"))
+    return blend.weighted_distance(raw(spark, d), weights(spark, d)).select("i", "j", r6("d").alias("d"))
 
 
-@query(f"""WITH {T}, w AS (SELECT unit, channel, least(snr, 2.0) / 2.0 AS w FROM snr), t AS (SELECT raw.*, w FROM raw JOIN w USING (unit, channel)), p AS (SELECT a.unit AS i, b.unit AS j, a.v AS a, b.v AS b, a.w AS wa, b.w AS wb, least(a.w, b.w) AS w FROM t a JOIN t b ON a.channel = b.channel AND a.s = b.s AND a.unit < b.unit)
-SELECT i, j, round(max(w * abs(a - b)) / least(max(w * abs(a)), max(w * abs(b))), 6) AS d FROM p GROUP BY 1, 2 HAVING sum(least(wa, wb)) >= 0.5 * sum(greatest(wa, wb))""")
+@query(f"WITH {W} SELECT i, j, round(max(w * abs(a - b)) / least(max(w * abs(a)), max(w * abs(b))), 6) AS d FROM p GROUP BY 1, 2")
 def weighted_normsup(spark, d):
-    w = ratios(spark, d).select("unit", "channel", (F.least("snr", F.lit(2.0)) / 2.0).alias("w"))
-    return blend.weighted_distance(raw(spark, d), w, 0.5, "normsup").select("i", "j", r6("d").alias("d"))
+    return blend.weighted_distance(raw(spark, d), weights(spark, d), kind="normsup").select("i", "j", r6("d").alias("d"))
 
 
 @query(f"WITH {T} SELECT unit, round(sqrt(sum((raw.v - low.v) * (raw.v - low.v))) / sqrt(sum(raw.v * raw.v)), 6) AS d FROM raw JOIN low USING (unit, channel, s) GROUP BY unit")

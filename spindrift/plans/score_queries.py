@@ -115,8 +115,7 @@ def refined_mixture(spark, d):
     means = np.stack(u["v"].to_numpy())
     start = refine.Model(np.stack([means[i::5].mean(0) for i in range(5)]), np.full(6, 1 / 6), 0.01, 1e-30)
     m = refine.refine(rows.where("vec_id % 2 = 0"), rows.where("vec_id % 2 = 1"), "v", start, 0.3, 2, 1.0, 5)
-    fitted = spark.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(m.means)], "label int, v array<double>")
-    return distances.nearest_centroid(rows, fitted, "vec_id").select("vec_id", "centroid", r6(F.col("d")).alias("d"))
+    return refine.assigned(rows, "v", m, "vec_id").withColumn("r", r6(F.col("r")))
 
 
 @query(f"WITH {S}, n AS (SELECT label, count(*) AS n FROM s GROUP BY label), o AS (SELECT label, CAST(row_number() OVER (ORDER BY n DESC, label) - 1 AS INT) // 4 AS merged FROM n) SELECT spike_id, t + merged AS t, merged FROM s JOIN o USING (label)")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import cluster, compare, distances, soft, templates
+from ..operators import cluster, compare, distances, refine, soft, templates
 from ..session import ship
 from ..sources.tables import table
 
@@ -222,10 +222,10 @@ def kmeans_labels(spark, d):
 
 @query()
 def mixture_labels(spark, d):
+    """The component of a fitted mixture that each row belongs to, and its responsibility."""
     import numpy as np
 
     ship(spark)
     u = units(spark, d).orderBy("label").toPandas()
     mu, pi, var, elbo = cluster.mixture(emb(spark, d), "v", 64, np.stack(u["v"].to_numpy()), noise=1e-30, steps=5)
-    fitted = spark.createDataFrame([(i, [float(x) for x in m]) for i, m in enumerate(mu)], "label int, v array<double>")
-    return distances.nearest_centroid(emb(spark, d), fitted, "vec_id").select("vec_id", "centroid", r6(F.col("d")).alias("d"))
+    return refine.assigned(emb(spark, d), "v", refine.Model(mu, pi, var, 1e-30), "vec_id").withColumn("r", r6(F.col("r")))

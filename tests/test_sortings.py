@@ -45,8 +45,10 @@ def test_perturbed(spark, probe):
     s = spark.createDataFrame([(i, i, i % 16) for i in range(4000)], "spike_id long, t long, channel int")
     got = sortings.perturb(s, near, 0.25, 3, seed=1).collect()
     allowed = {(r.channel, r.neighbor) for r in near.collect()}
-    assert abs(len(got) / 4000 - 0.75) < 0.03 and all(r.t == r.spike_id + 3 and (r.spike_id % 16, r.channel) in allowed for r in got)
+    assert abs(len(got) / 4000 - 0.75) < 0.03 and len({r.t - r.spike_id for r in got}) == 1 and all(abs(r.t - r.spike_id) <= 3 and (r.spike_id % 16, r.channel) in allowed for r in got)
     assert len({(r.spike_id % 16, r.channel) for r in got}) == len(allowed)
+    moves = {sortings.perturb(s.limit(1), near, 0.0, 3, seed=i).first().t for i in range(12)}
+    assert min(moves) < 0 < max(moves)
 
 
 def test_scores(spark):
