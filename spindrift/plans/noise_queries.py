@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import matching, motion, noise, sampling, simulate, templates
+from ..operators import drift, matching, motion, noise, sampling, simulate, templates
 from ..sources.tables import event_spikes, table
 
 QUERIES: dict = {}
@@ -123,6 +123,14 @@ def field_correct(spark, d):
     return motion.correct_field(rel, field, "t", "amplitude", DAY, 50.0).select("spike_id", F.round("z_reg", 5).alias("z_reg"))
 
 
+@query()
+def nonrigid_motion(spark, d):
+    """A field of displacements from all events: depth is the value, a bin six hours, windows of 100; tests hold the solver against one dense system."""
+    s = event_spikes(spark, d)
+    rel = s.join(F.broadcast(s.agg(F.min("t").alias("_t0")))).select((F.col("t") - F.col("_t0")).alias("t"), "amplitude")
+    return drift.estimate(rel, "t", "amplitude", DAY / 4, 5.0, 100.0, band=8, most=40.0, chunk=48).withColumn("disp", F.round("disp", 6))
+
+
 @query(f"""WITH {S} SELECT spike_id, round((0.25 - abs(((t / 1e6 / 48 + 0.25) - floor(t / 1e6 / 48 + 0.25)) - 0.5)) * 96, 4) AS disp FROM s""")
 def drift_wave(spark, d):
     return event_spikes(spark, d).select("spike_id", F.round(simulate.drift(F.col("t") / 1e6, 2.0, 0.0, 48.0), 4).alias("disp"))
