@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import drift, matching, motion, noise, sampling, simulate, templates
+from ..operators import drift, matching, motion, noise, sampling, simulate, subtract, templates
 from ..sources.tables import event_spikes, table
 
 QUERIES: dict = {}
@@ -163,3 +163,14 @@ def match_embeddings(spark, d):
     """All snippets as one recording, searched for the labels' mean templates; the threshold is half their median norm."""
     shapes, units = mean_templates(spark, d)
     return matching.match(samples(spark, d), shapes, units, float(np.median(np.sqrt((shapes**2).sum((1, 2))))) / 2, 8, 8000)
+
+
+@query()
+def shaved_embeddings(spark, d):
+    """All snippets as one recording, subtracted with a basis that is fitted to it: for each of its chunks the square of the samples before and after, and what the spikes' own decreases come to."""
+    x = samples(spark, d)
+    every = x.select("channel").distinct()
+    index = every.join(every.withColumnRenamed("channel", "neighbor"), F.abs(F.col("channel") - F.col("neighbor")) <= 1)
+    s = subtract.Settings(before=5, length=16, threshold=0.3, decrease=0.35, peak_radius=3, dedup_radius=4)
+    denoise, _ = subtract.fit(x, index, 4, s, 1600, enough=2000, most=2)
+    return subtract.balance(x, index, denoise, s, 1600)
