@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..staging import drop, stage
+from ..staging import drop as drop_staged
 from .graph import connected_components
 from .joins import within
 
@@ -63,6 +64,56 @@ def density_peaks(points: DataFrame, axes: list[str], key: str, sigma: float, re
     return found.join(sizes, "component").select(F.col("node").alias(key), F.when(F.col("n") >= min_size, F.col("component")).otherwise(F.lit(-1)).alias("label"))
 
 
+def triaged(points: DataFrame, channels: DataFrame, axes: list[str], places: list[str], amplitude: str, key: str, below: float, radius: float = 75.0, seed: int = 0) -> DataFrame:
+    """points less those of an amplitude below `below` that a draw, which follows from key and seed, drops: with the probability of their distance to the nearest channel over radius, at most 1. Channels (columns `places`) are a small table."""
+    sites = channels.agg(F.collect_list(F.struct(*places)).alias("_sites"))
+    d = F.array_min(F.transform("_sites", lambda s: F.sqrt(sum(((F.col(a) - s[p]) ** 2 for a, p in zip(axes, places)), F.lit(0.0)))))
+    drawn = (F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1 << 30)) + 0.5) / float(1 << 30)
+    return points.join(F.broadcast(sites)).where((F.col(amplitude) >= below) | F.col(amplitude).isNull() | (drawn >= F.least(d / radius, F.lit(1.0)))).drop("_sites")
+
+
+def binned_peaks(
+    points: DataFrame, axes: list[str], key: str, step: float, sigma: float, regional: float | None = None, low: tuple[float, float | None] | None = None, amplitude: str | None = None, ramp: tuple[float, float] = (6.0, 12.0), radius: float = 5.0,
+    least: float = 0.0, min_size: int = 1, drop: float = 0.0, spared: float = float("inf"),
+) -> DataFrame:  # noqa: E501
+    """(key, label, density): density peaks over occupied bins of width `step`, for probes so dense with channels that crowded places hold very many points. No pairs of points are made at any scale, only pairs of bins within radius.
+
+    A bin's density is its Gaussian density at sigma, over that at the regional scale if there is one. With `low`, scales for small amplitudes, a bin's two densities are mixed by its mean amplitude, from those of `low` at ramp's first to the others at
+    its second value. Each bin goes to the nearest bin within radius of higher density (of equal distances the first in order), a tree of bins is a cluster, and points follow their bin. Label: the cluster's least key; -1 where the density is below `least`,
+    in clusters of fewer than min_size points, and, with `drop`, for the points of each cluster whose density is in its lowest share `drop` (an approximate quantile) unless their amplitude is at least `spared`.
+    """
+    bins = [f"_b{i}" for i in range(len(axes))]
+    own = points.select(F.col(key), *axes, *([amplitude] if amplitude else []), *(F.floor(F.col(c) / step).cast("long").alias(b) for c, b in zip(axes, bins)))
+
+    def at(s: float, wide: float | None, name: str) -> DataFrame:
+        found = binned_density_ratio(points, axes, step, s, wide) if wide else binned_density(points, axes, step, s)
+        return found.select(*(F.col(c).alias(b) for c, b in zip(axes, bins)), F.col("density").alias(name))
+
+    size = F.avg(F.col(amplitude).cast("double")) if amplitude else F.lit(0.0)
+    cells = own.groupBy(*bins).agg(F.count(F.lit(1)).alias("_n"), size.alias("_amp"), F.min(key).alias("_key")).join(at(sigma, regional, "density"), bins)
+    if low:
+        share = F.least(F.greatest((F.coalesce("_amp", F.lit(ramp[1])) - ramp[0]) / (ramp[1] - ramp[0]), F.lit(0.0)), F.lit(1.0))
+        cells = cells.join(at(*low, "_low"), bins).withColumn("density", share * F.col("density") + (1 - share) * F.col("_low")).drop("_low")
+    # rounded, so that bins alike but for the order of sums are equal; of equal densities the bin with the lesser key counts as higher
+    cells, path = stage(cells.withColumn("density", F.round("density", 9)), "bins")
+    mid = [f"_m{i}" for i in range(len(axes))]
+    side = lambda s: cells.where(F.col("density") >= least).select(F.col("_key").alias(s), F.struct("density", (-F.col("_key")).alias("k")).alias(f"d{s}"), *(((F.col(b) + 0.5) * step).alias(f"{m}{s}") for b, m in zip(bins, mid)))
+    near = within(side("a"), side("b"), [f"{m}a" for m in mid], [f"{m}b" for m in mid], radius).where(F.col("db") > F.col("da"))
+    up = near.groupBy("a").agg(F.min(F.struct(F.round("d", 9).alias("d"), "b")).alias("m")).select("a", F.col("m.b").alias("b"))
+    trees = connected_components(cells.where(F.col("density") >= least).select(F.col("_key").alias("node")), up)
+    named = cells.join(trees, F.col("_key") == F.col("node"), "left").select(*bins, "density", "component", "_n")
+    large = named.where("component is not null").groupBy("component").agg(F.sum("_n").alias("_n")).where(F.col("_n") >= min_size).select("component")
+    named = named.join(large.withColumn("_in", F.lit(True)), "component", "left").select(*bins, "density", F.when(F.col("_in"), F.col("component")).otherwise(F.lit(-1)).cast("long").alias("label"))
+    named, _ = stage(named, "named")
+    drop_staged(points.sparkSession, path)
+    found = own.join(named, bins).drop(*bins)
+    if drop > 0:
+        edge = found.where("label >= 0").groupBy("label").agg(F.percentile_approx("density", drop, 10_000).alias("_edge"))
+        poor = (F.col("density") < F.col("_edge")) & (F.coalesce(F.col(amplitude), F.lit(0.0)) < spared if amplitude else F.lit(True))
+        found = found.join(edge, "label", "left").withColumn("label", F.when(poor, F.lit(-1).cast("long")).otherwise(F.col("label")))
+    return found.select(key, "label", "density")
+
+
 def assign_nearest(labelled: DataFrame, others: DataFrame, axes: list[str], key: str, radius: float) -> DataFrame:
     """The label of the nearest labelled point within radius, else -1."""
     a = others.select(F.col(key).alias("a"), *(F.col(c).alias(f"{c}_a") for c in axes))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -71,11 +72,45 @@ class EmbeddedNoise:
         gap = (x - self.mean[:, seen]).reshape(len(x), -1)
         return (gap @ np.linalg.solve(both[np.ix_(a, a)], both[np.ix_(a, b)])).reshape(len(x), rank, len(missing)) + self.mean[:, missing]
 
+    def detection_prior(self, templates: np.ndarray, threshold: float = 10.0) -> np.ndarray:
+        """The log probability, for each template (units, rank, channels), that subtracting it lowers the square of pure noise by more than threshold^2: that the noise's product with the template exceeds half of
+        threshold^2 + |template|^2, a normal variable's tail. Of a blank template it is -inf."""
+        flat = np.asarray(templates, float).reshape(len(templates), -1)
+        scale = np.sqrt(np.maximum(np.einsum("nc,cd,nd->n", flat, self.covariance(), flat), 0))
+        need = ((flat**2).sum(1) + threshold**2) / 2
+        return log_tail(np.divide(need, scale, out=np.full(len(flat), np.inf), where=scale > 0))
+
+    def channel_prior(self, threshold: float = 4.0, draws: int = 65_536, seed: int = 0) -> np.ndarray:
+        """The log probability, for each channel, that the norm of its noise over the ranks exceeds threshold, by seeded draws along the covariance's axes."""
+        unit = np.random.default_rng(seed).normal(size=(draws, self.mean.shape[0])) ** 2
+        with np.errstate(divide="ignore"):
+            return np.log([(unit @ np.maximum(np.linalg.eigvalsh(self.covariance([c])), 0) > threshold**2).mean() for c in range(self.mean.shape[1])])
+
+    def greatest_prior(self, threshold: float, channels: np.ndarray | None = None, draws: int = 65_536, seed: int = 0) -> float:
+        """The log probability that the greatest of those channels' norms, correlated as they are, exceeds threshold, by seeded draws."""
+        rank, at = self.mean.shape[0], np.arange(self.mean.shape[1]) if channels is None else np.asarray(channels)
+        root = np.linalg.cholesky(self.covariance(at) + 1e-12 * np.eye(rank * len(at)))
+        rng, hits, left = np.random.default_rng(seed), 0, draws
+        while left:
+            n = min(left, 8192)
+            x = (rng.normal(size=(n, len(root))) @ root.T).reshape(n, rank, len(at))
+            hits, left = hits + int(((x**2).sum(1).max(1) > threshold**2).sum()), left - n
+        return float(np.log(hits / draws)) if hits else -np.inf
+
     def precisions(self, sets: list[np.ndarray]) -> list[np.ndarray]:
         """The inverse covariance of each set of channels."""
         return [np.linalg.inv(self.covariance(s)) for s in sets]
 
 
+def log_tail(z: np.ndarray) -> np.ndarray:
+    """Log of a standard normal variable's probability to exceed z, also where that underflows."""
+    near = [math.log(0.5 * math.erfc(min(x, 25.0) / math.sqrt(2))) for x in np.asarray(z, float)]
+    far = np.maximum(z, 25.0)
+    with np.errstate(invalid="ignore"):
+        tail = -0.5 * far**2 - np.log(far * np.sqrt(2 * np.pi)) + np.log1p(-1 / far**2 + 3 / far**4)
+    return np.where(np.asarray(z) < 25.0, near, np.where(np.isinf(far), -np.inf, tail))
+
+
 def factorized_noise(times: np.ndarray, space: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
     """Normal noise (length, channels) whose spectrum's square root is `times` (of rfft frequencies) and whose channels' covariance has the root `space`."""
     r = np.random.default_rng(seed)

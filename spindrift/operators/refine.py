@@ -34,15 +34,20 @@ class Model:
         return np.concatenate([own, np.full((len(x), 1), np.log(max(self.proportions[-1], 1e-300) * self.noise))], 1)
 
 
-def assigned(rows: DataFrame, v: str, m: Model, *keep: str) -> DataFrame:
-    """The columns `keep`, label (the likeliest of a model's components, -1 for the noise) and r, its responsibility: proportions, variance and noise included; of equal ones the first."""
+def assigned(rows: DataFrame, v: str, m: Model, *keep: str, noise_prior: str | None = None) -> DataFrame:
+    """The columns `keep`, label (the likeliest of a model's components, -1 for the noise) and r, its responsibility: proportions, variance and noise included; of equal ones the first.
+
+    noise_prior names a column with the log probability that noise is detected as this row was (embedded.EmbeddedNoise.detection_prior of its unit or channel); the noise's log likelihood is raised by as much as that lies below 0, as rows
+    are detections. A null counts as 0.
+    """
     ship(rows.sparkSession)
-    kept = rows.select(*keep, F.col(v).cast("array<double>").alias("_v"))
+    kept = rows.select(*keep, F.col(v).cast("array<double>").alias("_v"), (F.coalesce(noise_prior, F.lit(0.0)) if noise_prior else F.lit(0.0)).alias("_z"))
 
     def over(batches):
         for pdf in batches:
             if len(pdf):
                 ll = m.log_likelihoods(np.stack(pdf["_v"].to_numpy()).astype(float))
+                ll[:, -1] -= pdf["_z"].to_numpy(float)
                 at = ll.argmax(1)
                 top = ll[np.arange(len(ll)), at]
                 r = 1 / np.exp(ll - top[:, None]).sum(1)

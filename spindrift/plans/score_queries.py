@@ -107,6 +107,15 @@ def point_sources(spark, d):
     return locate.localize(rows, "vec_id")
 
 
+@query()
+def dipoles(spark, d):
+    """The same amplitudes as of dipoles: place, moment, error."""
+    v = F.transform("v", lambda x: F.abs(x))
+    grid = F.sequence(F.lit(0), F.lit(63))
+    rows = emb(spark, d).select("vec_id", v.alias("amp"), F.transform(grid, lambda k: (k % 4) * 16.0).alias("xs"), F.transform(grid, lambda k: F.floor(k / 4) * 20.0).alias("zs"))
+    return locate.localize(rows, "vec_id", kind="dipole")
+
+
 @query()
 def refined_mixture(spark, d):
     """Five coarse units, refined on even ids and judged on odd ones; each row's unit and how likely it is."""

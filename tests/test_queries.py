@@ -36,7 +36,7 @@ def test_against_sql(spark, con, name):
 
 
 #: Queries without SQL that a test of their own holds against a plain version.
-ELSEWHERE = {"hdbscan_labels", "hdbscan_recursive", "nonrigid_motion", "mixture_labels", "refined_mixture", "shaved_embeddings"}
+ELSEWHERE = {"hdbscan_labels", "hdbscan_recursive", "nonrigid_motion", "mixture_labels", "refined_mixture", "shaved_embeddings", "binned_peaks", "dipoles"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalogue.QUERIES) - set(catalogue.ORACLE) - ELSEWHERE))
