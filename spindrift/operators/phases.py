@@ -85,6 +85,10 @@ class Bank:
         gram = np.einsum("krc,ksc->krs", self.spatial, self.spatial)
         return np.einsum("kprt,kpst,krs->kp", self.temporal, self.temporal, gram)
 
+    def spectra(self) -> np.ndarray:
+        """Of the temporal parts of phase 0, long enough for all lags of two templates: (units, rank, frequencies)."""
+        return np.fft.rfft(self.temporal[:, 0], 1 << (2 * self.length - 1).bit_length())
+
     def products(self, x: np.ndarray) -> np.ndarray:
         """(units, times): products of the templates of phase 0 with x (times, channels) at each start; channels first, then times."""
         out = np.zeros((len(self.units), max(len(x) - self.length + 1, 0)))
@@ -108,38 +112,64 @@ def pair_products(bank: Bank, a: int, b: int, least: float = 0.0) -> np.ndarray
     return out if np.abs(out).max(initial=0) > least else None
 
 
+def unit_products(bank: Bank, b: int, least: float = 0.0, spectra: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(others, table): pair_products(bank, a, b) of all units a that meet b, in one go; table is (others, phases, 2 length - 1). spectra: bank.spectra(), if at hand."""
+    n = bank.length
+    ta = bank.spectra() if spectra is None else spectra
+    cross = np.einsum("arc,sc->ars", bank.spatial, bank.spatial[b])
+    near = np.flatnonzero(np.abs(cross).max((1, 2), initial=0) > 0)
+    size = 2 * (ta.shape[-1] - 1)
+    tb = np.fft.rfft(bank.temporal[b], size)
+    mixed = np.einsum("arf,ars->asf", ta[near].conj(), cross[near], optimize=True)
+    full = np.fft.irfft(np.einsum("asf,psf->apf", mixed, tb, optimize=True), size)
+    table = np.concatenate([full[..., size - (n - 1) :], full[..., :n]], -1)
+    meets = np.abs(table).max((1, 2), initial=0) > least if len(near) else np.zeros(0, bool)
+    return near[meets], table[meets]
+
+
 def pair_table(spark: SparkSession, bank: Bank, least: float = 0.0) -> DataFrame:
     """(a, b, phase, lag, product) of all pairs of units that meet, entries above least in size; pairs are dealt over tasks."""
     ship(spark)
     k, n = len(bank.units), bank.length
 
     def run(batches):
+        spectra = bank.spectra()
         for pdf in batches:
-            for i in pdf["id"]:
-                got = pair_products(bank, i // k, i % k, least)
-                if got is not None:
+            for b in pdf["id"]:
+                others, table = unit_products(bank, int(b), least, spectra)
+                for a, got in zip(others, table):
                     p, lag = np.nonzero(np.abs(got) > least)
-                    yield pd.DataFrame({"a": bank.units[i // k], "b": bank.units[i % k], "phase": p, "lag": lag - n + 1, "product": got[p, lag]})
+                    yield pd.DataFrame({"a": bank.units[a], "b": bank.units[b], "phase": p, "lag": lag - n + 1, "product": got[p, lag]})
 
-    return spark.range(k * k).mapInPandas(run, "a int, b int, phase int, lag int, product double")
+    return spark.range(0, k, 1, max(1, min(k, spark.sparkContext.defaultParallelism * 4))).mapInPandas(run, "a int, b int, phase int, lag int, product double")
 
 
 class Pursuit:
     """Greedy pursuit in a trace (times, channels). Each step takes the times that are highest within a template's length and exceed the threshold, finds unit by phase 0, then phase, sample and scaling, and
     subtracts; products of all units follow from the pair products. Each pass thereafter puts every spike back by itself and takes the best unit, phase and time within `reach` of it, so the residual's square never rises.
 
-    scale_sd and boundary as in matching.pursuit. A unit isn't found twice within the dead time.
+    scale_sd and boundary as in matching.pursuit. A unit isn't found twice within the dead time. A unit's pair products are computed when it is first found, for all units that it meets at once, and at most `held` bytes of them are kept,
+    so setting up grows with the number of units alone.
     """
 
-    def __init__(self, bank: Bank, threshold: float, refractory: int = 10, scale_sd: float = 0.0, boundary: float = 0.5, passes: int = 1, reach: int = 2, least: float = 0.0) -> None:
+    def __init__(self, bank: Bank, threshold: float, refractory: int = 10, scale_sd: float = 0.0, boundary: float = 0.5, passes: int = 1, reach: int = 2, least: float = 0.0, held: int = 256 << 20) -> None:
         self.bank, self.threshold, self.dead, self.passes, self.reach = bank, threshold, refractory, passes, reach
         self.inv = 1 / scale_sd**2 if scale_sd else 0.0
         self.low, self.high = (1 / (1 + boundary), 1 + boundary) if scale_sd else (1.0, 1.0)
         self.square = bank.squares()
-        self.shapes = np.stack([[bank.full(k, p) for p in range(bank.phases)] for k in range(len(bank.units))]) if bank.units else np.zeros((0, bank.phases, bank.length, bank.spatial.shape[2]))
-        k = len(bank.units)
-        self.pairs = {(a, b): got for a in range(k) for b in range(k) if (got := pair_products(bank, a, b, least)) is not None}
-        self.meets = [[a for a in range(k) if (a, b) in self.pairs] for b in range(k)]
+        self.least, self.held, self.spectra = least, held, bank.spectra()
+        self.pairs: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.bytes = 0
+
+    def meeting(self, unit: int) -> tuple[np.ndarray, np.ndarray]:
+        """The units that a unit meets, and its products with them."""
+        if (got := self.pairs.pop(unit, None)) is None:
+            got = unit_products(self.bank, unit, self.least, self.spectra)
+            self.bytes += got[1].nbytes
+            while self.pairs and self.bytes > self.held:
+                self.bytes -= self.pairs.pop(next(iter(self.pairs)))[1].nbytes
+        self.pairs[unit] = got  # the last one used goes last
+        return got
 
     def score(self, conv: np.ndarray, square: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not self.inv:
@@ -149,10 +179,10 @@ class Pursuit:
 
     def _apply(self, at: int, unit: int, phase: int, scale: float, sign: int) -> None:
         n, total = self.bank.length, self.conv.shape[1]
-        self.x[at : at + n] -= sign * scale * self.shapes[unit, phase]
+        self.x[at : at + n] -= sign * scale * self.bank.full(unit, phase)
         a, b = max(0, at - n + 1), min(total, at + n)
-        for other in self.meets[unit]:
-            self.conv[other, a:b] -= sign * scale * self.pairs[other, unit][phase, a - at + n - 1 : b - at + n - 1]
+        others, table = self.meeting(unit)
+        self.conv[others, a:b] -= sign * scale * table[:, phase, a - at + n - 1 : b - at + n - 1]
         self.barred[unit, max(0, at - self.dead) : at + self.dead + 1] += sign
 
     def _fine(self, at: int, units: list[int], reach: int) -> tuple[float, int, int, int, float]:
@@ -163,7 +193,7 @@ class Pursuit:
             free = [u for u in units if not self.barred[u, start]]
             if not free:
                 continue
-            obj, scale = self.score(np.einsum("kptc,tc->kp", self.shapes[free], piece), self.square[free])
+            obj, scale = self.score(np.einsum("kprt,krt->kp", self.bank.temporal[free], self.bank.spatial[free] @ piece.T), self.square[free])
             k, p = np.unravel_index(int(obj.argmax()), obj.shape)
             if obj[k, p] > best[0]:
                 best = (float(obj[k, p]), start, free[k], int(p), float(scale[k, p]))
@@ -199,7 +229,7 @@ class Pursuit:
             changed = False
             for i, (_, at, unit, phase, scale) in enumerate(found):
                 self._apply(at, unit, phase, scale, -1)
-                near = [u for u in range(len(bank.units)) if u in self.meets[unit] or u == unit]
+                near = sorted({*self.meeting(unit)[0].tolist(), unit})
                 got = self._fine(at, near, self.reach)
                 changed |= got[1:4] != (at, unit, phase)
                 self._apply(got[1], got[2], got[3], got[4], 1)
@@ -212,7 +242,7 @@ class Pursuit:
     def cleaned(self) -> np.ndarray:
         """(spikes, length, channels): each spike's snippet with all others subtracted, in the order of run's result."""
         n = self.bank.length
-        return np.stack([self.x[at : at + n] + s * self.shapes[u, p] for _, at, u, p, s in self.found]) if self.found else np.zeros((0, n, self.x.shape[1]))
+        return np.stack([self.x[at : at + n] + s * self.bank.full(u, p) for _, at, u, p, s in self.found]) if self.found else np.zeros((0, n, self.x.shape[1]))
 
 
 def match(samples: DataFrame, bank: Bank, threshold: float, chunk: int = 30_000, shift: Callable[[int], int] | None = None, channels: dict[int, list[int]] | None = None, names: list[int] | None = None, **options) -> DataFrame:

@@ -109,3 +109,21 @@ def test_pairs_noise_and_basis(spark):
     t = templates()
     basis = phases.shared_basis(t, 3)
     assert np.allclose(basis @ basis.T, np.eye(3)) and np.allclose(np.einsum("rt,krc->ktc", basis, phases.compressed(t, basis)), t)
+
+
+def test_products_of_a_unit(spark):
+    """All pairs of a unit at once are the pairs one by one, and what is held stays bounded without changing a result."""
+    t = templates(5, seed=2)
+    t[4, :, :3], t[3, :, 3:] = 0, 0
+    bank = phases.Bank.of(t, list(range(5)), 8, phases=4)
+    for b in range(5):
+        others, table = phases.unit_products(bank, b, 1e-9)
+        want = {a: got for a in range(5) if (got := phases.pair_products(bank, a, b, 1e-9)) is not None}
+        assert others.tolist() == sorted(want) and all(np.allclose(table[i], want[a], atol=1e-10) for i, a in enumerate(others))
+    x = np.random.default_rng(1).normal(0, 0.1, (600, t.shape[2]))
+    for k, at in enumerate(range(40, 560, 37)):
+        x[at : at + t.shape[1]] += t[k % 5]
+    wide, narrow = phases.Pursuit(bank, 2.0, passes=3), phases.Pursuit(bank, 2.0, passes=3, held=1)
+    assert wide.run(x) == narrow.run(x) and len(narrow.pairs) == 1 and len(wide.pairs) > 1
+    table = phases.pair_table(spark, bank, 1e-9).groupBy("a", "b").count().collect()
+    assert {(r.a, r.b) for r in table} == {(a, b) for a in range(5) for b in range(5) if phases.pair_products(bank, a, b, 1e-9) is not None}

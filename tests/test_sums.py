@@ -82,3 +82,21 @@ def test_weighted_distance(spark, kind, least):
                 want[i, j] = d / min(a, b)
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
     assert least == 0.0 or 0 < len(want) < 10
+
+
+@pytest.mark.parametrize("block, span", [(256, 512), (7, 5), (1, 1)])
+def test_rate_correlations_by_blocks(spark, monkeypatch, block, span):
+    """Blocks and spans of any size give numpy's correlations, for one very busy unit too."""
+    from spindrift.operators import trains
+
+    monkeypatch.setattr(trains, "BLOCK", block)
+    monkeypatch.setattr(trains, "SPAN", span)
+    r = np.random.default_rng(5)
+    label, t = r.integers(0, 12, 600) * (r.random(600) > 0.4), r.integers(0, 230, 600)
+    spikes = spark.createDataFrame([(f"u{a:02}", int(b)) for a, b in zip(label, t)] + [("u00", 0), ("u00", 229)], "label string, t long").repartition(4)
+    got = {(g.i, g.j): g.corr for g in trains.rate_correlations(spikes, 10).collect()}
+    counts = np.zeros((12, 23))
+    np.add.at(counts, (np.append(label, [0, 0]), np.append(t, [0, 229]) // 10), 1)
+    want = np.corrcoef(np.sqrt(counts))
+    assert got.keys() == {(f"u{i:02}", f"u{j:02}") for i in range(12) for j in range(i + 1, 12)}
+    assert all(abs(got[f"u{i:02}", f"u{j:02}"] - want[i, j]) < 1e-9 for i in range(12) for j in range(i + 1, 12))
