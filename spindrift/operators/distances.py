@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import dot, norm, square
+from ..session import ship
 
 
 def pairs(units: DataFrame, label: str = "label", v: str = "v", ordered: bool = True) -> DataFrame:
@@ -106,3 +109,53 @@ def relabel(spikes: DataFrame, names: DataFrame, t: str = "t", label: str = "lab
     shift = F.coalesce("shift", F.lit(0)) if "shift" in names.columns else F.lit(0)
     out = spikes.join(names.withColumnRenamed("new", "_new"), label, "left").withColumn(t, F.col(t) + shift).withColumn(to, F.coalesce("_new", F.col(label)))
     return out.drop("_new", "shift")
+
+
+def temporal_products(basis: np.ndarray) -> np.ndarray:
+    """(rank, rank, 2 length - 1): products of the components of a temporal basis (rank, length), r's samples at t + lag with s's at t, for lags from 1 - length up."""
+    n = basis.shape[1]
+    return np.stack([np.stack([np.correlate(r, s, "full") for s in basis]) for r in basis]).reshape(len(basis), len(basis), 2 * n - 1)
+
+
+def weighted_lagged(spark: SparkSession, spatial: np.ndarray, products: np.ndarray, weights: np.ndarray, units: list[int], scale_var: float = 0.01**2, boundary: float = 1 / 3, block: int = 128) -> DataFrame:
+    """(i, j, d, lag, iou) of pairs of units in order, whose templates are spatial (units, rank, channels) in a shared temporal basis; products are temporal_products of it, weights (units, channels).
+
+    A pair's channels count by the lesser of both weights over these weights' sum. The lag is that of the greatest product, i's samples at t + lag meeting j's at t, of equals the lowest. The distance is the normalised one after the best scaling of
+    one template to the other within [1 / (1 + boundary), 1 + boundary], whose deviation from 1 costs 1 / scale_var; of both directions the lesser. iou: sum of the lesser over sum of the greater weights.
+    Units without any weight have no pairs. Blocks of units meet in tasks, so work and rows are dealt evenly; only the templates' factors go to the tasks.
+    """
+    ship(spark)
+    some = np.flatnonzero(weights.sum(1) > 0)
+    blocks = -(-len(some) // block)
+    inv, top = 1 / scale_var, 1 + boundary
+    lag0 = products.shape[2] // 2
+
+    def near(ii: np.ndarray, jj: np.ndarray) -> pd.DataFrame:
+        low = np.minimum(weights[ii], weights[jj])
+        total = low.sum(1)
+        share = np.divide(low, total[:, None], out=np.zeros_like(low), where=total[:, None] > 0)
+        a, b = spatial[ii] * share[:, None], spatial[jj] * share[:, None]
+        by_lag = np.einsum("nrc,nsc->nrs", a, b).reshape(len(ii), -1) @ products.reshape(-1, products.shape[2])
+        lag, dots = by_lag.argmax(1) - lag0, by_lag.max(1)
+        sa, sb = (a * a).sum((1, 2)), (b * b).sum((1, 2))
+
+        def one(template: np.ndarray, target: np.ndarray) -> np.ndarray:
+            s = np.clip((dots + inv) / (template + inv), 1 / top, top)
+            gap = np.maximum(s * s * template + target - 2 * s * dots, 0)
+            size = np.sqrt(target * s * s * template)
+            return np.sqrt(np.divide(gap, size, out=np.full(len(gap), np.inf), where=size > 0))
+
+        return pd.DataFrame({"i": np.array(units)[ii], "j": np.array(units)[jj], "d": np.minimum(one(sa, sb), one(sb, sa)), "lag": lag, "iou": total / np.maximum(weights[ii], weights[jj]).sum(1)})
+
+    def run(batches):
+        for pdf in batches:
+            for k in pdf["id"]:
+                p, q = divmod(int(k), blocks)
+                if p <= q:
+                    a, b = some[p * block : (p + 1) * block], some[q * block : (q + 1) * block]
+                    ii, jj = (g.ravel() for g in np.meshgrid(a, b, indexing="ij"))
+                    for at in range(0, len(ii), 2048):
+                        x, y = ii[at : at + 2048], jj[at : at + 2048]
+                        yield near(x[x < y], y[x < y])
+
+    return spark.range(blocks * blocks).mapInPandas(run, "i int, j int, d double, lag int, iou double")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,6 +101,29 @@ def weighted_normsup(spark, d):
     return blend.weighted_distance(raw(spark, d), weights(spark, d), kind="normsup").select("i", "j", r6("d").alias("d"))
 
 
+@query(f"""WITH {T}, w AS (SELECT unit, channel, least(snr, 2.0) AS w FROM snr), u AS (SELECT unit FROM w GROUP BY unit),
+g AS (SELECT a.unit AS i, b.unit AS j, a.channel, least(a.w, b.w) AS low, greatest(a.w, b.w) AS high FROM w a JOIN w b ON a.channel = b.channel AND a.unit < b.unit),
+o AS (SELECT i, j, sum(low) AS low, sum(high) AS high FROM g GROUP BY 1, 2),
+k AS (SELECT g.i, g.j, g.channel, g.low / o.low AS w FROM g JOIN o ON g.i = o.i AND g.j = o.j),
+na AS (SELECT k.i, k.j, sum(k.w * k.w * a.v * a.v) AS sa FROM k JOIN raw a ON a.unit = k.i AND a.channel = k.channel GROUP BY 1, 2),
+nb AS (SELECT k.i, k.j, sum(k.w * k.w * b.v * b.v) AS sb FROM k JOIN raw b ON b.unit = k.j AND b.channel = k.channel GROUP BY 1, 2),
+x AS (SELECT k.i, k.j, a.s - b.s AS lag, sum(k.w * k.w * a.v * b.v) AS dot FROM k JOIN raw a ON a.unit = k.i AND a.channel = k.channel JOIN raw b ON b.unit = k.j AND b.channel = k.channel GROUP BY 1, 2, 3),
+y AS (SELECT i, j, max(dot) AS dot, arg_max(lag, dot) AS lag FROM x GROUP BY 1, 2),
+c AS (SELECT y.i, y.j, y.dot, y.lag, sa, sb, least(greatest((dot + 10000) / (sa + 10000), 0.75), 1 + 1.0 / 3) AS ca, least(greatest((dot + 10000) / (sb + 10000), 0.75), 1 + 1.0 / 3) AS cb
+  FROM y JOIN na ON y.i = na.i AND y.j = na.j JOIN nb ON y.i = nb.i AND y.j = nb.j)
+SELECT c.i, c.j, round(sqrt(least(greatest(ca * ca * sa + sb - 2 * ca * dot, 0) / sqrt(sb * ca * ca * sa), greatest(cb * cb * sb + sa - 2 * cb * dot, 0) / sqrt(sa * cb * cb * sb))), 6) AS d,
+  CAST(c.lag AS INT) AS lag, round(o.low / o.high, 6) AS iou FROM c JOIN o ON c.i = o.i AND c.j = o.j""")
+def weighted_lagged(spark, d):
+    """Units' mean templates in the basis of single samples, so that products by lag are plain ones."""
+    t = raw(spark, d).toPandas()  # a unit table
+    w = weights(spark, d).toPandas()
+    names = sorted(t["unit"].unique())
+    x, k = np.zeros((len(names), 8, 8)), np.zeros((len(names), 8))
+    x[t["unit"].map(names.index), t["sample"], t["channel"]] = t["v"]
+    k[w["unit"].map(names.index), w["channel"]] = w["w"]
+    return distances.weighted_lagged(spark, x, distances.temporal_products(np.eye(8)), k, [int(n) for n in names], block=4).withColumns({"d": r6("d"), "iou": r6("iou")})
+
+
 @query(f"WITH {T} SELECT unit, round(sqrt(sum((raw.v - low.v) * (raw.v - low.v))) / sqrt(sum(raw.v * raw.v)), 6) AS d FROM raw JOIN low USING (unit, channel, s) GROUP BY unit")
 def mean_median_difference(spark, d):
     return blend.mean_median_difference(raw(spark, d), low(spark, d)).select("unit", r6("d").alias("d"))

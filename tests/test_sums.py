@@ -100,3 +100,29 @@ def test_rate_correlations_by_blocks(spark, monkeypatch, block, span):
     want = np.corrcoef(np.sqrt(counts))
     assert got.keys() == {(f"u{i:02}", f"u{j:02}") for i in range(12) for j in range(i + 1, 12)}
     assert all(abs(got[f"u{i:02}", f"u{j:02}"] - want[i, j]) < 1e-9 for i in range(12) for j in range(i + 1, 12))
+
+
+def test_weighted_lagged(spark):
+    """Blocks of any size against the dense formula over all samples, in a basis of three components."""
+    from spindrift.operators import distances
+
+    r = np.random.default_rng(7)
+    basis = np.linalg.qr(r.normal(size=(9, 3)))[0].T
+    spatial, w = r.normal(size=(7, 3, 4)), r.uniform(0.1, 2, (7, 4))
+    spatial[4] = 1.1 * spatial[2]
+    w[5] = 0
+    got = {(g.i, g.j): (g.d, g.lag, g.iou) for g in distances.weighted_lagged(spark, spatial, distances.temporal_products(basis), w, list(range(10, 17)), block=3).collect()}
+    full = np.einsum("rt,krc->ktc", basis, spatial)
+    assert got.keys() == {(10 + i, 10 + j) for i in range(7) for j in range(i + 1, 7) if 5 not in (i, j)}
+    for (i, j), (d, lag, iou) in got.items():
+        i, j = i - 10, j - 10
+        low = np.minimum(w[i], w[j])
+        a, b = full[i] * low / low.sum(), full[j] * low / low.sum()
+        dots = {k: sum((a[t + k] * b[t]).sum() for t in range(9) if 0 <= t + k < 9) for k in range(-8, 9)}
+        best = max(dots, key=dots.get)
+        both = []
+        for x, y in ((a, b), (b, a)):
+            sx, sy = (x * x).sum(), (y * y).sum()
+            s = np.clip((dots[best] + 1e4) / (sx + 1e4), 0.75, 4 / 3)
+            both.append(np.sqrt(max(s * s * sx + sy - 2 * s * dots[best], 0) / np.sqrt(sy * s * s * sx)))
+        assert lag == best and abs(d - min(both)) < 1e-7 and abs(iou - low.sum() / np.maximum(w[i], w[j]).sum()) < 1e-9
