@@ -79,19 +79,24 @@ def core_distances(nodes: DataFrame, axes: list[str], k: int, radius: float, wid
 
 
 def _led(parents: DataFrame) -> DataFrame:
-    """parents (c, p) of a forest, roots their own: p becomes the root."""
+    """parents (c, p) of a forest, roots their own: p becomes the root. Two doublings of the steps are one job."""
+    parents, _ = stage(parents, "parents")
     while True:
-        up = parents.select(F.col("c").alias("p"), F.col("p").alias("q"))
-        parents, _ = stage(parents.join(up, "p", "left").select("c", F.coalesce("q", "p").alias("p"), (F.coalesce("q", "p") != F.col("p")).alias("moved")), "led")
-        if parents.where("moved").isEmpty():
-            return parents.select("c", "p")
-        parents = parents.select("c", "p")
+        out = parents
+        for _ in range(2):
+            up = out.select(F.col("c").alias("p"), F.col("p").alias("q"))
+            out = out.join(up, "p", "left").select("c", F.coalesce("q", "p").alias("p"))
+        out, _ = stage(out, "led")
+        before = parents.withColumnRenamed("p", "q")
+        if out.join(before, "c").where("p <> q").isEmpty():
+            return out
+        parents = out
 
 
 def spanning_forest(points: DataFrame, axes: list[str], radius: float, widest: float) -> DataFrame:
     """points (group, node, axes, core): the edges (a, b, w) of each group's minimum spanning tree under mutual reachability; of equal weights the lesser ids come first."""
     groups = points.select("group").distinct().count()
-    members, _ = stage(points.withColumn("comp", F.col("node")), "members")
+    members = points.withColumn("comp", F.col("node"))
     edges, r = points.select(F.col("node").alias("a"), F.col("node").alias("b"), F.lit(0.0).alias("w")).limit(0), radius
     while True:
         last = r >= widest
@@ -99,6 +104,7 @@ def spanning_forest(points: DataFrame, axes: list[str], radius: float, widest: f
         if sizes.count() <= groups:
             return edges
         ranked, _ = stage(members.join(sizes, "comp").withColumn("rank", F.struct("size", "comp")).drop("size"), "ranked")
+        members = ranked.drop("rank")  # read anew, not joined anew
         cells = [f"_c{i}" for i in range(len(axes))]
         tops = _cells(_cells(ranked, axes, r, False).groupBy("group", *cells).agg(F.max("rank").alias("top")).select("group", "top", *(((F.col(c) + 0.5) * r).alias(a) for c, a in zip(cells, axes))), axes, r, True)
         tops = tops.groupBy("group", *cells).agg(F.max("top").alias("top"))
@@ -111,17 +117,17 @@ def spanning_forest(points: DataFrame, axes: list[str], radius: float, widest: f
         while not between.isEmpty():
             ends = between.select(F.explode(F.array(F.struct(F.col("ca").alias("c"), "e", F.col("cb").alias("p")), F.struct(F.col("cb").alias("c"), "e", F.col("ca").alias("p")))).alias("s")).select("s.*")
             least, _ = stage(ends.groupBy("c").agg(F.min(F.struct("e", "p")).alias("m")).select("c", "m.e", "m.p"), "least")
-            new, _ = stage(least.select("e.a", "e.b", "e.w").distinct(), "edges")
-            edges = edges.unionByName(new)
+            edges = edges.unionByName(least.select("e.a", "e.b", "e.w").distinct())
             back = least.select(F.col("c").alias("p"), F.col("p").alias("q"))
             # two components that take each other are the end of all pointers to them
             led = _led(least.join(back, "p").select("c", F.when((F.col("q") == F.col("c")) & (F.col("c") < F.col("p")), F.col("c")).otherwise(F.col("p")).alias("p")))
-            members, _ = stage(members.join(led.withColumnRenamed("c", "comp"), "comp", "left").withColumn("comp", F.coalesce("p", "comp")).drop("p"), "members")
+            members = members.join(led.withColumnRenamed("c", "comp"), "comp", "left").withColumn("comp", F.coalesce("p", "comp")).drop("p")
             a, b = led.select(F.col("c").alias("ca"), F.col("p").alias("pa")), led.select(F.col("c").alias("cb"), F.col("p").alias("pb"))
             moved = between.join(a, "ca").join(b, "cb").where("pa <> pb")
             between, _ = stage(moved.groupBy(F.least("pa", "pb").alias("ca"), F.greatest("pa", "pb").alias("cb")).agg(F.min("e").alias("e")), "between")
         if last:
             return edges
+        members, _ = stage(members, "members")
         r = min(2 * r, widest)
 
 
@@ -139,11 +145,10 @@ def entries(points: DataFrame, edges: DataFrame, size: int) -> DataFrame:
         least, _ = stage(out.groupBy("comp").agg(F.min(F.struct("e", "other")).alias("m")).select("comp", "m.e", "m.other").join(counts, "comp"), "nearest")
         back = least.select(F.col("comp").alias("other"), F.col("other").alias("_back"), F.col("n").alias("_n"))
         both = least.join(back, "other").where((F.col("_back") == F.col("comp")) & (F.col("n") + F.col("_n") < size) & (F.col("other") < F.col("comp")))
-        merged, path = stage(both.select("comp", "other"), "merged")
-        if merged.isEmpty():
+        new, _ = stage(parts.join(both.select("comp", "other"), "comp", "left").select("node", F.coalesce("other", "comp").alias("comp"), "n", F.col("other").isNotNull().alias("_moved")), "parts")
+        if new.where("_moved").isEmpty():
             break
-        parts, _ = stage(parts.join(merged, "comp", "left").select("node", F.coalesce("other", "comp").alias("comp"), "n"), "parts")
-        drop(points.sparkSession, path)
+        parts = new.drop("_moved")
     found = parts.join(least.select("comp", "e"), "comp", "left").select("node", "e").unionByName(single)
     out, _ = stage(found, "entries")
     drop(points.sparkSession, ends_path)
