@@ -1,29 +1,31 @@
 """Secret scans: patterns for known kinds, and character Markov models for the rest.
 
-Two second-order Markov models over character classes of credentials, one of random strings and one of ordinary identifiers, are trained from labelled samples:
-random strings are the values the base patterns found in a bounded sample of documents, with as many drawn at random from the usual
-alphabets; ordinary ones are the other words of those documents. A first model learns no word that is long enough to be judged; of the long ones, the second
+Two second-order Markov models over the characters of credentials, one of random strings and one of ordinary identifiers, are trained from labelled samples.
+Random strings are the values the base patterns found in a bounded sample of documents, with as many drawn from the usual alphabets. Ordinary ones are the other
+words of those documents and the names and words of Python's standard library (`lexicon`), both also as `composed` makes paths, compounds, constants and versions of them, with
+drawn numbers, dates, rulers and sequences: what stands in ordinary text whether the sample has it or not. A first model learns no word of the documents that is long enough to be judged; of the long ones, the second
 and last also learns those that the first takes for ordinary, so a secret in the sample isn't learnt as ordinary and can't hide itself. A run of credential characters whose log-likelihood ratio
-favours the random model by a margin of nats a character, and by TOTAL nats in all if it has less than LONG characters, is a further span, `markov`. Where base spans cover a part of it, what lies outside them is judged.
-The margin is set on labelled strings held out from a fit (every fifth by hash): where recall less 20 times the false alarms' share is greatest, the middle of all such margins. The model keeps recall and false alarms of those strings in `held_out`.
+favours the random model by a margin of nats a character, and in all by as much as LONG characters at the margin would, is a further span, `markov`. Where a run with a slash or an equals sign is ordinary as a whole,
+the pieces between those signs are judged too, so a path doesn't hide a key in it. Where base spans cover a part of a run, what lies outside them is judged.
+The margin is set on labelled strings held out from a fit (every fifth by hash): the greatest that loses at most SLACK of the best of recall less 20 times the false alarms' share. The model keeps recall and false alarms of those strings in `held_out`.
 
 Defined cases: a null or empty text has no spans and the digest of the empty string; offsets are code points, ends exclusive; texts are scanned whole, matches of a kind do not
 overlap and a match that fails its length is dropped with the text it used up; repeated rows and null ids are scanned row by row; an empty table gives no
-rows; further columns are not read.
+rows; further columns are not read. Runs of digits and signs alone are numbers, never secrets; a UUID is random and may be marked.
 """
 
 from __future__ import annotations
 
 import hashlib
+import importlib
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LEARNT, arrow_map, small_batches
+from .common import arrow_map, drop, small_batches, stage
 
 KINDS = ("assign", "access", "hex", "markov")
 
@@ -38,13 +40,24 @@ HEX = re.compile(r"[0-9a-f]{16,}")
 #: What the models judge.
 CREDENTIAL = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 
+#: Pieces of a run that are judged where the run is ordinary.
+BETWEEN = re.compile(r"[A-Za-z0-9+_-]{12,}")
+#: What is learnt from: shorter words too.
+LEARNT_FROM = re.compile(r"[A-Za-z0-9+/_=-]{6,}")
+
 #: Documents in the sample, strings of each kind, nats a character in favour of the random model where none was set on held-out strings.
-SAMPLED, STRINGS, MARGIN = 2000, 4000, 0.6
-#: Shorter runs than LONG say less, so their whole ratio has a bound too; an alphabet in order (16 letters, 23.4 nats in the tests) stays below it.
-LONG, TOTAL = 20, 24.0
+SAMPLED, STRINGS, MARGIN = 2000, 4000, 1.0
+#: Runs shorter than LONG need as much in all as LONG characters at the margin; what of the best gain a higher margin may lose; characters of a piece that is learnt from.
+LONG, SLACK, PIECE = 20, 0.002, 1024
 ALPHABET = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_=-"
 CODE = np.full(128, -1, np.int64)
 CODE[[ord(c) for c in ALPHABET]] = np.arange(len(ALPHABET))
+#: Modules of the standard library whose names and docstrings are labelled ordinary.
+MODULES = (
+    "argparse array asyncio base64 builtins calendar codecs collections configparser csv dataclasses datetime decimal difflib email functools glob gzip hashlib html http "
+    "inspect io itertools json locale logging math mimetypes multiprocessing operator os pathlib pickle platform random re secrets shutil signal socket sqlite3 ssl statistics "
+    "string subprocess sys tarfile tempfile textwrap threading time tokenize traceback types typing unittest urllib uuid warnings xml zipfile"
+).split()
 
 
 def base(text: str) -> list[tuple[int, str, int]]:
@@ -72,8 +85,7 @@ class Markov:
         hit = np.array([np.mean(marked(random, self, m)) for m in steps])
         false = np.array([np.mean(marked(ordinary, self, m)) for m in steps])
         gain = hit - 20 * false
-        best = np.flatnonzero(gain >= gain.max() - 1e-9)
-        k = best[len(best) // 2]
+        k = np.flatnonzero(gain >= gain.max() - SLACK)[-1]
         self.margin, self.held_out = float(steps[k]), (float(hit[k]), float(false[k]))
 
     @staticmethod
@@ -105,10 +117,10 @@ class Markov:
         return np.add.reduceat(r, starts) / np.maximum(sizes - 2, 1)
 
 
-def marked(strings: list[str], model: Markov, margin: float | None = None, total: float = TOTAL) -> list[bool]:
+def marked(strings: list[str], model: Markov, margin: float | None = None) -> list[bool]:
     """Whether each string of credential characters looks random."""
     margin = model.margin if margin is None else margin
-    return [r >= margin and (len(s) >= LONG or r * (len(s) - 2) >= total) for s, r in zip(strings, model.ratios(strings).tolist())]
+    return [r * min(len(s) - 2, LONG - 2) >= margin * (LONG - 2) and not s.isdigit() and any(c.isalpha() for c in s) for s, r in zip(strings, model.ratios(strings).tolist())]
 
 
 def outside(a: int, b: int, spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
@@ -125,47 +137,95 @@ def drawn(n: int, seed: int = 11) -> list[str]:
     """Random strings of the usual alphabets and lengths."""
     r = np.random.default_rng(seed)
     kinds = ("0123456789abcdef", ALPHABET[:62], ALPHABET[26:62], ALPHABET[:26] + ALPHABET[52:62], ALPHABET)
-    return ["".join(r.choice(list(kinds[i % len(kinds)]), int(r.integers(16, 65)))) for i in range(n)]
+    return ["".join(r.choice(list(kinds[i % len(kinds)]), int(r.integers(12, 41)))) for i in range(n)]
+
+
+def lexicon() -> list[str]:
+    """Names and words of Python's standard library."""
+    out: set[str] = set()
+    for module in map(importlib.import_module, MODULES):
+        out.update(dir(module))
+        for told in [module, *(getattr(module, name, None) for name in dir(module))]:
+            if isinstance(doc := getattr(told, "__doc__", None), str):
+                out.update(re.findall("[A-Za-z]{3,}", doc))
+    return sorted(w for w in out if w.isascii())
+
+
+def composed(names: list[str], n: int, seed: int = 12) -> list[str]:
+    """n ordinary strings of each usual form: what people make of words, and numbers, dates, rulers and sequences."""
+    r = np.random.default_rng(seed)
+    some = lambda x, k: [x[i] for i in r.integers(0, len(x), k)]
+    number = lambda least, most: "".join(map(str, r.integers(0, 10, int(r.integers(least, most)))))
+    names = [w for w in names if w.isalpha() and len(w) <= 20] or ["ordinary", "identifier"]
+    low = [w.lower() for w in names]
+    several = lambda most: some(low, int(r.integers(2, most)))
+    signs, orders = list("=-_/+"), [ALPHABET[:26], ALPHABET[26:52], ALPHABET[52:62], "qwertyuiop", "asdfghjkl", "zxcvbnm"]
+    forms = (
+        lambda: some(["", "/", "//"], 1)[0] + "/".join(several(7)),
+        lambda: "-".join(several(6)),
+        lambda: "_".join(several(5)),
+        lambda: "".join(w + c for w, c in zip(some(low, 6), [*some(signs, 5), ""])),
+        lambda: "".join(several(5)),
+        lambda: "".join(w.capitalize() for w in several(5)),
+        lambda: some(["", "_"], 1)[0].join(several(4)).upper(),
+        lambda: some(names, 1)[0].upper(),
+        lambda: some(low, 1)[0] + number(1, 5) + some(["-", "_", "/", ""], 1)[0] + some(low, 1)[0],
+        lambda: number(8, 25),
+        lambda: some(signs, 1)[0].join(number(2, 6) for _ in range(int(r.integers(3, 7)))),
+        lambda: some(["-", "", "/", "_"], 1)[0].join([f"{r.integers(1900, 2100)}", f"{r.integers(1, 13):02}", f"{r.integers(1, 32):02}"]) + some(["", "T", "-", "_"], 1)[0] + number(2, 7) + some(["", "Z"], 1)[0],
+        lambda: "".join(some(signs, 2)) * int(r.integers(6, 41)),
+        lambda: some(list(ALPHABET), 1)[0] * int(r.integers(12, 81)),
+        lambda: (some(orders, 1)[0] * 4)[int(r.integers(0, 10)) :][: int(r.integers(12, 40))],
+    )
+    return [form() for form in forms for _ in range(n)]
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """random boolean, string: distinct values of base spans and distinct other words of docs, cut where they have more than PIECE characters."""
+
+    def over(batch: pa.RecordBatch) -> pa.RecordBatch:
+        kinds, strings = [], []
+        for text in batch.column(0).to_pylist():
+            at = 0
+            for a, _, b in [*base(text), (len(text), "", len(text))]:
+                words = [m[0] for m in LEARNT_FROM.finditer(text, at, max(at, a))]
+                value = [m[0]] if (m := CREDENTIAL.search(text, a, b)) else []
+                for kind, found in ((False, words), (True, value)):
+                    pieces = [w[i : i + PIECE] for w in found for i in range(0, len(w), PIECE)]
+                    kinds += [kind] * len(pieces)
+                    strings += pieces
+                at = max(at, b)
+        return pa.RecordBatch.from_arrays([pa.array(kinds, pa.bool_()), pa.array(strings, pa.string())], ["random", "string"])
+
+    return arrow_map(docs.where(F.col("text").isNotNull()).select(F.col("text").cast("string").alias("text")), over, "random boolean, string string").distinct()
 
 
 def train(docs: DataFrame, rows: int | None = None, sampled: int = SAMPLED, strings: int = STRINGS) -> Markov:
-    """From a bounded sample of documents: what the base patterns mark, and the other words."""
+    """From a bounded sample of documents, read in whole: what the base patterns mark, and the other words. At most 9 * strings pieces reach the driver."""
+    small_batches(docs.sparkSession)
     rows = docs.count() if rows is None else rows
-    text, key = F.col("text").cast("string"), F.xxhash64("doc_id", "text", F.lit("secrets"))
-    part = docs.where(F.col("text").isNotNull() & (F.length("text") <= LEARNT) & (F.pmod(key, F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sampled / max(rows, 1))) + 1)))
-    texts = sorted(r[0] for r in part.select(text.alias("t"), key.alias("h")).orderBy("h", "t").limit(2 * sampled).select("t").collect())
-    random, ordinary = [], Counter()
-    for text in texts:
-        at = 0
-        for a, _, b in base(text):
-            m = CREDENTIAL.search(text, a, b)
-            if m:
-                random.append(m[0])
-            ordinary.update(re.findall(r"[A-Za-z0-9+/_=-]{6,}", text[at:a]))
-            at = max(at, b)
-        ordinary.update(re.findall(r"[A-Za-z0-9+/_=-]{6,}", text[at:]))
+    key = F.xxhash64("doc_id", "text", F.lit("secrets"))
+    part = docs.where(F.pmod(key, F.lit(1 << 20)) < F.lit(int((1 << 20) * min(1.0, sampled / max(rows, 1))) + 1))
+    found, path = stage(labelled(part), "labelled")
+    least = lambda kind, n: [r[0] for r in found.where(kind).orderBy(F.xxhash64("string"), "string").limit(n).select("string").collect()]
+    random, names = least(F.col("random"), strings), sorted(least(~F.col("random"), 8 * strings))
+    drop(docs.sparkSession, path)
+    return fitted(random, names, strings)
+
+
+def fitted(random: list[str], names: list[str], strings: int = STRINGS) -> Markov:
+    """The model of labelled random strings and of the other words of documents, some of which may be secrets."""
     order = lambda x: hashlib.blake2b(x.encode(), digest_size=8).digest()
-    random = sorted(set(random), key=order)[:strings] + drawn(strings)
-
-    def ordinary_of(names: list[str]) -> list[str]:
-        """Names, identifiers made of them and both in capitals, at most 4 * strings of each."""
-        r = np.random.default_rng(12)
-        pick = lambda x: [x[i] for i in r.permutation(len(x))[: 4 * strings]]
-        ids = [f"{a}_{b}" for a, b in zip(names[::3], names[1::3])] + [a + b.capitalize() for a, b in zip(names[1::3], names[2::3])]
-        # names of constants and shouted words
-        loud = [w.upper() for w in names if w.isalpha()] + [i.upper() for i in ids]
-        return pick(names) + pick(ids) + pick(loud) + ["the_ordinary_identifier"]
-
-    names = sorted(ordinary)
+    random, known = sorted({*random}, key=order) + drawn(strings), lexicon()
+    ordinary_of = lambda own: sorted({*own, *known, *composed(own, strings // 4), *composed(known, strings // 2, 13)})
     judged = [w for w in names if CREDENTIAL.fullmatch(w)]
-    random_looking = {w for w, x in zip(judged, marked(judged, Markov(random, ordinary_of(sorted(set(names) - set(judged)))))) if x}
+    random_looking = {w for w, x in zip(judged, marked(judged, Markov(random, ordinary_of(sorted({*names} - {*judged}))))) if x}
     plain = ordinary_of([w for w in names if w not in random_looking])
     model, held = Markov(random, plain), lambda x: order(x)[0] % 5 == 0
     trial = Markov([x for x in random if not held(x)], [x for x in plain if not held(x)])
     apart = [x for x in plain if held(x) and CREDENTIAL.fullmatch(x)]
-    if apart:
-        trial.set_margin([x for x in random if held(x)], apart)
-        model.margin, model.held_out = trial.margin, trial.held_out
+    trial.set_margin([x for x in random if held(x) and len(x) >= 12], apart)
+    model.margin, model.held_out = trial.margin, trial.held_out
     return model
 
 
@@ -179,7 +239,15 @@ def scan(texts: list[str | None], model: Markov, margin: float | None = None) ->
                 if CREDENTIAL.fullmatch(text, a, b):
                     where.append((i, a, b))
                     strings.append(text[a:b])
-    for (i, a, b), x in zip(where, marked(strings, model, margin)):
+    pieces, inner = [], []
+    for (i, a, b), x, s in zip(where, marked(strings, model, margin), strings):
+        if x:
+            found[i].append((a, "markov", b))
+        elif "/" in s or "=" in s:
+            for m in BETWEEN.finditer(s):
+                pieces.append((i, a + m.start(), a + m.end()))
+                inner.append(m[0])
+    for (i, a, b), x in zip(pieces, marked(inner, model, margin)):
         if x:
             found[i].append((a, "markov", b))
     return [sorted(s, key=lambda x: (x[0], KINDS.index(x[1]), x[2])) for s in found]

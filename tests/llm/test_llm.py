@@ -362,6 +362,91 @@ def test_secrets_short_and_beside_base_spans():
     assert secrets_scan.scan([tail + "0123456789abcdef" + tail], model) == [[(0, "markov", 20), (20, "hex", 36), (36, "markov", 56)]]
 
 
+ORDINARY = """https://example.com/long/path/to/some/resource-name /usr/local/lib/python3/site-packages/numpy application/octet-stream content-type 2023-11-05T12:30
+================= ------------------------ =-=-=-=-=-=-=-=-= Donaudampfschifffahrtsgesellschaft Kraftfahrzeughaftpflichtversicherung electroencephalography anticonstitutionnellement
+1234567890123 0001-2000-3000-4000 +44-20-7946-0958 20240131T235959Z abcdefghijklmnop ABCDEFGHIJKLMNOP QWERTYUIOPASDFGH x86_64-unknown-linux-gnu /home/user/Documents/report-2024-final-v2
+text/html/charset=utf-8 https://en.example.org/wiki/Some_Long_Title?oldid=123456 MAXIMUM_NUMBER_OF_RETRIES getElementsByTagName __init_subclass__""".split()
+
+
+def planted(r: random.Random, n: int = 150) -> dict[str, list[str]]:
+    """Strings of 12 to 40 characters of each alphabet."""
+    a = secrets_scan.ALPHABET
+    kinds = {"hex": "0123456789abcdef", "capital hex": "0123456789ABCDEF", "letters and digits": a[:62], "capitals and digits": a[26:62], "small and digits": a[:26] + a[52:62], "all": a}
+    return {k: ["".join(r.choice(x) for _ in range(12 + i % 29)) for i in range(n)] for k, x in kinds.items()}
+
+
+def test_secrets_leave_ordinary_text(spark):
+    """Trained on documents without any such string: URLs, paths, dates, rulers and compounds stay, planted secrets are found, also in a path and beside them."""
+    r = random.Random(21)
+    docs = [(i, " ".join(r.choice(WORDS) for _ in range(60))) for i in range(60)]
+    model = secrets_scan.train(spark.createDataFrame(docs, "doc_id long, text string"))
+    texts = [" ".join([*r.sample(WORDS, 5), w, *r.sample(WORDS, 5)]) for w in ORDINARY]
+    got = {w: [t[a:b] for a, k, b in g if k == "markov"] for w, t, g in zip(ORDINARY, texts, secrets_scan.scan(texts, model))}
+    assert not any(got.values()), got
+    for kind, strings in planted(r, 290).items():
+        hit = np.mean([bool(g) for g in secrets_scan.scan(strings, model)])
+        assert hit >= 0.95, (kind, hit)
+    key = "Zq7XkP2vWm9RtY4LcB8nJ0sD"
+    text = "https://example.com/services/hooks/incoming/messages/" + key + "/update/information/channel"
+    assert [text[a:b] for a, _, b in secrets_scan.scan([text], model)[0]] == [key]
+
+
+def test_secrets_markov_brute():
+    """Spans of the models against plain loops over counts of characters."""
+    from math import log
+
+    r = random.Random(22)
+    rand, plain = secrets_scan.drawn(300), WORDS + secrets_scan.composed(WORDS, 20)
+    model, a = secrets_scan.Markov(rand, plain), secrets_scan.ALPHABET
+
+    def logs(strings):
+        strings = ["".join(c for c in s if c in a) for s in strings]
+        none, one, two = collections.Counter("".join(strings)), collections.Counter(s[i : i + 2] for s in strings for i in range(len(s) - 1)), collections.Counter(s[i : i + 3] for s in strings for i in range(len(s) - 2))
+        total = sum(none.values()) + 0.5 * len(a)
+        p1 = lambda x, y: (one[x + y] + 5 * (none[y] + 0.5) / total) / (sum(one[x + z] for z in a) + 5)
+        seen = {}
+        def p2(x, y, z):
+            if (x, y, z) not in seen:
+                seen[x, y, z] = log((two[x + y + z] + 5 * p1(y, z)) / (sum(two[x + y + w] for w in a) + 5))
+            return seen[x, y, z]
+        return p2
+
+    p, q = logs(rand), logs(plain)
+
+    def looks(s):
+        mean = sum(p(*s[i : i + 3]) - q(*s[i : i + 3]) for i in range(len(s) - 2)) / (len(s) - 2)
+        return mean * min(len(s) - 2, 18) >= model.margin * 18 and any(c.isalpha() for c in s)
+
+    some = [s for v in planted(r, 4).values() for s in v] + ORDINARY
+    texts = [r.choice(["", "path/to/", "key=", "token=", "é"]) + s + r.choice(["", "/end", ".", " x" + s[::-1]]) for s in some] + ["", None]
+    for text, got in zip(texts, secrets_scan.scan(texts, model)):
+        want, known = set(), secrets_scan.base(text or "")
+        covered = {i for x, _, y in known for i in range(x, y)}
+        at, n = 0, len(text or "")
+        while at < n:
+            end = at
+            while end < n and text[end] in a:
+                end += 1
+            cuts = [at]
+            for i in range(at, end):
+                if (i in covered) != (i - 1 in covered) and i > at:
+                    cuts.append(i)
+            for x, y in zip(cuts, [*cuts[1:], end]):
+                if y - x < 12 or x in covered:
+                    continue
+                if looks(text[x:y]):
+                    want.add((x, y))
+                    continue
+                start = x
+                for i in range(x, y + 1):
+                    if i == y or text[i] in "/=":
+                        if i - start >= 12 and (x, y) != (start, i) and looks(text[start:i]):
+                            want.add((start, i))
+                        start = i + 1
+            at = end + 1
+        assert {(x, y) for x, k, y in got if k == "markov"} == want
+
+
 def test_toxicity_restores():
     r = random.Random(6)
     texts = [" ".join(r.choice(WORDS) for _ in range(40)) + (" you " + r.choice(["idiot", "moron"]) if i % 2 else "") for i in range(400)]
