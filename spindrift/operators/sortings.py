@@ -175,6 +175,33 @@ def brier(rows: DataFrame, truth: str = "truth", label: str = "label", cand: str
     return rows.groupBy(*(by or [])).agg(F.avg(score).alias("brier"), F.count(F.lit(1)).alias("n"))
 
 
+def unit_brier(true: DataFrame, best: DataFrame, false: DataFrame | None = None, unit: str = "truth", matched: str = "matched", cand: str = "cand", noise: str = "noise_r") -> DataFrame:
+    """(unit, match, n, n_false, hard, soft, own): Brier scores of each true unit, 0 to 2, from its spikes and those that its match has without cause.
+
+    best (unit, match) names the tested unit that stands for a true one; without a match a unit has 2. A spike of `true` that was found has (1 - p)^2 for its match's
+    responsibility p, and the squares of the other candidates' and of noise; in the hard score it has 0. One that was missed (`matched` false or null, or without candidates) has 2, and so has each spike of
+    `false` (unit, the tested one), which are those that no true spike accounts for. `own` is the mean of p over all true spikes. Sums are partial before the shuffle; only tables of units are broadcast.
+    """
+    rows = true.join(F.broadcast(best.select(F.col("unit").alias(unit), F.col("match").alias("_match"))), unit, "left")
+    own = F.aggregate(cand, F.lit(0.0), lambda s, c: s + F.when(c["unit"] == F.col("_match"), c["r"]).otherwise(0.0))
+    others = F.aggregate(cand, F.lit(0.0), lambda s, c: s + F.when(c["unit"] == F.col("_match"), 0.0).otherwise(c["r"] * c["r"]))
+    lost = F.col("_match").isNull() | ~F.coalesce(F.col(matched), F.lit(False)) | F.col(cand).isNull()
+    kept = F.coalesce(F.col(noise), F.lit(0.0))
+    sums = rows.groupBy(F.col(unit).alias("unit")).agg(
+        F.first("_match").alias("match"),
+        F.count(F.lit(1)).alias("_true"),
+        F.sum(F.when(lost, 2).otherwise(0)).alias("_hard"),
+        F.sum(F.when(lost, 2.0).otherwise((1 - own) * (1 - own) + others + kept * kept)).alias("_soft"),
+        F.sum(F.when(lost, 0.0).otherwise(own)).alias("_own"),
+    )
+    extra = F.lit(0).cast("long")
+    if false is not None:
+        sums = sums.join(false.groupBy(F.col("unit").alias("match")).agg(F.count(F.lit(1)).alias("_false")), "match", "left")
+        extra = F.coalesce(F.col("_false"), extra)
+    n = F.col("_true") + extra
+    return sums.select("unit", "match", n.alias("n"), extra.alias("n_false"), ((F.col("_hard") + 2 * extra) / n).alias("hard"), ((F.col("_soft") + 2 * extra) / n).alias("soft"), (F.col("_own") / F.col("_true")).alias("own"))
+
+
 def merge_mask(pairs: DataFrame, least: float, coverage: float, iou: float) -> DataFrame:
     """Which pairs of units may merge: alike enough in coentropy, and by coverage or overlap."""
     return pairs.withColumn("may_merge", ((F.col("cov") >= coverage) | (F.col("iou") >= iou)) & (F.col("coentropy") >= least))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates, channels, density, sortings, trains
+from ..operators import candidates, channels, compare, density, sortings, trains
 from ..sources.tables import event_spikes, table
 from . import unit_queries as units
 from .base import r6, registry
@@ -249,3 +249,23 @@ a AS (SELECT x + i AS x, z, sum(n * w) AS n FROM h, k GROUP BY 1, 2), b AS (SELE
 def binned_density(spark, d):
     p = table(spark, d, "part").select(F.col("p_size").cast("double").alias("x"), ((F.col("p_retailprice") - 900) / 4).alias("z"))
     return density.binned_density(p, ["x", "z"], 1.0, 2.0).select("x", "z", r6("density").alias("density"))
+
+
+@query(f"""WITH {units.L}, tops AS (SELECT t.vec_id, e.label AS truth, t.unit AS tested, t.r > 0.5 AS matched FROM t JOIN embeddings e USING (vec_id) WHERE t.rank = 1),
+c AS (SELECT truth, tested, count(*) AS n FROM tops GROUP BY 1, 2),
+iou AS (SELECT truth, tested, n / (sum(n) OVER (PARTITION BY truth) + sum(n) OVER (PARTITION BY tested) - n) AS iou FROM c),
+best AS (SELECT truth, tested AS match FROM iou QUALIFY row_number() OVER (PARTITION BY truth ORDER BY iou DESC, tested) = 1),
+fp AS (SELECT tested AS match, count(*) AS n_false FROM tops WHERE NOT matched GROUP BY 1),
+sp AS (SELECT vec_id, any_value(truth) AS truth, any_value(match) AS match, bool_or(matched) AS matched,
+  coalesce(sum(t.r) FILTER (t.unit = match), 0) AS p, coalesce(sum(t.r * t.r) FILTER (t.unit <> match), 0) AS q FROM t JOIN tops USING (vec_id) JOIN best USING (truth) GROUP BY vec_id),
+u AS (SELECT truth AS unit, any_value(match) AS match, count(*) AS m, sum(CASE WHEN matched THEN 0 ELSE 2 END) AS h, sum(CASE WHEN matched THEN (1 - p) * (1 - p) + q ELSE 2 END) AS s, sum(CASE WHEN matched THEN p ELSE 0 END) AS o FROM sp GROUP BY 1)
+SELECT unit, match, m + coalesce(n_false, 0) AS n, coalesce(n_false, 0) AS n_false, round((h + 2 * coalesce(n_false, 0)) / (m + coalesce(n_false, 0)), 5) AS hard,
+  round((s + 2 * coalesce(n_false, 0)) / (m + coalesce(n_false, 0)), 5) AS soft, round(o / m, 5) AS own FROM u LEFT JOIN fp USING (match)""")
+def unit_brier(spark, d):
+    """Scores of true labels; what the model is not sure of counts as missed, and as a false spike of the unit it names."""
+    soft = units.assigned(spark, d).groupBy("vec_id").agg(F.collect_list(F.struct("unit", "ll", "r")).alias("cand"), F.min(F.struct("rank", "unit", "r")).alias("top"))
+    rows = soft.join(table(spark, d, "embeddings").select("vec_id", F.col("label").alias("truth")), "vec_id")
+    rows = rows.select("truth", "cand", F.col("top.unit").alias("tested"), (F.col("top.r") > 0.5).alias("matched"), F.lit(0.0).alias("noise_r"))
+    best = compare.best_matches(compare.agreement(rows, "truth", "tested"), "truth", "tested").select(F.col("truth").alias("unit"), F.col("tested").alias("match"))
+    got = sortings.unit_brier(rows, best, rows.where(~F.col("matched")).select(F.col("tested").alias("unit")))
+    return got.select("unit", "match", "n", "n_false", *(F.round(c, 5).alias(c) for c in ("hard", "soft", "own")))

@@ -198,3 +198,27 @@ def test_small_numerics(spark):
     assert len(ratio) > 9 and all(q.density > 0 for q in ratio) and abs(density.binned_density(p, ["x", "z"], 1.0, 1.0).agg(F.sum("density")).first()[0] - 9) < 1e-9
     same = density.nearest_density(p, ["x", "z"], "id", 4, 2.0, sigma=1.0).orderBy("id").first().density
     assert abs(same - (1 + 2 + np.exp(-1.0))) < 1e-9
+
+
+def test_unit_brier(spark):
+    """Found, missed and false spikes, a unit without a match, noise, a match that is no candidate, and an empty table."""
+    kind = "array<struct<unit: int, ll: double, r: double>>"
+    rows = [
+        (0, True, [(5, -1.0, 0.7), (6, -2.0, 0.2)], 0.1),
+        (0, True, [(6, -1.0, 0.8), (7, -2.0, 0.2)], None),
+        (0, False, [(5, -1.0, 1.0)], 0.0),
+        (0, None, None, None),
+        (1, True, [(6, -1.0, 1.0)], 0.0),
+        (2, True, [(6, -1.0, 1.0)], 0.0),
+    ]
+    true = spark.createDataFrame(rows, f"truth int, matched boolean, cand {kind}, noise_r double")
+    best = spark.createDataFrame([(0, 5), (1, 6)], "unit int, match int")
+    false = spark.createDataFrame([(5,), (5,), (9,)], "unit int")
+    got = {r.unit: r for r in sortings.unit_brier(true, best, false).collect()}
+    found = [0.3**2 + 0.2**2 + 0.1**2, 1 + 0.8**2 + 0.2**2]
+    assert (got[0].match, got[0].n, got[0].n_false) == (5, 6, 2) and abs(got[0].hard - 8 / 6) < 1e-12 and abs(got[0].soft - (sum(found) + 8) / 6) < 1e-12 and abs(got[0].own - 0.7 / 4) < 1e-12
+    assert (got[1].n, got[1].hard, got[1].soft, got[1].own) == (1, 0.0, 0.0, 1.0)
+    assert (got[2].match, got[2].n_false, got[2].hard, got[2].soft) == (None, 0, 2.0, 2.0)
+    alone = {r.unit: r for r in sortings.unit_brier(true, best).collect()}
+    assert alone[0].n == 4 and alone[0].hard == 1.0
+    assert sortings.unit_brier(true.limit(0), best, false).count() == 0
