@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates, channels, compare, density, sortings, trains
+from ..operators import candidates, channels, compare, density, distances, merging, sortings, trains
 from ..sources.tables import event_spikes, table
 from . import unit_queries as units
 from .base import r6, registry
@@ -269,3 +269,19 @@ def unit_brier(spark, d):
     best = compare.best_matches(compare.agreement(rows, "truth", "tested"), "truth", "tested").select(F.col("truth").alias("unit"), F.col("tested").alias("match"))
     got = sortings.unit_brier(rows, best, rows.where(~F.col("matched")).select(F.col("tested").alias("unit")))
     return got.select("unit", "match", "n", "n_false", *(F.round(c, 5).alias(c) for c in ("hard", "soft", "own")))
+
+
+@query(f"""WITH {units.M}, {units.P}, d AS (SELECT i, j, round(sqrt(d2) / sqrt(sqrt(aa) * sqrt(bb)), 6) AS d FROM p),
+b AS (SELECT i, j, d FROM d UNION ALL SELECT j, i, d FROM d) SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM b QUALIFY rank <= 5""")
+def nearest_templates(spark, d):
+    pairs = distances.pairs(units.units(spark, d)).select("i", "j", r6(distances.normeuc()).alias("d"))
+    return merging.nearest_templates(pairs).withColumn("rank", F.col("rank").cast("long"))
+
+
+@query(f"""WITH {units.L}, two AS (SELECT vec_id, arg_min(unit, rank) AS unit, max(ll) - min(ll) AS g FROM k WHERE rank <= 2 GROUP BY vec_id),
+b AS (SELECT unit, least(floor(g / 0.5), 100) AS b, count(*) AS c FROM two GROUP BY 1, 2),
+s AS (SELECT unit, CASE WHEN b + o < 0 THEN -(b + o) - 1 ELSE b + o END AS b, sum(c * w) AS h FROM b, (VALUES (-1, 0.25), (0, 0.5), (1, 0.25)) x(o, w) GROUP BY 1, 2),
+n AS (SELECT unit, CAST(sum(c) AS BIGINT) AS n FROM b GROUP BY 1)
+SELECT unit, n, round(coalesce(max(h) FILTER (b = 0), 0) / max(h), 6) AS score FROM s JOIN n USING (unit) WHERE n >= 5 GROUP BY unit, n""")
+def unit_isolation(spark, d):
+    return merging.isolation(units.likelihoods(spark, d), "vec_id").select("unit", "n", r6("score").alias("score"))
