@@ -29,7 +29,7 @@ def copied(tmp_path_factory):
     return str(to), con
 
 
-CHANGED = """knn_join""".split()
+CHANGED = """knn_join firing_corr""".split()
 
 
 @pytest.mark.parametrize("name", CHANGED)
@@ -62,3 +62,21 @@ def test_copies_make_no_pairs(spark, copied, pairs, name):
     catalogue.QUERIES[name](spark, copied[0]).count()
     # nearest_label takes its labelled points by the key, so that copies have other ones
     assert once > 0 and sum(pairs) <= once * (4 if name == "nearest_label" else 1)
+
+
+def trains_of(spark):
+    r = np.random.default_rng(4)
+    u, t = r.integers(0, 40, 900), r.integers(0, 1000, 900)
+    return u, t, spark.createDataFrame([(int(a), int(b)) for a, b in zip(u, t)], "label long, t long")
+
+
+def test_correlations_without_joins(spark, monkeypatch):
+    u, t, s = trains_of(spark)
+    monkeypatch.setattr(trains, "BLOCK", 16)
+    got = trains.rate_correlations(s, 50)
+    assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+    x = np.zeros((40, 20))
+    np.add.at(x, (u, t // 50), 1)
+    x = np.corrcoef(np.sqrt(x)[:, (t // 50).min() : (t // 50).max() + 1])
+    found = {(y.i, y.j): y.corr for y in got.collect()}
+    assert len(found) == 780 and all(abs(found[i, j] - x[i, j]) < 1e-9 for i in range(40) for j in range(i + 1, 40))
