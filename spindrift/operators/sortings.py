@@ -5,11 +5,17 @@ from __future__ import annotations
 import random
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import ship
 from .labels import flatten
 
+#: Rows of a step of time that one group of cross_correlogram takes from a side.
+PART = 1 << 19
+
 
 def mask(spikes: DataFrame, keep: Column | str) -> DataFrame:
     """The spikes that meet a condition, under their own ids; tables of units or channels stay as they are."""
@@ -151,13 +157,46 @@ def centered_bins(x: Column, width: float = 1.0) -> Column:
 def cross_correlogram(a: DataFrame, b: DataFrame, bin_: int, lags: int, t: str = "t", label: str = "label") -> DataFrame:
     """(i, j, lag, n): for each pair of units, spikes of b so many whole steps of `bin_` (rounded to the nearest, halves up) after one of a, up to `lags` steps.
 
-    Both sides meet by coarse steps of time as equal keys, so a pair of units is never a group of its own.
+    The lag is the difference of whole steps, and one more or less by how the times within the steps compare; so a group of two steps and two parts of them (PART rows or so) sorts the times of each unit of b and
+    counts, for all of a, how many lie before a bound. Equal times of a unit are one row with a number. No pairs of spikes are made.
     """
-    reach = bin_ * lags + bin_ // 2 + 1
-    left = a.select(F.col(label).alias("i"), F.col(t).alias("_ta"), F.explode(F.array(*(F.floor(F.col(t) / reach) + k for k in (-1, 0, 1)))).alias("_k"))
-    right = b.select(F.col(label).alias("j"), F.col(t).alias("_tb"), F.floor(F.col(t) / reach).alias("_k"))
-    lag = F.floor((F.col("_tb") - F.col("_ta")) / bin_ + 0.5).cast("long")
-    return left.join(right, "_k").withColumn("lag", lag).where(F.abs("lag") <= lags).groupBy("i", "j", "lag").agg(F.count(F.lit(1)).alias("n"))
+    ship(a.sparkSession)
+
+    def stepped(df: DataFrame) -> DataFrame:
+        q = F.floor(F.col(t) / bin_).cast("long")
+        return df.where(F.col(t).isNotNull() & F.col(label).isNotNull()).groupBy(F.col(label).alias("u"), q.alias("q"), (F.col(t) - q * bin_).alias("r")).agg(F.count(F.lit(1)).alias("n"))
+
+    kind = a.schema[label].dataType.simpleString(), b.schema[label].dataType.simpleString()
+    left, right = stepped(a), stepped(b)
+    parts = [-(-(df.groupBy("q").count().agg(F.max("count")).first()[0] or 1) // PART) for df in (left, right)]
+    sides = []
+    for df, sign, own, other in ((left, 1, 0, 1), (right, -1, 1, 0)):
+        ranks = F.sequence(F.lit(0), F.lit(parts[other] - 1))
+        far = df.withColumn("_far", F.explode(F.array(*(F.lit(k).cast("long") for k in range(-lags - 1, lags + 2)))))
+        far = far.withColumns({"_p": F.pmod(F.xxhash64("u", "r"), F.lit(parts[own])).cast("int"), "_o": F.explode(ranks)})
+        at = {"qa": F.col("q") if sign > 0 else F.col("q") - F.col("_far"), "far": F.col("_far")}
+        sides.append(far.withColumns(at).select("qa", "far", F.col("_p" if sign > 0 else "_o").alias("pa"), F.col("_o" if sign > 0 else "_p").alias("pb"), "u", "r", "n"))
+
+    def counted(key: tuple, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        out, far = [], int(key[1])
+        if len(x) and len(y):
+            names, unit = np.unique(x["u"].to_numpy(), return_inverse=True)
+            r, n = x["r"].to_numpy(), x["n"].to_numpy()
+            for j, g in y.sort_values("r").groupby("u"):
+                upto = np.concatenate([[0], np.cumsum(g["n"].to_numpy())])
+                times = 2 * g["r"].to_numpy()
+                low, high = (upto[np.searchsorted(times, 2 * r + d)] for d in (-bin_, bin_))
+                # before half a step down: a lag less; from half a step up: a lag more
+                for shift, found in ((-1, low), (0, high - low), (1, upto[-1] - high)):
+                    if abs(far + shift) <= lags:
+                        total = np.zeros(len(names), np.int64)
+                        np.add.at(total, unit, n * found)
+                        out += [(names[k], j, far + shift, total[k]) for k in np.flatnonzero(total)]
+        return pd.DataFrame(out, columns=["i", "j", "lag", "n"])
+
+    keys = ["qa", "far", "pa", "pb"]
+    found = sides[0].groupBy(*keys).cogroup(sides[1].groupBy(*keys)).applyInPandas(counted, f"i {kind[0]}, j {kind[1]}, lag long, n long")
+    return found.groupBy("i", "j", "lag").agg(F.sum("n").alias("n"))
 
 
 def friends(pairs: DataFrame, a: str = "label_a", b: str = "label_b") -> DataFrame:

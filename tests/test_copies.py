@@ -29,7 +29,7 @@ def copied(tmp_path_factory):
     return str(to), con
 
 
-CHANGED = """knn_join firing_corr""".split()
+CHANGED = """knn_join firing_corr cross_correlogram""".split()
 
 
 @pytest.mark.parametrize("name", CHANGED)
@@ -80,3 +80,19 @@ def test_correlations_without_joins(spark, monkeypatch):
     x = np.corrcoef(np.sqrt(x)[:, (t // 50).min() : (t // 50).max() + 1])
     found = {(y.i, y.j): y.corr for y in got.collect()}
     assert len(found) == 780 and all(abs(found[i, j] - x[i, j]) < 1e-9 for i in range(40) for j in range(i + 1, 40))
+
+
+def test_correlograms_without_joins(spark, monkeypatch):
+    u, t, s = trains_of(spark)
+    a, b = s.where("label < 20").withColumn("label", F.col("label") % 3), s.where("label >= 20").withColumn("label", F.col("label") % 2)
+    want = {}
+    for i, ta in zip(u[u < 20] % 3, t[u < 20]):
+        for j, tb in zip(u[u >= 20] % 2, t[u >= 20]):
+            lag = int(np.floor((tb - ta) / 70 + 0.5))
+            if abs(lag) <= 4:
+                want[int(i), int(j), lag] = want.get((int(i), int(j), lag), 0) + 1
+    for part in (1 << 19, 8):
+        monkeypatch.setattr(sortings, "PART", part)
+        c = sortings.cross_correlogram(a, b, 70, 4)
+        assert "Join" not in c._jdf.queryExecution().executedPlan().toString()
+        assert {(y.i, y.j, y.lag): y.n for y in c.collect()} == want
