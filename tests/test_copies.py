@@ -29,7 +29,7 @@ def copied(tmp_path_factory):
     return str(to), con
 
 
-CHANGED = """knn_join knn_inliers kde_ratio nearest_density nhdn firing_corr cross_correlogram ground_truth_categories""".split()
+CHANGED = """knn_join knn_inliers kde_ratio nearest_density nhdn firing_corr cross_correlogram match_nearest_time ground_truth_categories""".split()
 
 
 @pytest.mark.parametrize("name", CHANGED)
