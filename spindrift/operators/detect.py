@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 
 import numpy as np
@@ -36,12 +37,23 @@ def suppress(peaks: DataFrame, radius: int, t: str = "t", value: str = "v", by:
 
 def detect_and_deduplicate(peaks: DataFrame, neighbours: DataFrame, radius: int, t: str = "t", channel: str = "channel", value: str = "v") -> DataFrame:
     """Suppression over time and neighbouring channels: a peak stays unless a neighbour's peak within radius is higher, or equal and of an earlier
-    channel, or of the same channel and earlier. neighbours (channel, neighbor) is a small bridge table; each peak visits its neighbours' channels and one window decides."""
-    spread = with_halo(peaks, CHUNK * max(1, int(radius)), radius, t).join(F.broadcast(neighbours), channel).withColumn("_own", F.col(channel) == F.col("neighbor"))
-    w = Window.partitionBy("neighbor", "chunk").orderBy(t).rangeBetween(-radius, radius)
-    best = F.max(F.struct(F.col(value).alias("v"), (-F.col(channel)).alias("c"), (-F.col(t)).alias("t"))).over(w)
-    seen = spread.withColumn("_best", best).where("_own and core")
-    return seen.where((F.col("_best.v") == F.col(value)) & (F.col("_best.c") == -F.col(channel)) & (F.col("_best.t") == -F.col(t))).drop("_best", "_own", "neighbor", "chunk", "core")
+    channel, or of the same channel and earlier. neighbours (channel, neighbor) is a small bridge table; each peak visits its neighbours' channels.
+
+    Time is cut into blocks of two radii, so the times within radius of a peak are the end of one block and the beginning of the next: running maxima of each block from both ends, read off at
+    t - radius and t + radius, decide. Work is a row a visit, however many peaks lie within radius.
+    """
+    own = F.struct(F.col(value).alias("v"), (-F.col(channel)).alias("c"), (-F.col(t)).alias("t"))
+    at = lambda role, when: F.struct(F.lit(role).alias("role"), when.alias("at"))
+    stand = F.array(at(0, F.col(t)))
+    spread = peaks.join(F.broadcast(neighbours), channel)
+    spread = spread.withColumn("_r", F.explode(F.when(F.col(channel) == F.col("neighbor"), F.concat(stand, F.array(at(1, F.col(t) + radius), at(2, F.col(t) - radius)))).otherwise(stand)))
+    spread = spread.withColumns({"_block": F.floor(F.col("_r.at") / max(2 * radius, 1)), "_at": F.col("_r.at"), "_role": F.col("_r.role"), "_own": F.when(F.col("_r.role") == 0, own)}).drop("_r")
+    for to, order in (("_to", F.asc("_at")), ("_from", F.desc("_at"))):
+        spread = spread.withColumn(to, F.max("_own").over(Window.partitionBy("neighbor", "_block").orderBy(order).rangeBetween(Window.unboundedPreceding, 0)))
+    read = spread.where("_role > 0").withColumn("_best", F.when(F.col("_role") == 1, F.col("_to")).otherwise(F.col("_from")))
+    # two readings a peak; peaks alike in all columns are as many as they were
+    best = read.groupBy(*peaks.columns).agg(F.max("_best").alias("_best"), (F.count(F.lit(1)) / 2).cast("int").alias("_n"))
+    return best.where(F.col("_best") == own).withColumn("_n", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(*peaks.columns)
 
 
 def convexity(samples: DataFrame, radius: int, by: list[str], order: list[str], value: str = "v") -> DataFrame:

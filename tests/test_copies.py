@@ -29,7 +29,7 @@ def copied(tmp_path_factory):
     return str(to), con
 
 
-CHANGED = """knn_join knn_inliers kde_ratio nearest_density nhdn nearest_label firing_corr cross_correlogram match_nearest_time ground_truth_categories""".split()
+CHANGED = """knn_join knn_inliers kde_ratio nearest_density nhdn nearest_label firing_corr cross_correlogram match_nearest_time ground_truth_categories nms_time_channel""".split()
 
 
 @pytest.mark.parametrize("name", CHANGED)
@@ -115,6 +115,21 @@ def test_nearest_in_time_without_pairs(spark, monkeypatch):
         assert sorted(map(str, want)) == sorted(str(tuple(x)) for x in joins.categories(da, db, radius).select("a_id", "b_id", "category").collect())
 
 
+def test_suppression_by_running_maxima(spark):
+    r = np.random.default_rng(2)
+    data = [(i, int(t), int(c), float(v)) for i, (t, c, v) in enumerate(zip(r.integers(-40, 200, 300), r.integers(0, 4, 300), r.integers(0, 9, 300)))]
+    data.append(data[0])
+    p = spark.createDataFrame(data, "spike_id long, t long, channel int, v double")
+    near = spark.createDataFrame([(c, n) for c in range(4) for n in (c - 1, c, c + 1)], "channel int, neighbor int")
+    for radius in (0, 1, 5):
+        better = lambda q, x: q[3] > x[3] or (q[3] == x[3] and (q[2] < x[2] or (q[2] == x[2] and q[1] < x[1])))
+        want = [x for x in data if not any(abs(q[2] - x[2]) <= 1 and abs(q[1] - x[1]) <= radius and better(q, x) for q in data)]
+        got = detect.detect_and_deduplicate(p, near, radius)
+        assert sorted(map(tuple, got.collect())) == sorted(want)
+        # a frame that slides is made anew for each row
+        assert "RangeFrame, -" not in got._jdf.queryExecution().toString()
+
+
 def trains_of(spark):
     r = np.random.default_rng(4)
     u, t = r.integers(0, 40, 900), r.integers(0, 1000, 900)
