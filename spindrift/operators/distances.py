@@ -58,21 +58,54 @@ def nearest_centroid(rows: DataFrame, centroids: DataFrame, key: str, v: str = "
     return best.select(key, F.col("_best.centroid").alias("centroid"), F.sqrt("_best.d2").alias("d"))
 
 
-def top_cosine(rows: DataFrame, queries: DataFrame, key: str, k: int, v: str = "v", block_bytes: int = 64 << 20) -> DataFrame:
-    """The k rows most like each query, itself left out. Queries are dealt by hash over blocks of about block_bytes, whose number follows from their count and length; each block is
-    broadcast against all rows, and each task keeps its own best before the shuffle."""
-    q = queries.select(F.col(key).alias("query"), F.col(v).alias("_q"))
-    n, width = q.agg(F.count(F.lit(1)), F.max(F.size("_q"))).first()
-    blocks = max(1, -(-n * (8 * max(width or 0, 0) + 64) // block_bytes))
-    sim = F.try_divide(dot(F.col(v), F.col("_q")), norm(F.col(v)) * norm(F.col("_q")))
+def top_cosine(rows: DataFrame, queries: DataFrame, key: str, k: int, v: str = "v", block_bytes: int = 16 << 20) -> DataFrame:
+    """(query, key, sim, rank): the k rows most like each query, itself left out; equal ones, after rounding to 6 digits, by key, blank vectors last.
+
+    Rows and queries are dealt by hash over blocks of about block_bytes, whose number follows from their count and length. A group holds a block of each as matrices, so all similarities are products of matrices, and keeps k for each query."""
+    ship(rows.sparkSession)
+    kind = rows.schema[key].dataType.simpleString()
+    sides, blocks = [], []
+    for df in (rows, queries):
+        n, width = df.agg(F.count(F.lit(1)), F.max(F.size(v))).first()
+        blocks.append(max(1, -(-n * (8 * max(width or 0, 0) + 64) // block_bytes)))
+    for s, df in enumerate((rows, queries)):
+        mine = F.pmod(F.xxhash64(key), F.lit(blocks[s])).cast("int")
+        dealt = df.select(F.col(key).alias("k"), F.col(v).cast("array<double>").alias("v"), mine.alias("_own"), F.explode(F.sequence(F.lit(0), F.lit(blocks[1 - s] - 1))).alias("_far"))
+        sides.append(dealt.select("k", "v", F.col("_far" if s else "_own").alias("_r"), F.col("_own" if s else "_far").alias("_q")))
+
+    def unit(col: pd.Series, width: int) -> np.ndarray:
+        # vectors that are null, of another length or blank have no likeness to any
+        x = np.full((len(col), width), np.nan)
+        for i, a in enumerate(col):
+            if a is not None and len(a) == width:
+                x[i] = a
+        size = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, size, out=np.full_like(x, np.nan), where=size > 0)
+
+    def best(a: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(a) and len(q):
+            width = max((len(x) for x in (*a["v"], *q["v"]) if x is not None), default=0)
+            a = a.sort_values("k")
+            names, x, asked, y = a["k"].to_numpy(), unit(a["v"], width), q["k"].to_numpy(), unit(q["v"], width)
+            for at in range(0, len(asked), 256):
+                sims = np.round(y[at : at + 256] @ x.T, 6)
+                order = np.where(np.isnan(sims), -np.inf, sims)
+                order[asked[at : at + 256, None] == names[None, :]] = np.nan
+                for row, sim, name in zip(order, sims, asked[at : at + 256]):
+                    some = np.flatnonzero(~np.isnan(row))
+                    if len(some) > k:
+                        some = some[row[some] >= np.partition(row[some], len(some) - k)[len(some) - k]]
+                    # names are sorted, so a stable sort leaves equal ones in order
+                    out += [(name, names[i], sim[i]) for i in some[np.argsort(-row[some], kind="stable")[:k]]]
+        return pd.DataFrame(out, columns=["query", key, "sim"])
+
+    keys = ["_r", "_q"]
+    tasks = max(1, min(blocks[0] * blocks[1], 4096))
+    left, right = (x.repartition(tasks, *keys).groupBy(*keys) for x in sides)
+    found = left.cogroup(right).applyInPandas(best, f"query {kind}, {key} {kind}, sim double")
     w = Window.partitionBy("query").orderBy(F.desc("sim"), key)
-    out = None
-    for b in range(blocks):
-        some = q if blocks == 1 else q.where(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
-        both = rows.join(F.broadcast(some), F.col(key) != F.col("query"))
-        best = both.select("query", key, F.round(sim, 6).alias("sim")).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-        out = best if out is None else out.unionByName(best)
-    return out
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def combined(tables: list[tuple[DataFrame, float]]) -> DataFrame:

@@ -29,7 +29,7 @@ def copied(tmp_path_factory):
     return str(to), con
 
 
-CHANGED = """knn_join knn_inliers kde_ratio nearest_density nhdn nearest_label firing_corr cross_correlogram match_nearest_time ground_truth_categories nms_time_channel""".split()
+CHANGED = """knn_join knn_inliers kde_ratio nearest_density nhdn nearest_label firing_corr cross_correlogram match_nearest_time ground_truth_categories nms_time_channel cosine_topk""".split()
 
 
 @pytest.mark.parametrize("name", CHANGED)
@@ -162,3 +162,21 @@ def test_correlograms_without_joins(spark, monkeypatch):
         c = sortings.cross_correlogram(a, b, 70, 4)
         assert "Join" not in c._jdf.queryExecution().executedPlan().toString()
         assert {(y.i, y.j, y.lag): y.n for y in c.collect()} == want
+
+
+def test_cosine_of_blocks_as_products(spark):
+    r = np.random.default_rng(6)
+    x = r.integers(-2, 3, (90, 4)).astype(float)
+    x[7] = 0
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)] + [(90, None)], "id long, v array<float>")
+    got = distances.top_cosine(df, df.where("id % 9 = 0 or id = 7"), "id", 6, block_bytes=2000)
+    assert "NestedLoop" not in got._jdf.queryExecution().executedPlan().toString()
+    size = np.sqrt((x * x).sum(1))
+    sim = lambda i, j: None if 90 in (i, j) or size[i] * size[j] == 0 else float(np.round(x[i] @ x[j] / (size[i] * size[j]), 6))
+    found = {}
+    for y in got.collect():
+        found.setdefault(y.query, {})[y["rank"]] = (y.id, None if y.sim is None else round(y.sim, 6))
+    assert set(found) == {0, 9, 18, 27, 36, 45, 54, 63, 72, 81, 90, 7}
+    for q, by in found.items():
+        want = sorted(((sim(q, j) is None, -(sim(q, j) or 0), j) for j in range(91) if j != q))[:6]
+        assert [by[i + 1][0] for i in range(6)] == [j for *_, j in want]
