@@ -92,6 +92,12 @@ def neighbourhoods(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return ch, joins.channel_index(ch, 10.0)
 
 
+def by_place(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Channels, the index of one channel for each place, and the place of each channel."""
+    ch = table(spark, d, "supplier").select(F.col("s_suppkey").cast("int").alias("channel"), F.col("s_nationkey").cast("double").alias("x"), (F.col("s_acctbal") / 100).alias("z"))
+    return ch, *joins.place_index(ch, 10.0)
+
+
 @query(f"""WITH {CH}, n AS (SELECT a.channel AS m, b.channel AS l, b.x - a.x AS dx, b.z - a.z AS dz, b.x, b.z FROM ch a JOIN ch b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) <= 10 AND a.channel <> b.channel)
 SELECT f.m AS main, f.l AS channel, p.l AS parent FROM n f JOIN n p ON f.m = p.m AND f.l <> p.l
 WHERE f.dx * p.dx + f.dz * p.dz > 0.7071067811865476 * sqrt(f.dx * f.dx + f.dz * f.dz) * sqrt(p.dx * p.dx + p.dz * p.dz) AND (f.x - p.x) * -p.dx + (f.z - p.z) * -p.dz < 0""")

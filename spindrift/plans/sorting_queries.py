@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import candidates, channels, compare, density, distances, merging, sortings, trains
+from ..operators import candidates, channels, compare, density, distances, joins, merging, sortings, trains
 from ..sources.tables import event_spikes, table
 from . import unit_queries as units
 from .base import r6, registry
-from .score_queries import CH, neighbourhoods
+from .score_queries import CH, by_place, neighbourhoods
 from .spike_queries import SECOND, S
 
 QUERIES, ORACLE, query = registry()
@@ -141,8 +141,8 @@ def channels_within(spark, d):
 
 @query(f"WITH {N}, r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY d, neighbor) AS k FROM nb) SELECT channel, CAST(row_number() OVER (PARTITION BY channel ORDER BY neighbor) - 1 AS INT) AS slot, neighbor FROM r WHERE k <= 3")
 def nearest_channels(spark, d):
-    ch, near = neighbourhoods(spark, d)
-    return channels.within_radius(near, ch, nearest=3)
+    ch, near, members = by_place(spark, d)
+    return joins.for_copies(channels.within_radius(near, ch, nearest=3), members)
 
 
 @query(f"WITH {N5} SELECT n5.channel, CAST(n5.slot AS BIGINT) AS slot, CAST(nb.slot AS BIGINT) AS old_slot FROM n5 LEFT JOIN nb ON nb.channel = n5.channel AND nb.neighbor = n5.neighbor")
