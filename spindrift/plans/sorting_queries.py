@@ -226,12 +226,13 @@ def search_sets(spark, d):
 
 @query(f"WITH {CH}, pr AS (SELECT a.channel AS i, b.channel AS j, sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) AS d, a.z AS di, b.z AS dj FROM ch a JOIN ch b ON sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) <= 10), h AS (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY d, j) AS k FROM pr WHERE dj > di) SELECT channel AS i, coalesce(j, channel) AS above FROM ch LEFT JOIN h ON h.i = channel AND k = 1")
 def nearest_above(spark, d):
-    ch, near = neighbourhoods(spark, d)
-    a = ch.select(F.col("channel").alias("i"), F.col("x").alias("xa"), F.col("z").alias("za"))
-    b = ch.select(F.col("channel").alias("j"), F.col("x").alias("xb"), F.col("z").alias("zb"))
-    pairs = near.select(F.col("channel").alias("i"), F.col("neighbor").alias("j")).join(a, "i").join(b, "j")
-    pairs = pairs.select("i", "j", F.sqrt((F.col("xa") - F.col("xb")) * (F.col("xa") - F.col("xb")) + (F.col("za") - F.col("zb")) * (F.col("za") - F.col("zb"))).alias("d"))
-    return candidates.nearest_above(pairs, ch.select(F.col("channel").alias("key"), F.col("z").alias("density")))
+    """The nearest follow from the place, and of a place's copies the least id stands for all."""
+    ch = by_place(spark, d)[0]
+    spots = joins.places(ch, ["x", "z"], "channel")
+    pairs = joins.near_places(spots, ["x", "z"], 10.0).select(F.col("a").alias("i"), F.col("b").alias("j"), "d")
+    above = candidates.nearest_above(pairs, spots.select(F.col("_place").alias("key"), F.col("z").alias("density"))).where("above <> i")
+    known = spots.join(above, F.col("_place") == F.col("i")).select("x", "z", "above")
+    return ch.join(known, ["x", "z"], "left").select(F.col("channel").alias("i"), F.coalesce("above", "channel").alias("above"))
 
 
 @query("""WITH p AS (SELECT p_partkey AS id, CAST(p_size AS DOUBLE) AS x, (p_retailprice - 900) / 4 AS z FROM part), d AS (SELECT a.id, sqrt((a.x - b.x) * (a.x - b.x) + (a.z - b.z) * (a.z - b.z)) AS d, b.id AS o FROM p a JOIN p b ON a.id <> b.id AND abs(a.x - b.x) <= 4 AND abs(a.z - b.z) <= 4),
