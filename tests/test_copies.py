@@ -29,7 +29,7 @@ def copied(tmp_path_factory):
     return str(to), con
 
 
-CHANGED = """knn_join knn_inliers kde_ratio nearest_density nhdn nearest_label firing_corr cross_correlogram match_nearest_time ground_truth_categories nms_time_channel cosine_topk nearest_channels nearest_above""".split()
+CHANGED = """knn_join knn_inliers kde_ratio nearest_density nhdn nearest_label firing_corr cross_correlogram match_nearest_time ground_truth_categories nms_time_channel cosine_topk channel_index nearest_channels nearest_above""".split()
 
 
 @pytest.mark.parametrize("name", CHANGED)
@@ -53,7 +53,7 @@ def pairs(monkeypatch):
     return made
 
 
-@pytest.mark.parametrize("name", "knn_join knn_inliers kde_ratio nearest_density nhdn dpc_labels nearest_label nearest_channels nearest_above".split())
+@pytest.mark.parametrize("name", "knn_join knn_inliers kde_ratio nearest_density nhdn dpc_labels nearest_label nearest_channels nearest_above channel_index".split())
 def test_copies_make_no_pairs(spark, copied, pairs, name):
     """As many pairs as without copies."""
     catalogue.QUERIES[name](spark, SF).count()
