@@ -90,18 +90,24 @@ def subtract_peaks(threshold: float, dedup: int, kernel: list[float], t: str = "
         pdf = pdf.sort_values([t, "spike_id"]).reset_index(drop=True)
         x, times, core = pdf[v].to_numpy(float).copy(), pdf[t].to_numpy(), pdf["core"].to_numpy()
         barred, out, shape = np.zeros(len(x), bool), [], np.asarray(kernel, float)
+        ids, chunk = pdf["spike_id"].to_numpy(), int(pdf["chunk"].iloc[0]) if len(pdf) else 0
+        # highest first, of equals the first; what was subtracted from since is no longer as high as its entry says and has a new one
+        heap = [(-x[i], i) for i in np.flatnonzero(x > threshold).tolist()]
+        heapq.heapify(heap)
         # each step bars a sample at least, so this ends
-        while len(x):
-            free = np.where(barred, -np.inf, x)
-            best = int(free.argmax())
-            if not free[best] > threshold:
-                break
+        while heap:
+            height, best = heapq.heappop(heap)
+            if barred[best] or x[best] != -height:
+                continue
             height = x[best]
             a, b = max(0, best - half), min(len(x), best - half + len(shape))
             x[a:b] -= height * shape[a - best + half : b - best + half]
             barred[max(0, best - dedup) : best + dedup + 1] = True
+            for i in range(a, b):
+                if not barred[i] and x[i] > threshold:
+                    heapq.heappush(heap, (-x[i], i))
             if core[best]:
-                out.append((int(pdf["chunk"].iloc[0]), int(pdf["spike_id"].iloc[best]), int(times[best]), float(height)))
+                out.append((chunk, int(ids[best]), int(times[best]), float(height)))
         return pd.DataFrame(sorted(out, key=lambda r: (r[2], r[1])), columns=["chunk", "spike_id", "t", "height"])
 
     return run

@@ -256,7 +256,7 @@ def as_of_join(spark, d):
 @query()
 def peel_chunks(spark, d):
     ship(spark)
-    s = event_spikes(spark, d).withColumnRenamed("amplitude", "v")
+    s = event_spikes(spark, d).select("spike_id", "t", F.col("amplitude").alias("v"))
     fn = detect.subtract_peaks(40.0, 3, [0.25, 0.5, 1.0, 0.5, 0.25])
     return detect.peel(s, 60 * SECOND, 5 * SECOND, fn, "chunk long, spike_id long, t long, height double")
 
