@@ -130,7 +130,9 @@ def contiguous_channels(spark, d):
 
 @query(f"WITH {N} SELECT channel, CAST(slot AS BIGINT) AS slot FROM nb WHERE channel = neighbor")
 def own_slots(spark, d):
-    return channels.own_slots(neighbourhoods(spark, d)[1]).select("channel", F.col("slot").cast("long").alias("slot"))
+    _, near, members = by_place(spark, d)
+    own = near.withColumnsRenamed({"channel": "place", "neighbor": "channel"}).join(members, ["channel", "place"])
+    return channels.own_slots(own.withColumn("neighbor", F.col("channel"))).select("channel", F.col("slot").cast("long").alias("slot"))
 
 
 @query(f"WITH {N5} SELECT channel, CAST(slot AS INT) AS slot, neighbor FROM n5")
