@@ -137,8 +137,8 @@ def own_slots(spark, d):
 
 @query(f"WITH {N5} SELECT channel, CAST(slot AS INT) AS slot, neighbor FROM n5")
 def channels_within(spark, d):
-    ch, near = neighbourhoods(spark, d)
-    return channels.within_radius(near, ch, 5.0)
+    ch, near, members = by_place(spark, d)
+    return joins.for_copies(channels.within_radius(near, ch, 5.0), members)
 
 
 @query(f"WITH {N}, r AS (SELECT *, row_number() OVER (PARTITION BY channel ORDER BY d, neighbor) AS k FROM nb) SELECT channel, CAST(row_number() OVER (PARTITION BY channel ORDER BY neighbor) - 1 AS INT) AS slot, neighbor FROM r WHERE k <= 3")

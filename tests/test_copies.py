@@ -29,7 +29,7 @@ def copied(tmp_path_factory):
     return str(to), con
 
 
-CHANGED = """knn_join knn_inliers kde_ratio nearest_density nhdn nearest_label firing_corr cross_correlogram match_nearest_time ground_truth_categories unit_performance nms_time_channel cosine_topk channel_index own_slots nearest_channels slot_map kept_slots regular_slots nearest_above""".split()
+CHANGED = """knn_join knn_inliers kde_ratio nearest_density nhdn nearest_label firing_corr cross_correlogram match_nearest_time ground_truth_categories unit_performance nms_time_channel cosine_topk channel_index own_slots channels_within nearest_channels slot_map kept_slots regular_slots nearest_above""".split()
 
 
 @pytest.mark.parametrize("name", CHANGED)
