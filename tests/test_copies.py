@@ -203,3 +203,23 @@ def test_cosine_of_blocks_as_products(spark):
     for q, by in found.items():
         want = sorted(((sim(q, j) is None, -(sim(q, j) or 0), j) for j in range(91) if j != q))[:6]
         assert [by[i + 1][0] for i in range(6)] == [j for *_, j in want]
+
+
+def test_greedy_match_in_time_without_pairs(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    a, b = (np.concatenate([r.integers(0, 60, 90), r.integers(200, 210, 40)]).astype(float) for _ in range(2))
+    names = [r.permutation(130).tolist() for _ in range(2)]
+    da = spark.createDataFrame(list(zip(names[0], a.tolist())), "a_id long, ta double")
+    db = spark.createDataFrame(list(zip(names[1], b.tolist())), "b_id long, tb double")
+    used, want = (set(), set()), set()
+    for _, i, j, d in sorted((abs(x - y) // 2, i, j, abs(x - y)) for i, x in zip(names[0], a) for j, y in zip(names[1], b) if abs(x - y) <= 5):
+        if i not in used[0] and j not in used[1]:
+            used[0].add(i)
+            used[1].add(j)
+            want.add((i, j, d))
+    get = lambda: {tuple(x) for x in joins.greedy_match(da, db, ["ta"], ["tb"], 5.0, 2.0).collect()}
+    monkeypatch.setattr(joins, "RUN", 100)  # the longer stretch goes by rounds
+    assert get() == want
+    monkeypatch.undo()
+    monkeypatch.setattr(joins, "within", None)
+    assert get() == want
