@@ -29,7 +29,8 @@ def copied(tmp_path_factory):
     return str(to), con
 
 
-CHANGED = """knn_join knn_inliers kde_ratio nearest_density nhdn nearest_label firing_corr cross_correlogram match_nearest_time ground_truth_categories unit_performance nms_time_channel cosine_topk channel_index own_slots channels_within nearest_channels slot_map kept_slots regular_slots nearest_above""".split()
+CHANGED = """knn_join knn_inliers kde_ratio nearest_density nhdn nearest_label firing_corr cross_correlogram match_nearest_time ground_truth_categories unit_performance
+nms_time_channel cosine_topk channel_index own_slots channels_within nearest_channels slot_map kept_slots regular_slots nearest_above channel_parents""".split()
 
 
 @pytest.mark.parametrize("name", CHANGED)
@@ -53,7 +54,7 @@ def pairs(monkeypatch):
     return made
 
 
-@pytest.mark.parametrize("name", "knn_join knn_inliers kde_ratio nearest_density nhdn dpc_labels nearest_label own_slots nearest_channels nearest_above channel_index".split())
+@pytest.mark.parametrize("name", "knn_join knn_inliers kde_ratio nearest_density nhdn dpc_labels nearest_label own_slots nearest_channels nearest_above channel_index channel_parents".split())
 def test_copies_make_no_pairs(spark, copied, pairs, name):
     """As many pairs as without copies."""
     catalogue.QUERIES[name](spark, SF).count()
