@@ -244,3 +244,18 @@ def test_points_are_not_broadcast(spark, copied, name):
     """By their files these tables look small; a broadcast of them would grow on the driver."""
     got = catalogue.QUERIES[name](spark, copied[0])
     assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("name", ["own_slots", "channel_index", "slot_map", "kept_slots", "regular_slots"])
+def test_places_of_their_own_make_no_pairs(spark, pairs, tmp_path, name, monkeypatch):
+    """Of channels that are no copies pairs are results only: what is joined is pairs of grid cells. Cells that are cut give the same."""
+    r = np.random.default_rng(10)
+    data = [(int(k), int(x), float(z)) for k, x, z in zip(r.permutation(400) + 1, r.integers(0, 25, 400), np.round(r.uniform(-1000, 10000, 400), 2))]
+    data[7] = (*data[7][:2], data[8][2])
+    spark.createDataFrame(data, "s_suppkey int, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view supplier as select * from '{tmp_path}/supplier.parquet/*.parquet'")
+    want = rows(con.execute(catalogue.ORACLE[name]).df())
+    assert rows(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()) == want and sum(pairs) <= 2 * 9 * 36
+    monkeypatch.setattr(joins, "ROOM", 200)
+    assert rows(catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()) == want
