@@ -9,6 +9,7 @@ from ..operators import candidates, channels, compare, density, distances, joins
 from ..sources.tables import event_spikes, table
 from . import unit_queries as units
 from .base import r6, registry
+from .density_queries import channels as suppliers
 from .score_queries import CH, by_place, neighbourhoods
 from .spike_queries import SECOND, S
 
@@ -130,9 +131,7 @@ def contiguous_channels(spark, d):
 
 @query(f"WITH {N} SELECT channel, CAST(slot AS BIGINT) AS slot FROM nb WHERE channel = neighbor")
 def own_slots(spark, d):
-    _, near, members = by_place(spark, d)
-    own = near.withColumnsRenamed({"channel": "place", "neighbor": "channel"}).join(members, ["channel", "place"])
-    return channels.own_slots(own.withColumn("neighbor", F.col("channel"))).select("channel", F.col("slot").cast("long").alias("slot"))
+    return channels.own_slots_of(suppliers(spark, d), 10.0).select("channel", F.col("slot").cast("long").alias("slot"))
 
 
 @query(f"WITH {N5} SELECT channel, CAST(slot AS INT) AS slot, neighbor FROM n5")
