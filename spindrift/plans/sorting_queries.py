@@ -148,8 +148,7 @@ def nearest_channels(spark, d):
 
 @query(f"WITH {N5} SELECT n5.channel, CAST(n5.slot AS BIGINT) AS slot, CAST(nb.slot AS BIGINT) AS old_slot FROM n5 LEFT JOIN nb ON nb.channel = n5.channel AND nb.neighbor = n5.neighbor")
 def slot_map(spark, d):
-    ch, near, members = by_place(spark, d)
-    return joins.for_copies(channels.slot_map(near, channels.within_radius(near, ch, 5.0)), members).select("channel", F.col("slot").cast("long").alias("slot"), F.col("old_slot").cast("long").alias("old_slot"))
+    return channels.slot_map_of(suppliers(spark, d), 10.0, 5.0).select("channel", F.col("slot").cast("long").alias("slot"), F.col("old_slot").cast("long").alias("old_slot"))
 
 
 @query(f"WITH {N5} SELECT nb.channel, CAST(nb.slot AS BIGINT) AS slot, n5.neighbor IS NOT NULL AS kept FROM nb LEFT JOIN n5 ON nb.channel = n5.channel AND nb.neighbor = n5.neighbor")
